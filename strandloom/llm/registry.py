@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandloom.llm import quality_rules, secret_scan
+from strandloom.llm import mixing, quality_rules, secret_scan
 
 
 def queries():
     """Name to callable of (spark, sf_dir)."""
     return {
+        "op2_mixing": mixing.op2_mixing,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op6_quality_rules": quality_rules.op6_quality_rules,
     }
@@ -16,6 +17,7 @@ def queries():
 def oracle_sql():
     """Name to DuckDB SQL, where SQL can express the result."""
     return {
+        "op2_mixing": mixing.ORACLE_SQL,
         "op4_secret_scan": secret_scan.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
     }
