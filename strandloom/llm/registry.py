@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import mixing, quality_rules, secret_scan
+from strandloom.llm import mixing, quality_rules, secret_scan, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_mixing": mixing.op2_mixing,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op9_url_filter": url_filter.op9_url_filter,
     }
 
 
@@ -20,4 +21,5 @@ def oracle_sql():
         "op2_mixing": mixing.ORACLE_SQL,
         "op4_secret_scan": secret_scan.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op9_url_filter": url_filter.ORACLE_SQL,
     }
