@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandloom.llm import mixing, quality_rules, secret_scan, url_filter
+from strandloom.llm import decontamination, mixing, quality_rules, secret_scan, url_filter
 
 
 def queries():
     """Name to callable of (spark, sf_dir)."""
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op3_decontamination": decontamination.op3_decontamination,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op9_url_filter": url_filter.op9_url_filter,
@@ -19,6 +20,7 @@ def oracle_sql():
     """Name to DuckDB SQL, where SQL can express the result."""
     return {
         "op2_mixing": mixing.ORACLE_SQL,
+        "op3_decontamination": decontamination.ORACLE_SQL,
         "op4_secret_scan": secret_scan.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
