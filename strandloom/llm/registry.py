@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontamination, mixing, quality_rules, secret_scan, url_filter
+from strandloom.llm import decontamination, mixing, quality_rules, secret_scan, toxicity, url_filter
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
