@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontamination, mixing, quality_rules, secret_scan, toxicity, url_filter
+from strandloom.llm import decontamination, mixing, near_dedup, quality_rules, secret_scan, toxicity, url_filter
 
 
 def queries():
     """Name to callable of (spark, sf_dir)."""
     return {
+        "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_mixing": mixing.op2_mixing,
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_secret_scan": secret_scan.op4_secret_scan,

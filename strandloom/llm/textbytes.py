@@ -100,18 +100,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hash of each word's bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    # Bytes between words count for nothing, so a sum up to the next start is the word's own.
-    own = np.zeros(len(data), bool)
-    edge = np.zeros(len(data) + 1, np.int8)
-    edge[starts] += 1
-    edge[ends] -= 1
-    own = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))).astype(np.int64) if starts[0] == 0 else None
-    if place is None:
-        place = np.arange(len(data))
-        place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-    value = _BYTE[data] * powers(int(len(data)) + 1)[place]
-    value[~own] = 0
+    span = np.diff(np.append(starts, len(data)))
+    place = np.arange(len(data))
+    place[: starts[0]] = 0
+    place[starts[0] :] -= np.repeat(starts, span)
+    value = _BYTE[data] * powers(int(span.max()) + 1)[place]
+    # Bytes after a word, up to the next one, count for nothing.
+    value[starts[0] :][place[starts[0] :] >= np.repeat(ends - starts, span)] = 0
     return mix64(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
 
 
