@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontamination, mixing, near_dedup, quality_rules, secret_scan, toxicity, url_filter
+from strandloom.llm import decontamination, mixing, near_dedup, quality_rules, secret_scan, token_shards, toxicity, url_filter
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op2_mixing": mixing.op2_mixing,
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_secret_scan": secret_scan.op4_secret_scan,
+        "op5_token_shards": token_shards.op5_token_shards,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_toxicity": toxicity.op10_toxicity,
