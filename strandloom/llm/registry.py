@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontamination, mixing, near_dedup, quality_rules, secret_scan, token_shards, toxicity, url_filter
+from strandloom.llm import decontamination, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, token_shards, toxicity, url_filter
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_token_shards": token_shards.op5_token_shards,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_toxicity": toxicity.op10_toxicity,
     }
@@ -26,5 +27,6 @@ def oracle_sql():
         "op3_decontamination": decontamination.ORACLE_SQL,
         "op4_secret_scan": secret_scan.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op7_substring_dedup": substring_dedup.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
     }
