@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontamination, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, token_shards, toxicity, url_filter
+from strandloom.llm import decontamination, line_dedup, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, token_shards, toxicity, url_filter
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op5_token_shards": token_shards.op5_token_shards,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_toxicity": toxicity.op10_toxicity,
     }
@@ -28,5 +29,6 @@ def oracle_sql():
         "op4_secret_scan": secret_scan.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op7_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op8_line_dedup": line_dedup.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
     }
