@@ -7,14 +7,15 @@ and the longest document. A shard is a self-contained file image (see
 writer commits whole tasks only: a lost executor's shards are written again,
 never twice. ``wavelet.WaveletFile`` also opens an image saved as a plain file.
 
-Encoding cuts a text at ASCII white space, which this tokenizer drops, and
-encodes each distinct word of a batch once. New words go to the tokenizer
-joined by one of its special tokens, which it never merges with its
-surroundings; texts that hold a special token themselves are encoded whole.
+Encoding cuts texts where this tokenizer's own rules cut them (white space, and
+between letters, digits and marks) and encodes each distinct piece of a batch
+once; see :class:`PieceEncoder`.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,27 +28,51 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import wavelet
 from strandloom.llm.common import materialise, no_null, table
+from strandloom.llm.textbytes import blocks, lowered
 
 END = 2
 SHARD_TOKENS = 1 << 19
 #: Rows meant for each partition.
 PARTITION_ROWS = 8192
 #: Text bytes encoded at once.
-BATCH_BYTES = 4 << 20
-#: Words that a worker remembers; it forgets all when there are more.
-CACHE_WORDS = 500_000
+BATCH_BYTES = 8 << 20
+#: Pieces that a worker remembers; it forgets all when there are more.
+CACHE_PIECES = 800_000
 
 
-class WordEncoder:
-    """Encodes texts word by word, with a bounded memory of words."""
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KIND[33:127] = _MARK
+_KIND[39] = _OTHER  # an apostrophe may begin a contraction
+_KIND[48:58] = _DIGIT
+_KIND[97:123] = _LETTER
+_SIMPLE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\[-`{-~]+|[0-9]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
+class PieceEncoder:
+    """Encodes texts piece by piece, with a bounded memory of pieces.
+
+    A piece is what the tokenizer's own rules separate anyway: a run of letters,
+    a single digit or a run of marks. A word that holds anything but ASCII and
+    the letters of Latin-1, or an apostrophe, is one piece and goes through the
+    whole tokenizer; simple pieces go straight to its merge model.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.separator = self.special[0]
-        self.separator_id = self.tokenizer.token_to_id(self.separator)
+        self.letters = _byte_letters()
         self._forget()
 
     def _forget(self) -> None:
@@ -55,78 +80,100 @@ class WordEncoder:
         self.starts = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        parts = []
-        for lo in range(0, len(words), 5000):
-            some = words[lo : lo + 5000]
-            ids = np.array(self.tokenizer.encode(self.separator.join(some), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == self.separator_id)
-            parts.append((np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1))
-        sizes = np.concatenate([p[1] for p in parts])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, *(p[0] for p in parts)])
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids end to end, number of ids of each text)."""
-        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.place) + len(distinct) > CACHE_WORDS:
-            self._forget()
+    def _ids(self, piece: str) -> list[int]:
+        if not _SIMPLE.fullmatch(piece):
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return [t.id for t in self.model.tokenize(spelled)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        ids = [self._ids(p) for p in pieces]
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids])])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
+        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
+
+    @staticmethod
+    def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The lower-cased pieces of all rows, and the number of pieces before each row."""
+        data = lowered(data)
+        kind = _KIND[data]
+        lead = np.flatnonzero(data == 0xC3)  # the letters of Latin-1, but for two signs
+        second = data[lead + 1]
+        letter = (second != 0x97) & (second != 0xB7)
+        kind[lead] = kind[lead + 1] = np.where(letter, _LETTER, _OTHER)
+        data[lead + 1] += np.where(letter & (second <= 0x9E), 0x20, 0).astype(np.uint8)
+        full = kind != _SPACE
+        first = full.copy()
+        first[1:] &= ~full[:-1]
+        cuts = offsets[1:-1]
+        cuts = cuts[(cuts > 0) & (cuts < len(data))]
+        first[cuts] = full[cuts]
+        words = np.flatnonzero(first)
+        if not len(words):
+            return pa.array([], pa.large_string()), np.zeros(len(offsets), np.int64)
+        odd = np.repeat(np.maximum.reduceat(kind, words) == _OTHER, np.diff(np.append(words, len(data))))
+        change = kind == _DIGIT
+        change[1:] |= kind[1:] != kind[:-1]
+        change &= full
+        change[words[0] :] &= ~odd
+        begin = np.flatnonzero(first | change)
+        packed = np.cumsum(full)
+        ends = np.append(packed[begin] - 1, packed[-1]).astype(np.int64)
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(data[full])]
+        return pa.Array.from_buffers(pa.large_string(), len(begin), buffers), np.searchsorted(begin, offsets)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each row)."""
+        pieces, bounds = self._pieces(data, offsets)
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in distinct if w not in self.place]
         if new:
+            if len(self.place) + len(new) > CACHE_PIECES:
+                self._forget()
+                new = distinct
             self._learn(new)
         known = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
         at = known[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else known
         first, length = self.starts[at], self.starts[at + 1] - self.starts[at]
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.flat[np.arange(total[-1]) + np.repeat(first - total[:-1], length)]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
         return ids, total[bounds[1:]] - total[bounds[:-1]]
 
-    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """As :meth:`encode`, also right for texts that hold special tokens."""
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids end to end, number of ids of each row) of parts of a batch.
+
+        Texts that hold the name of a special token are encoded whole.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = np.zeros(len(texts), bool)
         for s in self.special:
             odd |= pc.match_substring(texts, s, ignore_case=True).to_numpy(zero_copy_only=False)
-        ids, sizes = self.encode(pc.if_else(pa.array(odd), "", texts))
-        if not odd.any():
-            return ids, sizes
-        parts, ends = [], np.cumsum(sizes)
-        for i, (end, n) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
-            if odd[i]:
-                own = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
-                parts.append(own)
-                sizes[i] = len(own)
-            else:
-                parts.append(ids[end - n : end])
-        return np.concatenate(parts), sizes
+        usual = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        for lo, hi, data, offsets in blocks(usual, BATCH_BYTES):
+            ids, sizes = self.encode(data, offsets)
+            if odd[lo:hi].any():
+                parts, end = [], 0
+                for i, n in enumerate(sizes.tolist()):
+                    own = ids[end : end + n]
+                    end += n
+                    if odd[lo + i]:
+                        own = np.array(self.tokenizer.encode(texts[lo + i].as_py(), add_special_tokens=False).ids, np.uint32)
+                    parts.append(own)
+                ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+            yield lo, ids, sizes
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, PieceEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
         _encoders.clear()
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = PieceEncoder(path)
     return _encoders[path]
 
 
-def _batches(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts) of pieces of about :data:`BATCH_BYTES`."""
-    texts = pc.fill_null(column.cast(pa.large_string()), "")
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    lo = 0
-    while lo < len(texts):
-        base = size[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(size, base + BATCH_BYTES, "right")))
-        yield lo, texts.slice(lo, hi - lo)
-        lo = hi
-
-
 _SHARDS = "part int, shard int, before long, n_tokens long, image binary"
 _NAMES = ["part", "shard", "before", "n_tokens", "image"]
 
@@ -154,13 +201,12 @@ def write_shards(docs: DataFrame, tokenizer: str, text: str = "text", shard_toke
 
         for batch in batches:
             keys = batch.column(0)
-            for lo, texts in _batches(batch.column(1)):
-                ids, sizes = encoder.encode_batch(texts)
+            for lo, ids, sizes in encoder.batches(batch.column(1)):
                 # An end id after every document.
                 stop = np.cumsum(sizes)
                 ids = np.insert(ids, stop, END)
                 stop = stop + np.arange(1, len(stop) + 1)
-                some = keys[lo : lo + len(texts)].to_pylist()
+                some = keys[lo : lo + len(sizes)].to_pylist()
                 done = 0
                 while done < len(some):
                     base = int(stop[done - 1]) if done else 0

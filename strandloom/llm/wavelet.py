@@ -50,9 +50,9 @@ def build(ids: np.ndarray, doc_ids: list, ends: np.ndarray) -> bytes:
     levels = max(1, int(len(alphabet) - 1).bit_length()) if n else 0
     zeros, ranks, chunks = [], [], []
     for level in range(levels):
-        bit = ((rest >> (levels - 1 - level)) & 1).astype(bool)
+        bit = (rest & code.dtype.type(1 << (levels - 1 - level))) != 0
         whole = np.packbits(bit, bitorder="little").tobytes()
-        ones = np.add.reduceat(bit, np.arange(0, n, BLOCK), dtype=np.int64)
+        ones = [np.count_nonzero(bit[i : i + BLOCK]) for i in range(0, n, BLOCK)]
         ranks.append(np.concatenate([[0], np.cumsum(ones)]))
         chunks += [_packed(whole[i : i + BLOCK // 8]) for i in range(0, len(whole), BLOCK // 8)]
         zeros.append(n - int(ranks[-1][-1]))
@@ -176,7 +176,7 @@ class WaveletFile:
         """All ids, in order: the partitions undone from the lowest plane up."""
         rest = np.zeros(self.n, np.uint32 if self.head["alphabet"] > 1 << 16 else np.uint16)
         for level in range(self.levels - 1, -1, -1):
-            bit = np.concatenate([self._read_block(level, b) for b in range(self._per_level)]).astype(bool)
+            bit = np.concatenate([self._read_block(level, b) for b in range(self._per_level)]).view(bool)
             back = np.empty_like(rest)
             back[~bit] = rest[: self.zeros[level]]
             back[bit] = rest[self.zeros[level] :] | rest.dtype.type(1 << (self.levels - 1 - level))
