@@ -9,12 +9,12 @@ starts in a document with a smaller id.
    windows have equal minimizers, so an edge can only repeat inside the group of
    its minimizer, and a group is some hundred bytes where its windows would be
    several times that.
-2. Paths are dealt by minimizer. Where all paths of a group are the same, the
-   path doesn't branch: it is compacted to one, the smallest id among its sources
-   is known, and every other source has all its windows repeated.
-3. Where paths of a group differ, they branch or end at different places. Their
-   sources' coordinates lead back to the texts, the edges are taken apart and
-   each is joined with its smallest source.
+2. Paths are dealt by minimizer. Equal paths are compacted to one: the smallest
+   id among its sources is known, and every other source has all its windows
+   repeated. Where a group has one path only, it doesn't branch and is done.
+3. Where paths of a group differ, they branch or end at different places. The
+   coordinates of each path's smallest source lead back to its text, the edges
+   are taken apart and each is joined with its smallest source.
 4. The spans of both kinds are brought back to the coordinates of the documents
    and the words they cover are removed.
 
@@ -119,21 +119,21 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, doc, place) of repeated paths: kind 0 is repeated as a whole, 1 branches."""
+    """(kind, doc, place) of paths: kind 0 has all its windows repeated, since an
+    equal path has the smaller id ``low``; kind 1 is the first of its kind in a
+    group of different paths."""
     for batch in batches:
-        kind, low, doc, place = (batch.column(i).to_numpy() for i in range(4))
+        straight, low, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         more = batch.column(4)
-        kinds, docs, places = [kind], [doc], [place]
-        lows = [low]
+        parts = [(straight, low, doc, place)]
         for i in np.flatnonzero(more.is_valid().to_numpy(zero_copy_only=False)).tolist():
             both = np.frombuffer(more[i].as_buffer(), np.int64).reshape(2, -1)
-            kinds.append(np.full(both.shape[1], kind[i]))
-            lows.append(np.full(both.shape[1], low[i]))
-            docs.append(both[0])
-            places.append(both[1])
-        kind, low, doc, place = (np.concatenate(x) for x in (kinds, lows, docs, places))
-        good = (kind == 1) | (doc > low)
-        yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (kind.astype(np.int32), doc, place)], ["kind", "doc", "place"])
+            n = both.shape[1]
+            parts.append((np.full(n, straight[i]), np.full(n, low[i]), both[0], both[1]))
+        straight, low, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        kind = np.where(doc > low, 0, 1).astype(np.int32)
+        good = (kind == 0) | ~straight
+        yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (kind, doc, place)], ["kind", "doc", "place"])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,13 +224,13 @@ def _with_spans(docs: DataFrame, text: str) -> DataFrame:
     )
     rows = slim.where("doc_id IS NOT NULL").select("doc", "low", "text")
     paths = rows.mapInArrow(_paths, "best long, path long, doc long, place long, more binary")
-    group = Window.partitionBy("best")
-    straight = F.min("path").over(group) == F.max("path").over(group)
-    low, many = F.min("doc").over(group), (F.max("doc").over(group) > F.min("doc").over(group)) | (F.count("more").over(group) > 0)
+    group, equal = Window.partitionBy("best"), Window.partitionBy("best", "path")
+    many = (F.max("doc").over(group) > F.min("doc").over(group)) | (F.count("more").over(group) > 0)
     repeated = (
-        paths.withColumns({"low": low, "kind": F.when(straight, 0).otherwise(1).cast("long"), "many": many})
+        paths.withColumn("low", F.min("doc").over(equal))
+        .withColumns({"straight": F.min("path").over(group) == F.max("path").over(group), "many": many})
         .where("many")
-        .select("kind", "low", "doc", "place", "more")
+        .select("straight", "low", "doc", "place", "more")
         .mapInArrow(_unpacked, "kind int, doc long, place long")
     )
     repeated = materialise(repeated, "repeated")
