@@ -37,7 +37,7 @@ RATE = 0.3
 LEAST_DOCUMENTS = 8
 GAIN = 8.0
 #: Largest number of labelled rows of each class that the model is fitted on.
-SAMPLE = 2500
+SAMPLE = 1200
 THRESHOLD = 0.7
 
 _WORD = np.zeros(256, bool)
@@ -217,12 +217,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     ["doc_id", "toxic", "bucket", "firsts"],
                 )
 
-    got = rows.mapInArrow(featured, "doc_id long, toxic int, bucket binary, firsts binary").toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(featured, "doc_id long, toxic int, bucket binary, firsts binary").toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     samples = [
-        (np.frombuffer(b.as_buffer(), np.uint32), np.frombuffer(p.as_buffer(), np.uint32).astype(np.int64))
+        (np.frombuffer(b.as_buffer(), np.uint32), np.frombuffer(p.as_buffer(), np.uint32))
         for b, p in zip(got.column("bucket"), got.column("firsts"), strict=True)
     ]
-    return train(samples, got.column("toxic").to_numpy())
+    return train([samples[i] for i in order], got.column("toxic").to_numpy()[order])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
