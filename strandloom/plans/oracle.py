@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandloom.plans.queries import CUTOFF, LEAST, MAP_K, K
+from strandloom.plans.tables import CONTIG
 
 _ALPHABET, _BASES = "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]
 
@@ -22,7 +23,11 @@ def _kmers(relation: str, keep: str, k: int) -> str:
 SEQS = f"""
 seqs AS (SELECT doc_id AS read_index, coalesce(source, '') = 'src0' AS transcript, {_encode("text")} AS seq FROM documents),
 sr AS (SELECT * FROM seqs WHERE NOT transcript), tr AS (SELECT * FROM seqs WHERE transcript)"""
-ITEMS = f"items AS (SELECT item_id AS unitig_id, {_encode('text')} AS seq FROM benchmark)"
+ITEMS = f"""
+whole AS (SELECT item_id, {_encode("text")} AS seq FROM benchmark),
+items AS (
+  SELECT item_id * 1000000 + p AS unitig_id, substr(seq, p * {CONTIG} + 1, {CONTIG}) AS seq
+  FROM (SELECT item_id, seq, unnest(range(0, CAST(ceil(length(seq) / {CONTIG}.0) AS BIGINT))) AS p FROM whole))"""
 
 
 def _counted(relation: str, least: int) -> str:
@@ -122,7 +127,7 @@ ORACLE = {
         SELECT a_id, b_id, CAST(ed AS INTEGER) AS ed, CASE WHEN {_ENDS} AS type, ed / greatest(length(a), length(b)) < 0.6 AS similar FROM e""",
     "best_anchors": f"""WITH {NEXT}, w AS (
         SELECT a_id, b_id, i - 1 AS pos, levenshtein(substr(a, i, 12), substr(b, 1, 12)) AS ed
-        FROM (SELECT *, unnest(range(1, length(a) - 11)) AS i FROM nx WHERE length(a) > 12))
+        FROM (SELECT *, unnest(range(1, length(a) - 11)) AS i FROM nx WHERE length(a) > 12 AND length(b) >= 12))
         SELECT a_id, b_id, CAST(ed AS INTEGER) AS ed, CAST(pos AS INTEGER) AS pos FROM w QUALIFY ed = min(ed) OVER (PARTITION BY a_id, b_id)""",
     "simulated_reads": f"""WITH {SEQS}, c AS (SELECT read_index, start, substr(seq, start + 1, 101) AS s
         FROM (SELECT read_index, seq, unnest(range(0, length(seq) - 101, 30)) AS start FROM seqs))

@@ -174,7 +174,7 @@ def semi_global(spark, sf_dir):
 
 def best_anchors(spark, sf_dir):
     """Where the first bases of the next sequence fit best."""
-    rows = _neighbours(spark, sf_dir).withColumn("anchor", F.substring("b", 1, 12))
+    rows = _neighbours(spark, sf_dir).where(F.char_length("b") >= 12).withColumn("anchor", F.substring("b", 1, 12))
     return S.best_anchors(rows, "a", "anchor", "a_id", "b_id")
 
 

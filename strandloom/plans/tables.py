@@ -25,6 +25,14 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bases of each piece of a benchmark item.
+CONTIG = 40
+
+
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(unitig_id, seq) of every benchmark item, for mapping queries."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("unitig_id"), encode_text(F.col("text")).alias("seq"))
+    """(unitig_id, seq): benchmark items in pieces, which play the unitigs in the
+    mapping queries; a passage copied into a document links its pieces."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", encode_text(F.col("text")).alias("seq")).where("seq <> ''")
+    last = F.floor((F.char_length("seq") - 1) / CONTIG).cast("int")
+    pieces = items.select("item_id", "seq", F.explode(F.sequence(F.lit(0), last)).alias("p"))
+    return pieces.select((F.col("item_id") * 1_000_000 + F.col("p")).alias("unitig_id"), F.substring(F.col("seq"), F.col("p") * CONTIG + 1, F.lit(CONTIG)).alias("seq"))
