@@ -91,7 +91,7 @@ class WaveletFile:
         self.doc_ids = [None if z else int(d) for d, z in zip(self._array("doc_ids", "<i8", docs), null, strict=True)]
         self.ends = self._array("ends", "<i8", docs)
         self.alphabet = self._array("alphabet", "<u4", letters)
-        self._ranks = self._array("ranks", "<i8", self.levels * (per_level + 1)).reshape(self.levels, -1)
+        self._ranks = self._array("ranks", "<i8", self.levels * (per_level + 1)).reshape(self.levels, per_level + 1)
         self._block_ends = self._array("block_ends", "<i8", self.levels * per_level)
         self._per_level = per_level
         self._block = lru_cache(64)(self._read_block)
