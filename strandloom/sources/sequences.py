@@ -21,7 +21,7 @@ def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
     Lines are numbered within a file, so each file is read by one task, as a
     gzip file always is; many files are read side by side.
     """
-    raw = spark.read.option("wholetext", "true").text(list(paths)).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    raw = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
     count = F.floor(F.size("lines") / 4).cast("int")
     rows = raw.where(count > 0).select("file", "lines", F.explode(F.sequence(F.lit(0), count - 1)).alias("n"))
     at = lambda k: F.get("lines", F.col("n") * 4 + k)
