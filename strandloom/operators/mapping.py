@@ -135,3 +135,30 @@ def vertices(colours: DataFrame, k: int) -> DataFrame:
 def without_blue_only(vertex: DataFrame) -> DataFrame:
     """Vertices but for those that transcripts touch and no short read does."""
     return vertex.where("NOT (tr_count > 0 AND sr_count = 0)")
+
+
+def reassembled(mapping: DataFrame, unitigs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
+    """(read_index, same): whether a read's forward hits spell the read.
+
+    Each hit gives the base at its place, and the first one a whole k-mer; a read
+    with a k-mer missing isn't spelled.
+    """
+    turned = F.when(F.col("strand") == "F", F.col("seq")).otherwise(reverse_complement(F.col("seq")))
+    hits = mapping.where("orientation = 'FW'").join(unitigs.select("unitig_id", "seq"), "unitig_id")
+    kmer = F.substring(turned, F.col("pos") + 1, F.lit(k))
+    parts = hits.select("read_index", F.struct("i", F.when(F.col("i") == 0, kmer).otherwise(F.right(kmer, F.lit(1))).alias("s")).alias("x"))
+    spelled = parts.groupBy("read_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "").alias("spelled"))
+    return reads.join(spelled, "read_index", "left").select("read_index", F.coalesce(F.col("spelled") == F.col("seq"), F.lit(False)).alias("same"))
+
+
+def quantified_paths(paths: DataFrame) -> DataFrame:
+    """Paths (nodes: array of struct with sr_count) by falling mean short-read count."""
+    total = F.aggregate("nodes", F.lit(0.0), lambda a, n: a + n["sr_count"])
+    return paths.withColumn("sr_mean", total / F.size("nodes")).orderBy(F.desc("sr_mean"))
+
+
+def edge_list(links: DataFrame, vertex: DataFrame) -> DataFrame:
+    """(src, dst, weight): named vertices and the weight of the end, for graph viewers."""
+    end = vertex.select(F.col("unitig_id").alias("dst"), F.col("strand").alias("dst_strand"), "weight")
+    name = lambda u, s: F.concat_ws("_", F.col(u).cast("string"), F.col(s))
+    return links.join(end, ["dst", "dst_strand"]).select(name("src", "src_strand").alias("src"), name("dst", "dst_strand").alias("dst"), "weight")

@@ -95,3 +95,17 @@ def fasta_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sequences of one side only, counted, ignoring order and headers."""
     one = a.select(F.upper("seq").alias("seq")).exceptAll(b.select(F.upper("seq").alias("seq"))).withColumn("side", F.lit("a"))
     return one.unionByName(b.select(F.upper("seq").alias("seq")).exceptAll(a.select(F.upper("seq").alias("seq"))).withColumn("side", F.lit("b")))
+
+
+def paired_header(header: Column, place: Column) -> Column:
+    """``Bubble_<a>_...`` with the number of the pair, two records each, in place of the rest."""
+    parts = F.split(header, "_")
+    return F.concat_ws("_", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.floor(place / 2).cast("string"))
+
+
+def bubbles_with(bubbles: DataFrame, *patterns: str) -> DataFrame:
+    """Bubbles whose headers hold every pattern, in either record."""
+    kept = F.lit(True)
+    for p in patterns:
+        kept = kept & (F.col("a_header").contains(p) | F.col("b_header").contains(p))
+    return bubbles.where(kept)
