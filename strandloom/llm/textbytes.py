@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -69,6 +69,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         hi = min(hi, n)
         yield lo, hi, data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

@@ -35,9 +35,9 @@ SHARD_TOKENS = 1 << 19
 #: Rows meant for each partition.
 PARTITION_ROWS = 8192
 #: Text bytes encoded at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Pieces that a worker remembers; it forgets all when there are more.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 500_000
 
 
 _SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
