@@ -18,6 +18,14 @@ probability (1 - (1 - s**2)**10)**2: 0.9995 at 0.75, 0.9999 at 0.8.
 5. The first links form a forest, whose roots come from pointer doubling; the
    trees that further links join come from label propagation with pointer
    jumping. Both run in Spark.
+6. A prefix-filtered exact join finds every link between different groups that
+   the tables or the picks missed. Shingles stand in one order, the frequent ones
+   last. Of two sets that are similar enough, the first seventh of the smaller and
+   the first quarter of the larger one share a shingle, so a template that
+   thousands of texts share brings up no pair unless the texts are links. Groups
+   found before count as one, so a group of near copies brings up none either.
+   A pair whose first quarters show that it can't be a link is dropped, all others
+   are confirmed on full sets. The links found join the groups.
 
 Every step is a shuffled join or aggregation that Spark can split or combine on
 the map side; what is written between them lies in the shared folder.
@@ -29,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import materialise, table
+from strandloom.llm.common import materialise, release, table
 from strandloom.llm.textbytes import blocks, lowered, mix64, run_hashes, space_words, word_hashes
 
 SHINGLE = 5
@@ -42,6 +50,12 @@ COLLECTION = 10
 ROWS = 2
 #: Id tables of up to so many rows (16 bytes each) are broadcast to find texts again.
 BROADCAST_IDS = 500_000
+#: Shingles are counted in chunks of so many. Those that a chunk has OFTEN times or
+#: more can count as frequent, at most FREQUENT of all chunks. These figures change
+#: the order of shingles only: the exact join finds the same links in any order.
+CHUNK = 1 << 22
+OFTEN = 2
+FREQUENT = 1_000_000
 
 _HASHES = 2 * COLLECTION * ROWS
 _ODD = mix64(np.arange(11, 11 + _HASHES, dtype=np.uint64)) | np.uint64(1)
@@ -135,6 +149,82 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].filter(pa.array(own)), pa.array(sets, pa.binary())], ["node", "items"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, n) of the shingles that many rows of a chunk share."""
+
+    def often(parts: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x[n >= OFTEN].view(np.int64)) for x in (values, n)], ["shingle", "n"])
+
+    parts, size = [], 0
+    for batch in batches:
+        for _, _, data, offsets in blocks(batch.column(0)):
+            parts.append(shingle_sets(data, offsets)[0])
+            size += len(parts[-1])
+            if size >= CHUNK:
+                yield often(parts)
+                parts, size = [], 0
+    if parts:
+        yield often(parts)
+
+
+def _prefixes(frequent: np.ndarray, ranks: np.ndarray):
+    """Function that gives each row's fingerprint and the first shingles of its set.
+
+    ``frequent``: sorted hashes of the shingles that come last, in the order of
+    ``ranks`` (from 1). All others come before them, ordered by hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in blocks(batch.column(1)):
+                values, bounds = shingle_sets(data, offsets)
+                f1, f2 = fingerprints(values, bounds)
+                rank = np.zeros(len(values), np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+                    rank = np.where(frequent[at] == values, ranks[at], 0)
+                values = values[np.lexsort((rank, np.repeat(np.arange(hi - lo), np.diff(bounds))))]
+                n = np.diff(bounds)
+                ends = bounds[:-1] + n - (n * PERCENT + 99) // 100 + 1
+                first = [values[a:b].tobytes() if m else None for a, b, m in zip(bounds[:-1].tolist(), ends.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(f1), pa.array(f2), pa.array(first, pa.binary())], ["node", "f1", "f2", "first"])
+
+    return run
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of the prefixes, with its place there."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
+            firsts = part.column(3).to_pylist()
+            size = np.array([len(x) // 8 for x in firsts])
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            columns = [np.repeat(part.column(i).to_numpy(), size) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts), np.int64)), *map(pa.array, columns), pa.array(place)], ["shingle", "node", "component", "n", "place"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose common shingles, as far as their prefixes tell, can be enough.
+
+    Common shingles up to the last one that both prefixes hold are all known; any
+    other comes after it, and outside of one prefix at least.
+    """
+    for batch in batches:
+        good = np.zeros(batch.num_rows, bool)
+        x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        lists = [batch.column(i) for i in range(4, 8)]
+        for i in range(batch.num_rows):
+            a, a_place, b, b_place = (c[i].values.to_numpy() for c in lists)
+            both, at, bt = np.intersect1d(a, b, return_indices=True)
+            if len(both):
+                beyond_a = min((x[i] * PERCENT + 99) // 100 - 1, y[i] - 1 - int(b_place[bt].max()))
+                beyond_b = min((y[i] * PERCENT + 99) // 100 - 1, x[i] - 1 - int(a_place[at].max()))
+                good[i] = (len(both) + max(beyond_a, beyond_b)) * (100 + PERCENT) >= (x[i] + y[i]) * PERCENT
+        yield batch.select([0, 1]).filter(pa.array(good))
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = np.zeros(batch.num_rows, bool)
@@ -177,6 +267,11 @@ def roots(parents: DataFrame) -> DataFrame:
             return state.select("node", "component")
 
 
+def _forget(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    df.sparkSession._jvm.System.gc()
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = pairs.join(sets.selectExpr("node AS a", "items AS a_items"), "a")
@@ -184,6 +279,51 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "a_items", "b_items").mapInArrow(_confirmed, "a long, b long")
 
 
+def _sets(pairs: DataFrame, chosen: DataFrame, slim: DataFrame) -> DataFrame:
+    """(node, items): the full set of each node of ``pairs``, from its text."""
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    wanted = materialise(chosen.select("node", "f1", "f2").join(wanted, "node"), "wanted")
+    known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    again = known.join(slim, known.node == slim.doc_id) if known is wanted else slim.join(known, slim.doc_id == known.node)
+    return materialise(again.select("node", "f1", "f2", "text").mapInArrow(_set_rows, "node long, items binary"), "sets")
+
+
+def _missed(members: DataFrame, slim: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar enough: all links are among them.
+
+    ``members``: (node, f1, f2, n, component), one row for each distinct set.
+    """
+    counts = slim.select("text").mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    shingle, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    ranks = np.empty(len(n), np.int64)
+    ranks[np.lexsort((shingle, n))] = np.arange(1, len(n) + 1)
+    order = np.argsort(shingle)
+
+    firsts = slim.mapInArrow(_prefixes(shingle[order], ranks[order]), "node long, f1 long, f2 long, first binary").where("first IS NOT NULL")
+    rows = firsts.join(members, ["node", "f1", "f2"]).select("node", "component", "n", "first")
+    rows = rows.mapInArrow(_spread, "shingle long, node long, component long, n long, place long")
+    same = Window.partitionBy("shingle")
+    shared = rows.withColumns({"least": F.min("component").over(same), "most": F.max("component").over(same)}).where("least <> most")
+    shared = materialise(shared.drop("least", "most"), "shared")
+    _forget(shared)
+    # The smaller set of a link has at least 2 * PERCENT / (100 + PERCENT) of its shingles in common.
+    small = shared.where(f"place <= n - (n * {2 * PERCENT} + {99 + PERCENT}) div {100 + PERCENT}")
+    fits = (
+        "s.shingle = l.shingle AND s.component <> l.component AND (s.n < l.n OR s.n = l.n AND s.node < l.node)"
+        f" AND s.n * 100 >= l.n * {PERCENT} AND least(s.n - s.place, l.n - l.place) * {100 + PERCENT} >= (s.n + l.n) * {PERCENT}"
+    )
+    found = small.alias("s").join(shared.alias("l"), F.expr(fits))
+    near = materialise(found.selectExpr("greatest(s.node, l.node) AS a", "least(s.node, l.node) AS b").distinct(), "near")
+    _forget(near)
+    ends = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
+    prefix = shared.join(ends, "node", "left_semi").dropDuplicates(["node", "shingle"]).groupBy("node")
+    prefix = materialise(prefix.agg(F.first("n").alias("n"), F.collect_list(F.struct("shingle", "place")).alias("f")).selectExpr("node", "n", "f.shingle AS shingles", "f.place AS places"), "prefixes")
+    of = lambda c: prefix.selectExpr(f"node AS {c}", f"n AS {c}_n", f"shingles AS {c}_s", f"places AS {c}_p")
+    both = near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_n", "b_n", "a_s", "a_p", "b_s", "b_p")
+    return materialise(both.mapInArrow(_possible, "a long, b long"), "missed")
+
+
 def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -197,7 +337,7 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = live.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
     first = classes.groupBy("node").agg(F.min(F.struct("f1", "f2")).alias("f")).select("node", "f.f1", "f.f2")
     named = live.withColumnRenamed("doc_id", "node")
-    chosen = materialise(named.join(first, ["node", "f1", "f2"]).dropDuplicates(["node"]).select("node", "f1", "f2", "hashes"), "chosen")
+    chosen = materialise(named.join(first, ["node", "f1", "f2"]).dropDuplicates(["node"]).select("node", "f1", "f2", "n", "hashes"), "chosen")
 
     rows = chosen.select("node", "hashes").mapInArrow(_keyed, "key long, node long")
     rows = rows.withColumn("p", F.col("node").bitwiseXOR(F.col("key")))
@@ -211,13 +351,9 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
         .agg(F.count("*").alias("tables"))
     )
     pairs = materialise(pairs, "pairs")
+    _forget(pairs)
 
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    wanted = materialise(chosen.drop("hashes").join(wanted, "node"), "wanted")
-    known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    again = known.join(slim, known.node == slim.doc_id) if known is wanted else slim.join(known, slim.doc_id == known.node)
-    sets = materialise(again.select("node", "f1", "f2", "text").mapInArrow(_set_rows, "node long, items binary"), "sets")
-
+    sets = _sets(pairs, chosen, slim)
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("tables", -F.col("b"))).alias("b"))
     found = roots(_confirm(best, sets))  # each text with its likeliest smaller one: a forest
     side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
@@ -225,9 +361,19 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     rest = ends(pairs.select("a", "b").join(best, ["a", "b"], "left_anti")).where("x <> y").select("a", "b")
     more = materialise(_confirm(rest, sets), "links")
     joined = components(ends(more).select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct())
+    release(sets)
+    _forget(pairs)
 
     labelled = classes.join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("first"))
     labelled = labelled.join(joined, F.col("first") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "first").alias("component"))
+
+    members = materialise(chosen.drop("hashes").join(labelled, ["f1", "f2"]), "members")
+    missed = _missed(members, slim)
+    late = _confirm(missed, _sets(missed, chosen, slim))
+    of = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    late = late.join(of("a"), "a").join(of("b"), "b").select(F.col("a_c").alias("a"), F.col("b_c").alias("b")).distinct()
+    last = components(late).select(F.col("node").alias("component"), F.col("component").alias("last"))
+    labelled = labelled.join(last, "component", "left").select("f1", "f2", F.coalesce("last", "component").alias("component"))
     group = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return (
         sketches.select("doc_id", "n", "f1", "f2")

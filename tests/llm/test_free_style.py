@@ -66,6 +66,24 @@ def test_near_dedup_against_brute_force(spark, extra):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(roots)
 
 
+def test_near_dedup_finds_links_inside_a_family_of_one_template(spark):
+    """Texts of sentences from one stock share most shingles but aren't links; 40 have a partner that is one."""
+    rng = random.Random(11)
+    stock = [" ".join(f"s{i}w{j}" for j in range(10)) for i in range(40)]
+    texts = []
+    for i in range(1000):
+        chosen = sorted(rng.sample(range(40), 29))
+        texts.append(" ".join(stock[j] for j in chosen))
+        if i < 40:
+            gone = rng.sample(chosen[1:-1], 3)
+            texts.append(" ".join(stock[j] for j in chosen if j not in gone))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    roots, _ = brute_groups(texts)
+    assert len(texts) - len(set(roots)) >= 30
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(df).collect()}
+    assert [got[i] for i in range(len(texts))] == roots
+
+
 def test_near_dedup_null_and_repeated_ids(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(None, text), (5, text), (5, text), (7, text), (9, "else")], "doc_id long, text string")
