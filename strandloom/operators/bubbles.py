@@ -42,17 +42,20 @@ def _extend(path, next_base, seqs, k):
     return out
 
 
-def _paths(start, targets, links, weights, hints, budget, wanted):
-    """Simple paths from a start to any target within the budget.
+def _paths(start, targets, links, weights, hints, budget, full):
+    """Simple paths from a start to any target within the budget, one at a time.
+
+    No path to a target in ``full`` comes; the caller adds to it as it goes.
 
     Neighbours that more of the path hints at come first, then those with more
     short reads, then by name.
     """
-    found, stack = [], [((start,), 0)]
-    while stack and len(found) < wanted:
+    stack = [((start,), 0)]
+    while stack and len(full) < len(targets):
         path, used = stack.pop()
         if len(path) > 1 and path[-1] in targets:
-            found.append(path)
+            if path[-1] not in full:
+                yield path
             continue
         choices = []
         for node in links.get(path[-1], ()):
@@ -61,7 +64,6 @@ def _paths(start, targets, links, weights, hints, budget, wanted):
                 hinted = sum((p, node) in hints for p in path)
                 choices.append(((hinted, weights[node][1], [-node[0], node[1]]), (*path, node), cost))
         stack += [(p, c) for _, p, c in sorted(choices, key=lambda x: x[0])]
-    return found
 
 
 def _search(limits: Limits):
@@ -97,16 +99,18 @@ def _search(limits: Limits):
                     ("IR", limits.complexity_ir, limits.max_length_intron + 1, i + k + 1),
                 ):
                     places = {n: j for n, j in reversed(list(zip(nodes, start_i, strict=True))) if i + max(1, k - 10) <= j < last and n != source}
-                    given = 0
-                    for path in _paths(source, places, links, weights, hints, budget, 4 * most):
+                    given, full = {}, set()
+                    for path in _paths(source, places, links, weights, hints, budget, full):
                         novel = _extend(path, label, seqs, k)
-                        if novel in transcript or given >= most:
+                        if novel in transcript:
                             continue
                         old = any(similar(novel, s, limits.min_edit_distance) for s in seen)
                         seen.append(novel)
                         if old:
                             continue
-                        given += 1
+                        given[path[-1]] = given.get(path[-1], 0) + 1
+                        if given[path[-1]] >= most:
+                            full.add(path[-1])
                         j = places[path[-1]]
                         rows.append((key[0], kind, i, " ".join(f"{n}_{s}" for n, s in path), transcript[i : j + k], novel, len(path)))
         rows = rows or []

@@ -3,6 +3,7 @@
 import collections
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from strandloom.operators import bubbles, kmers, mapping, traversal, unitigs
@@ -125,6 +126,25 @@ def test_mapping_links_and_a_skipped_exon(spark):
     assert mapping.quantified(own, colours).first().sr_mean == 8.0
 
 
+def test_bubbles_behind_many_similar_paths_and_to_a_second_end():
+    k, start, ends = 15, (0, "F"), ((1, "F"), (2, "F"))
+    seqs = {n: random_seq(40, 50 + n[0]) for n in (start, *ends)}
+    base = random_seq(60, 60)
+    middle = {(100 + i, "F"): base[: 20 + i] + "ACGT"["CGTA".index(base[20 + i])] + base[21 + i :] for i in range(12)}
+    middle |= {(200, "F"): random_seq(60, 61), (300, "F"): random_seq(60, 62)}
+    rows = []
+    for n, seq in middle.items():
+        end, reads = ends[n[0] == 300], 9 if n[0] < 200 else 2
+        for a, b, x, y in ((start, n, seqs[start], seq), (n, end, seq, seqs[end])):
+            rows.append((*a, *b, x, 1, reads, y, 1, reads, True, ""))
+    graph = pd.DataFrame(rows, columns="src src_strand dst dst_strand src_seq src_w src_sr dst_seq dst_w dst_sr link label".split())
+    known = [start] * 100 + [ends[0]] * 40 + [ends[1]] * 5
+    walk = pd.DataFrame([(i, *n) for i, n in enumerate(known)], columns=["i", "unitig_id", "strand"])
+    walk["transcript"] = random_seq(200, 63)
+    found = bubbles._search(bubbles.Limits(k=k, complexity_as=2))((0,), walk, graph)
+    assert sorted(found["path"]) == ["0_F 100_F 1_F", "0_F 200_F 1_F", "0_F 300_F 2_F"]
+
+
 def test_gap_splits_a_run(spark):
     rows = [(0, "FW", i, u, "F", i) for i, u in ((0, 1), (1, 1), (3, 1), (4, 2), (5, 1))]
     hits = spark.createDataFrame(rows, "read_index long, orientation string, i int, unitig_id long, strand string, pos int")
