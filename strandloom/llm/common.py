@@ -58,6 +58,11 @@ def release(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint, if the table has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, also where the
     body uses it many times or inside a nested lambda."""

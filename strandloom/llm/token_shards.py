@@ -15,6 +15,7 @@ once; see :class:`PieceEncoder`.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,15 +28,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm import wavelet
-from strandloom.llm.common import materialise, no_null, table
+from strandloom.llm.common import materialise, no_null, small, table
 from strandloom.llm.textbytes import blocks, lowered
 
 END = 2
 SHARD_TOKENS = 1 << 19
-#: Rows meant for each partition.
-PARTITION_ROWS = 8192
+#: Bytes of text, with a few for each row, meant for each partition.
+PARTITION_BYTES = 16 << 20
+ROW_BYTES = 64
+#: Characters of a text that take part in its place in the order.
+HEAD = 32
 #: Text bytes encoded at once.
 BATCH_BYTES = 4 << 20
+#: Tables of up to so many partitions (16 bytes each) are broadcast.
+BROADCAST_PARTS = 100_000
 #: Pieces that a worker remembers; it forgets all when there are more.
 CACHE_PIECES = 500_000
 
@@ -50,11 +56,27 @@ _KIND[97:123] = _LETTER
 _SIMPLE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\[-`{-~]+|[0-9]")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The character that stands for each byte in a byte-level vocabulary."""
+# The rules that pieces rely on, as tokenizer files spell them.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+def _byte_letters() -> str:
+    """The characters that stand for the bytes 0 to 255 in a byte-level vocabulary."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
-    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+    return "".join(chr(b) if b in plain else chr(next(rest)) for b in range(256))
 
 
 class PieceEncoder:
@@ -63,7 +85,8 @@ class PieceEncoder:
     A piece is what the tokenizer's own rules separate anyway: a run of letters,
     a single digit or a run of marks. A word that holds anything but ASCII and
     the letters of Latin-1, or an apostrophe, is one piece and goes through the
-    whole tokenizer; simple pieces go straight to its merge model.
+    whole tokenizer as it stands; simple pieces are lower-cased and go straight
+    to its merge model. A tokenizer with other rules encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -71,8 +94,11 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.known_rules = all(said.get(k) == v for k, v in _RULES.items())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(_byte_letters()))
         self._forget()
 
     def _forget(self) -> None:
@@ -83,7 +109,7 @@ class PieceEncoder:
     def _ids(self, piece: str) -> list[int]:
         if not _SIMPLE.fullmatch(piece):
             return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.model.tokenize(spelled)]
 
     def _learn(self, pieces: list[str]) -> None:
@@ -94,8 +120,8 @@ class PieceEncoder:
 
     @staticmethod
     def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """The lower-cased pieces of all rows, and the number of pieces before each row."""
-        data = lowered(data)
+        """The pieces of all rows, and the number of pieces before each row."""
+        given, data = data, lowered(data)
         kind = _KIND[data]
         lead = np.flatnonzero(data == 0xC3)  # the letters of Latin-1, but for two signs
         second = data[lead + 1]
@@ -112,6 +138,8 @@ class PieceEncoder:
         if not len(words):
             return pa.array([], pa.large_string()), np.zeros(len(offsets), np.int64)
         odd = np.repeat(np.maximum.reduceat(kind, words) == _OTHER, np.diff(np.append(words, len(data))))
+        # Composition comes before lower-casing, so an odd word keeps its case.
+        data[words[0] :] = np.where(odd, given[words[0] :], data[words[0] :])
         change = kind == _DIGIT
         change[1:] |= kind[1:] != kind[:-1]
         change &= full
@@ -143,10 +171,11 @@ class PieceEncoder:
     def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids end to end, number of ids of each row) of parts of a batch.
 
-        Texts that hold the name of a special token are encoded whole.
+        Texts that hold the name of a special token are encoded whole, and so are
+        all texts if the tokenizer's rules aren't those of :data:`_RULES`.
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.zeros(len(texts), bool)
+        odd = np.full(len(texts), not self.known_rules)
         for s in self.special:
             odd |= pc.match_substring(texts, s, ignore_case=True).to_numpy(zero_copy_only=False)
         usual = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
@@ -182,10 +211,13 @@ def write_shards(docs: DataFrame, tokenizer: str, text: str = "text", shard_toke
     """Encode and write; returns the shard table read back from its files.
 
     Documents lie in ascending id order over (part, shard), nulls first; rows
-    with the same id lie in the order of their texts. Null and empty texts are
-    just the end id. ``before``: ids of the same part in earlier shards.
+    with the same id lie in the order of their first characters, then of a digest
+    of their texts, so the rows of one id can be dealt to many tasks. Null and
+    empty texts are just the end id. Other columns are ignored. ``before``: ids of
+    the same part in earlier shards.
     """
-    parts = max(1, -(-docs.count() // PARTITION_ROWS))
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+    parts = max(1, -(-size // PARTITION_BYTES))
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
@@ -222,10 +254,13 @@ def write_shards(docs: DataFrame, tokenizer: str, text: str = "text", shard_toke
         if names:
             yield close()
 
+    order = ["doc_id", "head", "digest", "place"]
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), no_null(text).alias("text"))
-        .repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumns({"head": F.substring("text", 1, HEAD), "digest": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+        .repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text")
     )
     return materialise(rows.mapInArrow(written, _SHARDS), "shards")
 
@@ -235,8 +270,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
     run = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     offsets = offsets.select(F.col("part").alias("o_part"), F.coalesce(F.sum("n").over(run), F.lit(0)).alias("offset"))
-    # One row for each of the partitions that write_shards made: some hundred bytes a gigabyte of text.
-    placed = shards.join(F.broadcast(offsets), F.col("part") == F.col("o_part"))
+    # One row for each of the partitions that write_shards made; beyond a size, a shuffled join.
+    placed = shards.join(small(offsets, BROADCAST_PARTS), F.col("part") == F.col("o_part"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -129,13 +129,37 @@ def test_small_shards_and_null_ids(spark):
 def test_pieces_equal_the_whole_tokenizer():
     rng = random.Random(3)
     letters = "abzABZéÉñßÿÀ×÷ªµ019.,!?'|<>- \t\ńKİſ中\x00\x1f\x7f\x85’"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["<|startoftext|> a <|ENDOFTEXT|>", "I'LL don't"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    texts += ["<|startoftext|> a <|ENDOFTEXT|>", "I'LL don't", "T\u0308 H\u0331x J\u030c W\u030a Y\u030a"]
     encoder = token_shards.PieceEncoder(token_shards.word_bpe())
+    assert encoder.known_rules
     for lo, ids, sizes in encoder.batches(pa.array(texts)):
         for i, end in enumerate(np.cumsum(sizes)):
             assert encoder.tokenizer.encode(texts[lo + i], add_special_tokens=False).ids == ids[end - sizes[i] : end].tolist()
 
 
+def test_a_tokenizer_with_other_rules_encodes_whole_texts(tmp_path):
+    import json
+
+    with open(token_shards.word_bpe(), encoding="utf-8") as f:
+        rules = json.load(f)
+    rules["normalizer"]["normalizers"].pop()  # no lower-casing
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    encoder = token_shards.PieceEncoder(str(tmp_path / "other.json"))
+    assert not encoder.known_rules
+    texts = ["Mixed CASE one", "", "it's T\u0308"]
+    for _, ids, sizes in encoder.batches(pa.array(texts)):
+        assert [len(encoder.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts] == list(sizes)
+
+
+def test_one_id_with_many_texts(spark):
+    rows = [(7, f"text {i % 40} of one id") for i in range(120)] + [(8, "last")]
+    shards = token_shards.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), token_shards.word_bpe(), shard_tokens=100)
+    got = sorted(tuple(r) for r in token_shards.read_documents(shards).select("start", "doc_id", "n_tokens").collect())
+    assert len(got) == len(rows) and got[-1][1] == 8 and got[0][0] == 0
+    assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:], strict=False))
+
+
 @pytest.mark.parametrize("n", [0, 1, 1000, 70_000])
 def test_wavelet_queries(n, tmp_path):
     ids = np.minimum(np.random.default_rng(n).geometric(0.01, n), 60_000).astype(np.uint32)
