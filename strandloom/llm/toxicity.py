@@ -2,14 +2,16 @@
 
 A word is a bag of its character n-grams (with a mark at both word ends) and of
 itself, hashed into :data:`BUCKETS` buckets; so an unseen misspelling shares
-most of its vectors with the word it comes from. A passage of :data:`PASSAGE`
-words is the average of its bags' vectors, a linear softmax turns it into two
-class probabilities, and a document is as toxic as its most toxic passage, so a
-single insult counts the same in a short and in a very long text.
+most of its vectors with the word it comes from. A passage, any
+:data:`PASSAGE` consecutive words, is the average of its bags' vectors, a linear
+softmax turns it into two class probabilities, and a document is as toxic as its
+most toxic passage, so a single insult counts the same in a short and in a very
+long text.
 
 Vectors and softmax are trained jointly in numpy by stochastic gradient descent
 on a bounded sample of labelled rows (:data:`SAMPLE` of each class, the first
-in the order of a digest of the id). Features of the sample are computed on the
+in the order of a digest of the id, as long as their texts have
+:data:`SAMPLE_BYTES` bytes at most). Features of the sample are computed on the
 executors from whole texts. Scoring is one pass with Arrow batches.
 """
 
@@ -20,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import no_null, table
-from strandloom.llm.textbytes import blocks, lowered
+from strandloom.llm.textbytes import blocks, lowered, word_hashes
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
@@ -33,11 +35,13 @@ DIMENSIONS = 8
 #: Epochs on whole documents, then on most toxic passages; step; first scale of the softmax.
 WARM_AND_FINE = (4, 8)
 RATE = 0.3
-#: A bucket seen in fewer sampled documents keeps a zero vector.
-LEAST_DOCUMENTS = 8
+#: A bucket that a smaller share of the sampled documents has keeps a zero vector.
+LEAST_SHARE = 1 / 300
 GAIN = 8.0
-#: Largest number of labelled rows of each class that the model is fitted on.
+#: Largest number of labelled rows of each class that the model is fitted on, and
+#: largest number of bytes of their texts (the driver holds some 12 times as much).
 SAMPLE = 1200
+SAMPLE_BYTES = 6 << 20
 THRESHOLD = 0.7
 
 _WORD = np.zeros(256, bool)
@@ -54,10 +58,10 @@ class Model:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, passage) of every feature, and the first passage of each row.
+    """(bucket, word) of every feature, and the first word of each row with one entry more for the end.
 
-    Features come ordered by n-gram length, not by place. Every row has at least
-    one passage; a tail of fewer than :data:`PASSAGE` words joins the last one.
+    Features come ordered by n-gram length, not by place. A word is hashed whole,
+    whatever its length.
     """
     rows = len(offsets) - 1
     data = lowered(data)
@@ -66,17 +70,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     b = np.full(len(data) + rows + 1, 32, np.uint8)
     b[place] = data
     word = _WORD[b]
-    first = word.copy()
+    first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    begin = offsets + np.arange(rows + 1)  # separator before the row
+    first_word = np.searchsorted(starts, begin)
     number = np.cumsum(first, dtype=np.int64) - 1  # word that a byte of a word belongs to
-    begin = offsets[:-1] + np.arange(rows)  # separator before the row
-    words_before = np.append(np.concatenate([[0], np.cumsum(first)])[begin], int(first.sum()))
-    words = np.diff(words_before)
-    passages = np.maximum(1, words // PASSAGE)
-    first_passage = np.concatenate([[0], np.cumsum(passages)])
-    row_of_word = np.repeat(np.arange(rows), words)
-    in_row = np.arange(len(row_of_word)) - words_before[:-1][row_of_word]
-    passage_of_word = first_passage[row_of_word] + np.minimum(in_row // PASSAGE, passages[row_of_word] - 1)
 
     b32 = np.where(word, b, 32).astype(np.uint32)
     found, where = [], []
@@ -93,39 +93,48 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             h = (h ^ b32[at + j]) * _STEP
         h ^= h >> np.uint32(15)
         found.append((h & np.uint32(BUCKETS - 1)).astype(np.uint32))
-        where.append(passage_of_word[number[at + 1]])
-    if len(row_of_word):
-        starts = np.flatnonzero(first)
-        size = np.minimum(np.bincount(number[word], minlength=len(starts)), 24)
-        h = np.full(len(starts), 0x811C9DC5, np.uint32)
-        for j in range(int(size.max())):
-            live = np.flatnonzero(size > j)
-            h[live] = (h[live] ^ b32[starts[live] + j]) * _STEP
-        h ^= h >> np.uint32(15)
-        found.append((h & np.uint32(BUCKETS - 1)).astype(np.uint32))
-        where.append(passage_of_word)
-    if not found:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64), first_passage
-    return np.concatenate(found), np.concatenate(where), first_passage
+        where.append(number[at + 1])
+    found.append((word_hashes(b, starts, ends) & np.uint64(BUCKETS - 1)).astype(np.uint32))
+    where.append(np.arange(len(starts)))
+    return np.concatenate(found), np.concatenate(where), first_word
+
+
+def passages(totals: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``totals`` (one entry a word) over every passage, and the first passage of each row.
+
+    A passage starts at every word that has :data:`PASSAGE` words from there on;
+    a row of fewer words is one passage, and so is a row without words.
+    """
+    words = np.diff(first_word)
+    number = np.maximum(1, words - PASSAGE + 1)
+    first = np.concatenate([[0], np.cumsum(number)])
+    start = np.arange(first[-1]) + np.repeat(first_word[:-1] - first[:-1], number)
+    end = np.repeat(first_word[1:], number)
+    padded = np.concatenate([totals, np.zeros(PASSAGE)])
+    out = np.zeros(len(start))
+    for j in range(PASSAGE):
+        out += np.where(start + j < end, padded[start + j], 0.0)
+    return out, first
 
 
 def score_block(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Probability of the toxic class for each row."""
-    bucket, passage, first_passage = features(data, offsets)
-    total = np.bincount(passage, model.weight[bucket], minlength=first_passage[-1])
-    number = np.bincount(passage, minlength=first_passage[-1])
+    bucket, word, first_word = features(data, offsets)
+    total, first = passages(np.bincount(word, model.weight[bucket], minlength=first_word[-1]), first_word)
+    number, _ = passages(np.bincount(word, minlength=first_word[-1]), first_word)
     logit = total / np.maximum(number, 1) + model.bias
-    return 1.0 / (1.0 + np.exp(-np.maximum.reduceat(logit, first_passage[:-1])))
+    return 1.0 / (1.0 + np.exp(-np.maximum.reduceat(logit, first[:-1])))
 
 
 def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: tuple[int, int] = WARM_AND_FINE, seed: int = 7) -> Model:
     """Fit vectors and softmax jointly, by AdaGrad on batches of 32 documents.
 
     ``samples``: for each document the buckets of its features, ordered by
-    passage, and the place where each passage begins. In the first epochs a
+    word, and the place where each word begins. In the first epochs a
     document is the average of all its features; in the later ones it is the
     average of its most toxic passage, as in scoring. With only one class
-    present, or none, the model scores every text alike.
+    present, or none, the model scores every text alike. A bucket that fewer
+    than :data:`LEAST_SHARE` of the documents have keeps a zero vector.
     """
     positive = int(labels.sum())
     if not 0 < positive < len(labels):
@@ -135,7 +144,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
     common = np.zeros(BUCKETS, np.int32)
     for bucket, _ in samples:
         common[np.unique(bucket)] += 1
-    learns = common >= LEAST_DOCUMENTS
+    learns = common >= max(1, round(LEAST_SHARE * len(labels)))
     vectors = rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)) * learns[:, None]
     softmax = rng.normal(0, 1.0, (DIMENSIONS, 2)) * GAIN
     bias = np.zeros(2)
@@ -153,10 +162,10 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
             for i in batch:
                 bucket, firsts = samples[i]
                 if epoch >= warm:
-                    sums = np.add.reduceat(effective[bucket], firsts)
-                    ends = np.append(firsts[1:], len(bucket))
-                    best = int(np.argmax(sums / (ends - firsts)))
-                    bucket = bucket[firsts[best] : ends[best]]
+                    bounds = np.append(firsts, len(bucket))
+                    sums, _ = passages(np.add.reduceat(effective[bucket], firsts), np.array([0, len(firsts)]))
+                    best = int(np.argmax(sums / (bounds[np.minimum(np.arange(len(sums)) + PASSAGE, len(firsts))] - bounds[: len(sums)])))
+                    bucket = bucket[bounds[best] : bounds[min(best + PASSAGE, len(firsts))]]
                 chosen.append(bucket)
             sizes = np.array([len(c) for c in chosen])
             flat = np.concatenate(chosen)
@@ -183,37 +192,39 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
     return Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` rows of each class of ``labels``.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Train on at most ``sample`` rows and ``sample_bytes`` bytes of each class of ``labels``.
 
     Only ids whose crc32 leaves 0 or 2 modulo 3 are used; null ids and labels
-    are skipped and a repeated id counts once.
+    are skipped, and an id that either table repeats counts once: toxic if any of
+    its labels says so, with the first of its texts in the order of a digest.
+    A single text beyond ``sample_bytes`` isn't fitted on.
     """
     usable = (
         labels.select("doc_id", "toxic")
         .where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.max("toxic").cast("int").alias("toxic"))
     )
     order = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
     chosen = [usable.where(F.col("toxic") == c).orderBy(*order).limit(sample) for c in (0, 1)]
     picked = F.broadcast(chosen[0].unionAll(chosen[1]))  # 2 * sample rows of two numbers at most
-    rows = docs.select("doc_id", no_null("text").alias("text")).join(picked, "doc_id")
+    found = docs.select("doc_id", no_null("text").alias("text")).join(picked, "doc_id")
+    found = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    # One task sums up 2 * sample rows at most.
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("doc_id", "text", "toxic")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1)):
-                bucket, passage, first = features(data, offsets)
-                order = np.argsort(passage, kind="stable")
-                bucket, begin = bucket[order], np.searchsorted(passage[order], np.arange(first[-1] + 1))
-                out = []
-                for i in range(hi - lo):
-                    firsts = np.unique(begin[first[i] : first[i + 1]]) - begin[first[i]]
-                    mine = bucket[begin[first[i]] : begin[first[i + 1]]]
-                    out.append((mine.tobytes(), firsts[firsts < max(1, len(mine))].astype(np.uint32).tobytes()))
+                bucket, word, first = features(data, offsets)
+                bucket = bucket[np.argsort(word, kind="stable")]
+                begin = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=first[-1]))])
+                out = [(bucket[begin[a] : begin[b]].tobytes(), (begin[a:b] - begin[a]).astype(np.uint32).tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], batch.column(2)[lo:hi].cast(pa.int32()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())],
+                    [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())],
                     ["doc_id", "toxic", "bucket", "firsts"],
                 )
 
@@ -227,7 +238,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """(doc_id, score) of every row; null and empty texts have the score of the bias alone."""
+    """(doc_id, score) of every row; null and empty texts have the score of the bias alone.
+
+    Whole texts count, whatever their length. Repeated rows come out repeated;
+    other columns are ignored.
+    """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

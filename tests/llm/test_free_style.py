@@ -209,6 +209,62 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark, tmp_path):
     assert [r.doc_id for r in toxicity.not_toxic(odd, model).orderBy("doc_id").collect() if r.doc_id > 1] == [2, 3, 4]
 
 
+def mix(x):
+    x &= 2**64 - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 2**64 - 1
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & 2**64 - 1
+    return x ^ x >> 31
+
+
+def brute_buckets(text):
+    """The buckets of every word's bag, word by word."""
+    bags = []
+    for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+        word = word.lower()
+        padded, bag = b" " + word + b" ", []
+        for n in (3, 4, 5):
+            for i in range(len(padded) - n + 1):
+                h = 0x811C9DC5 + n
+                for c in padded[i : i + n]:
+                    h = (h ^ c) * 0x01000193 & 2**32 - 1
+                bag.append((h ^ h >> 15) & toxicity.BUCKETS - 1)
+        power, total = 1, len(word)
+        for c in word:
+            total += mix((c + 1) * 0x9E3779B97F4A7C15) * power
+            power = power * 0xD6E8FEB86659FD93 & 2**64 - 1
+        bags.append([*bag, mix(total) & toxicity.BUCKETS - 1])
+    return bags
+
+
+def test_features_and_scores_against_a_direct_version():
+    rng = random.Random(6)
+    letters = "abzABZ09éñ中 ,.-_\n"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(200)] + [None, "", " ", "a", "ab cd", "x" * 5000, "word " * 3000]
+    weight = np.random.default_rng(1).normal(0, 3, toxicity.BUCKETS).astype(np.float32)
+    model = toxicity.Model(weight, -0.3)
+    for lo, hi, data, offsets in toxicity.blocks(pa.array(texts)):
+        bucket, word, first = toxicity.features(data, offsets)
+        scores = toxicity.score_block(model, data, offsets)
+        for i in range(lo, hi):
+            bags = brute_buckets(texts[i])
+            assert first[i - lo + 1] - first[i - lo] == len(bags)
+            for w, bag in enumerate(bags[:200]):
+                assert sorted(bucket[word == first[i - lo] + w].tolist()) == sorted(bag)
+            runs = [sum(bags[s : s + toxicity.PASSAGE], []) for s in range(max(1, len(bags) - toxicity.PASSAGE + 1))]
+            best = max(float(np.sum(weight[r], dtype=float)) / max(1, len(r)) for r in ([int(x) for x in r] for r in runs)) - 0.3
+            assert abs(scores[i - lo] - 1 / (1 + np.exp(-best))) < 1e-9
+
+
+def test_fit_is_bounded_in_bytes_and_counts_a_repeated_id_once(spark):
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(3, "z " * 50)] * 20 + [(6, "y " * 4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, sample_bytes=40_000)
+    again = toxicity.fit(docs.dropDuplicates(), labels, sample_bytes=40_000)
+    assert model.bias == again.bias and (model.weight == again.weight).all() and model.weight.any()
+    assert not toxicity.fit(docs, labels, sample_bytes=1).weight.any()
+
+
 def test_score_of_one_class_is_flat(spark):
     docs = spark.createDataFrame([(0, "a b"), (2, "c d")], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 0), (2, 0)], "doc_id long, toxic int")
