@@ -4,8 +4,10 @@ The rules compile into one CASE expression, longest rule first. Hosts that no
 rule decides are judged by two personalised PageRanks over host edges: trust
 flows along the edges from the hosts of allowed pages, distrust flows against
 them from the hosts of blocked pages. Both run as one table of typed edges and
-scores: a join and an aggregation for each step. A host is blocked if its
-distrust exceeds its trust.
+scores: a join and an aggregation for each round, until no round changes a score
+or reaches a host any more. A host is blocked if its distrust exceeds its trust;
+both are shares, compared relative to each other, so the number of pages decides
+nothing.
 
 Edges are absolute links between different hosts, and, in both directions, the
 steps between a host and its parent domain down to two labels. They are combined
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import let, materialise, no_null, table
+from strandloom.llm.common import let, materialise, no_null, small, table
 
 
 @dataclass(frozen=True)
@@ -46,9 +48,14 @@ RULES = (
 )
 
 DAMPING = 0.85
-STEPS = 8
-#: Scores are compared after rounding to so many places.
-PLACES = 9
+#: Both walks go on until no score changes by more than this share of it in a round.
+TOLERANCE = 5e-4
+#: Rounds between two tests of that.
+ROUNDS = 15
+#: A host is blocked if its distrust exceeds its trust by more than this share.
+MARGIN = 0.01
+#: A host's edges are dealt to one more salt for each so many of them.
+HUB = 100_000
 #: A verdict table of up to so many hosts is broadcast; a larger one is joined by shuffle.
 BROADCAST_HOSTS = 200_000
 LINK = r"(?i:href)\s*=\s*[\"']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\"'<>\s]+)"
@@ -80,18 +87,6 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return result
 
 
-def _ancestors(host: Column) -> Column:
-    """The host and its parent domains of at least two labels, longest first."""
-    labels = F.split(host, r"\.", -1)
-    return let(
-        labels,
-        lambda x: F.when(
-            F.size(x) >= 2,
-            F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.array_join(F.slice(x, i, F.size(x)), ".")),
-        ).otherwise(F.array(host)),
-    )
-
-
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, w): number of links, or 1 for each step to or from a parent."""
     links = (
@@ -103,26 +98,38 @@ def host_edges(pages: DataFrame) -> DataFrame:
         .agg(F.count("*").cast("double").alias("w"))
     )
     known = pages.select("host").where("host <> ''").distinct().unionAll(links.select("dst").distinct()).distinct()
-    chain = known.select(_ancestors(F.col("host")).alias("a"))
-    steps = chain.select(
-        F.explode(F.transform(F.slice("a", 2, 1000), lambda p, i: F.struct(F.get("a", i).alias("child"), p.alias("parent")))).alias("s")
-    ).select("s.*")
-    steps = steps.distinct()
+    labels = known.select(F.split("host", r"\.", -1).alias("x")).where(F.size("x") > 2)
+    placed = labels.select("x", F.explode(F.sequence(F.lit(1), F.size("x") - 2)).alias("i"))
+    rest = lambda i: F.array_join(F.slice("x", i, F.size("x")), ".")
+    steps = placed.select(rest(F.col("i")).alias("child"), rest(F.col("i") + 1).alias("parent")).distinct()
     both = steps.selectExpr("child AS src", "parent AS dst").unionAll(steps.selectExpr("parent AS src", "child AS dst"))
     return links.unionAll(both.withColumn("w", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def host_scores(pages: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(host, trust, distrust) after ``steps`` rounds of both walks.
+def _salted(score: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Scores with a salt: 0, or for a hub one row for each of its salts."""
+    if hubs is None:
+        return score.withColumn("salt", F.lit(0).cast("long"))
+    both = score.alias("s").join(small(hubs, BROADCAST_HOSTS).alias("h"), F.expr("s.kind = h.kind AND s.host = h.src"), "left")
+    return both.selectExpr("s.kind", "s.host", "s.score", "explode(sequence(0L, coalesce(h.salts, 1L) - 1L)) AS salt")
+
 
-    ``pages`` has host, html and verdict (null where no rule fits).
+def host_scores(pages: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) once both walks have settled.
+
+    Rounds go on until one reaches no new host and changes no score by more than
+    ``tolerance`` of it. ``pages`` has host, html and verdict (null where no rule
+    fits).
     """
     edges = materialise(host_edges(pages), "host-edges")
     typed = edges.selectExpr("'trust' AS kind", "src", "dst", "w").unionAll(
         edges.selectExpr("'distrust' AS kind", "dst AS src", "src AS dst", "w")
     )
-    out = typed.groupBy("kind", "src").agg(F.sum("w").alias("all_w"))
-    typed = materialise(typed.join(out, ["kind", "src"]).selectExpr("kind", "src", "dst", "w / all_w AS share"), "host-shares")
+    out = materialise(typed.groupBy("kind", "src").agg(F.sum("w").alias("all_w"), (1 + F.floor(F.count("*") / HUB)).alias("salts")), "host-degrees")
+    hubs = out.where("salts > 1").select("kind", "src", "salts")
+    hubs = None if hubs.isEmpty() else hubs
+    shares = typed.join(out, ["kind", "src"]).selectExpr("kind", "src", "dst", f"w / all_w * {DAMPING!r} AS share", "pmod(xxhash64(dst), salts) AS salt")
+    shares = materialise(shares, "host-shares")
     seeds = (
         pages.where("host <> '' AND verdict IS NOT NULL")
         .groupBy(F.when(F.col("verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host")
@@ -131,18 +138,25 @@ def host_scores(pages: DataFrame, steps: int = STEPS) -> DataFrame:
     total = seeds.groupBy("kind").agg(F.sum("n").alias("all_n"))
     seeds = materialise(seeds.join(total, "kind").selectExpr("kind", "host", "n / all_n AS score"), "host-seeds")
     start = seeds.selectExpr("kind", "host", f"score * {1 - DAMPING!r} AS score")
-    score = seeds
-    for k in range(steps):
-        moved = score.alias("s").join(typed.alias("e"), F.expr("s.kind = e.kind AND s.host = e.src"))
-        moved = moved.selectExpr("e.kind", "e.dst AS host", f"s.score * e.share * {DAMPING!r} AS score")
-        score = start.unionAll(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3 and k + 1 < steps:
-            score = materialise(score, "host-scores")
+
+    def step(score: DataFrame) -> DataFrame:
+        moved = _salted(score, hubs).alias("s").join(shares.alias("e"), F.expr("s.kind = e.kind AND s.host = e.src AND s.salt = e.salt"))
+        moved = moved.selectExpr("e.kind", "e.dst AS host", "s.score * e.share AS score")
+        return start.unionAll(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+
+    score, settled = seeds, False
+    while not settled:
+        for _ in range(ROUNDS):
+            score = step(score)
+        old = materialise(score, "host-scores")
+        score = materialise(step(old), "host-scores")
+        change = score.alias("n").join(old.alias("o"), F.expr("n.kind = o.kind AND n.host = o.host"), "left")
+        settled = change.where(F.col("o.score").isNull() | (F.abs(F.col("n.score") - F.col("o.score")) > tolerance * F.col("n.score"))).isEmpty()
     side = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
     return score.groupBy("host").agg(side("trust"), side("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, steps: int = STEPS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
     Pages whose host is empty or that neither walk reaches have no distrust and
@@ -152,11 +166,9 @@ def judge(pages: DataFrame, rules=RULES, steps: int = STEPS) -> DataFrame:
     parsed = pages.select("page_id", host_and_path(F.col("url")).alias("u"), no_null("html").alias("html"))
     parsed = parsed.select("page_id", "u.host", "u.path", "html")
     ruled = parsed.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    scores = host_scores(ruled.select("host", "html", F.col("r.verdict").alias("verdict")), steps)
-    bad = scores.where(F.round("distrust", PLACES) > F.round("trust", PLACES)).select("host", F.lit(True).alias("bad"))
-    bad = materialise(bad, "host-verdicts")
-    if bad.count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
+    scores = host_scores(ruled.select("host", "html", F.col("r.verdict").alias("verdict")))
+    bad = scores.where(F.col("distrust") > F.col("trust") * (1 + MARGIN)).select("host", F.lit(True).alias("bad"))
+    bad = small(materialise(bad, "host-verdicts"), BROADCAST_HOSTS)
     return ruled.join(bad, "host", "left").select(
         "page_id",
         "host",
@@ -179,24 +191,14 @@ def _sql_rules(value) -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
-def _sql_steps() -> str:
-    text, before = "", "seeds"
-    for k in range(STEPS):
-        text += f""",
-s{k} AS (
-  SELECT kind, host, sum(score) AS score FROM (
-    SELECT kind, host, score * {1 - DAMPING!r} AS score FROM seeds
-    UNION ALL SELECT e.kind, e.dst, s.score * e.share * {DAMPING!r} FROM {before} s JOIN shares e ON s.kind = e.kind AND s.host = e.src)
-  GROUP BY ALL)"""
-        before = f"s{k}"
-    return text
-
+#: Rounds of the walks in SQL; what is left after them is far below the margin.
+_SQL_ROUNDS = 150
 
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 _SQL_LINK = LINK.replace("'", "''")
 
 ORACLE_SQL = rf"""
-WITH raw AS (
+WITH RECURSIVE raw AS (
   SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS html,
          CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (
@@ -222,10 +224,20 @@ shares AS (SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) AS sh
 n AS (
   SELECT CASE said WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM p
   WHERE host <> '' AND said IS NOT NULL GROUP BY ALL),
-seeds AS (SELECT kind, host, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY kind) AS score FROM n){_sql_steps()},
+seeds AS (SELECT kind, host, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY kind) AS score FROM n),
+moves AS (  -- a host '*' that keeps its score and feeds the seeds in every round
+  SELECT kind, src, dst, share * {DAMPING!r} AS share FROM shares
+  UNION ALL SELECT kind, '*', host, score * {1 - DAMPING!r} FROM seeds
+  UNION ALL SELECT DISTINCT kind, '*', '*', 1.0 FROM seeds),
+begin AS (SELECT 0 AS k, kind, host, score FROM seeds UNION ALL SELECT DISTINCT 0, kind, '*', 1.0 FROM seeds),
+walk AS (
+  SELECT k, kind, host, CAST(score AS DOUBLE) AS score FROM begin
+  UNION ALL
+  SELECT w.k + 1, w.kind, e.dst, sum(w.score * e.share) FROM walk w JOIN moves e ON w.kind = e.kind AND w.host = e.src
+  WHERE w.k < {_SQL_ROUNDS} GROUP BY ALL),
 bad AS (
-  SELECT host FROM s{STEPS - 1} GROUP BY host
-  HAVING round(coalesce(sum(score) FILTER (kind = 'distrust'), 0), {PLACES}) > round(coalesce(sum(score) FILTER (kind = 'trust'), 0), {PLACES}))
+  SELECT host FROM walk WHERE k = {_SQL_ROUNDS} AND host <> '*' GROUP BY host
+  HAVING coalesce(sum(score) FILTER (kind = 'distrust'), 0) > coalesce(sum(score) FILTER (kind = 'trust'), 0) * {1 + MARGIN!r})
 SELECT page_id, host, path, rule,
        coalesce(said, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM p
 """
