@@ -9,7 +9,8 @@ probability (1 - (1 - s**2)**10)**2: 0.9995 at 0.75, 0.9999 at 0.8.
 
 1. One pass over the texts gives each document's set size, a 128-bit fingerprint
    of its shingle set and the minimum hashes.
-2. Equal sets collapse to their smallest id; only one row per distinct set goes on.
+2. Equal sets collapse to one node each, whatever the ids of their rows, so one id
+   may stand for several sets; only one row per distinct set goes on.
 3. In each bucket every member is paired with one member, picked by the bucket's
    key, so a bucket of n rows gives n - 1 pairs, never all of them. The pick
    differs from table to table, which makes up for the pairs left out.
@@ -40,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import materialise, release, table
+from strandloom.llm.common import materialise, no_null, release, small, table
 from strandloom.llm.textbytes import blocks, lowered, mix64, run_hashes, space_words, word_hashes
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: What tells the rows of the input apart: id and digest of the text.
+ROW = ["doc_id", "th"]
 COLLECTION = 10
 ROWS = 2
 #: Id tables of up to so many rows (16 bytes each) are broadcast to find texts again.
@@ -116,15 +119,15 @@ def table_keys(hashes: np.ndarray) -> np.ndarray:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, offsets in blocks(batch.column(1)):
+        for lo, hi, data, offsets in blocks(batch.column(2)):
             values, bounds = shingle_sets(data, offsets)
             f1, f2 = fingerprints(values, bounds)
             hashes, sizes = min_hashes(values, bounds), np.diff(bounds)
             rows = iter(hashes)
             packed = [next(rows).tobytes() if n else None for n in sizes]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[lo:hi], pa.array(sizes, pa.int64()), pa.array(f1), pa.array(f2), pa.array(packed, pa.binary())],
-                ["doc_id", "n", "f1", "f2", "hashes"],
+                [*(batch.column(i)[lo:hi] for i in range(2)), pa.array(sizes, pa.int64()), pa.array(f1), pa.array(f2), pa.array(packed, pa.binary())],
+                [*ROW, "n", "f1", "f2", "hashes"],
             )
 
 
@@ -177,7 +180,7 @@ def _prefixes(frequent: np.ndarray, ranks: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(1)):
+            for lo, hi, data, offsets in blocks(batch.column(2)):
                 values, bounds = shingle_sets(data, offsets)
                 f1, f2 = fingerprints(values, bounds)
                 rank = np.zeros(len(values), np.int64)
@@ -188,7 +191,8 @@ def _prefixes(frequent: np.ndarray, ranks: np.ndarray):
                 n = np.diff(bounds)
                 ends = bounds[:-1] + n - (n * PERCENT + 99) // 100 + 1
                 first = [values[a:b].tobytes() if m else None for a, b, m in zip(bounds[:-1].tolist(), ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(f1), pa.array(f2), pa.array(first, pa.binary())], ["node", "f1", "f2", "first"])
+                columns = [*(batch.column(i)[lo:hi] for i in range(2)), pa.array(f1), pa.array(f2), pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*ROW, "f1", "f2", "first"])
 
     return run
 
@@ -279,19 +283,25 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "a_items", "b_items").mapInArrow(_confirmed, "a long, b long")
 
 
-def _sets(pairs: DataFrame, chosen: DataFrame, slim: DataFrame) -> DataFrame:
+def _once(rows: DataFrame, repeated: bool) -> DataFrame:
+    """One row for each node of ``rows``, where input rows equal in id and text stand for one node."""
+    if not repeated:
+        return rows
+    return rows.where("copies = 1").unionByName(rows.where("copies > 1").dropDuplicates(["node"]))
+
+
+def _sets(pairs: DataFrame, chosen: DataFrame, slim: DataFrame, repeated: bool) -> DataFrame:
     """(node, items): the full set of each node of ``pairs``, from its text."""
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    wanted = materialise(chosen.select("node", "f1", "f2").join(wanted, "node"), "wanted")
-    known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    again = known.join(slim, known.node == slim.doc_id) if known is wanted else slim.join(known, slim.doc_id == known.node)
+    wanted = small(materialise(chosen.select("node", "copies", "f1", "f2", *ROW).join(wanted, "node"), "wanted"), BROADCAST_IDS)
+    again = _once(slim.join(wanted, ROW).select("node", "copies", "f1", "f2", "text"), repeated)
     return materialise(again.select("node", "f1", "f2", "text").mapInArrow(_set_rows, "node long, items binary"), "sets")
 
 
-def _missed(members: DataFrame, slim: DataFrame) -> DataFrame:
+def _missed(members: DataFrame, slim: DataFrame, repeated: bool) -> DataFrame:
     """Pairs (a, b) of different components that can be similar enough: all links are among them.
 
-    ``members``: (node, f1, f2, n, component), one row for each distinct set.
+    ``members``: (node, copies, f1, f2, doc_id, th, n, component), one row for each distinct set.
     """
     counts = slim.select("text").mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
@@ -300,8 +310,9 @@ def _missed(members: DataFrame, slim: DataFrame) -> DataFrame:
     ranks[np.lexsort((shingle, n))] = np.arange(1, len(n) + 1)
     order = np.argsort(shingle)
 
-    firsts = slim.mapInArrow(_prefixes(shingle[order], ranks[order]), "node long, f1 long, f2 long, first binary").where("first IS NOT NULL")
-    rows = firsts.join(members, ["node", "f1", "f2"]).select("node", "component", "n", "first")
+    firsts = slim.mapInArrow(_prefixes(shingle[order], ranks[order]), "doc_id long, th long, f1 long, f2 long, first binary").where("first IS NOT NULL")
+    rows = _once(firsts.join(members, [*ROW, "f1", "f2"]).select("node", "copies", "component", "n", "first"), repeated)
+    rows = rows.select("node", "component", "n", "first")
     rows = rows.mapInArrow(_spread, "shingle long, node long, component long, n long, place long")
     same = Window.partitionBy("shingle")
     shared = rows.withColumns({"least": F.min("component").over(same), "most": F.max("component").over(same)}).where("least <> most")
@@ -324,20 +335,18 @@ def _missed(members: DataFrame, slim: DataFrame) -> DataFrame:
     return materialise(both.mapInArrow(_possible, "a long, b long"), "missed")
 
 
-def groups(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Null and empty texts have no shingles and are linked with nothing. Rows that
-    share an id and a set are one document. A row without id is linked with
-    nothing, has no component and is kept.
-    """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = materialise(slim.mapInArrow(_sketched, "doc_id long, n long, f1 long, f2 long, hashes binary"), "sketches")
+def _grouped(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, th, n, component_id, kept), one row per input row."""
+    body = no_null(text)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
+    sketches = materialise(slim.mapInArrow(_sketched, "doc_id long, th long, n long, f1 long, f2 long, hashes binary"), "sketches")
     live = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    classes = live.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
-    first = classes.groupBy("node").agg(F.min(F.struct("f1", "f2")).alias("f")).select("node", "f.f1", "f.f2")
-    named = live.withColumnRenamed("doc_id", "node")
-    chosen = materialise(named.join(first, ["node", "f1", "f2"]).dropDuplicates(["node"]).select("node", "f1", "f2", "n", "hashes"), "chosen")
+    classes = live.groupBy("f1", "f2").agg(F.min(F.struct(*ROW)).alias("r")).select("f1", "f2", "r.*")
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    first = [F.first(c).alias(c) for c in ("f1", "f2", *ROW, "n", "hashes")]
+    chosen = live.join(classes, ["f1", "f2", *ROW]).groupBy("node").agg(F.count("*").alias("copies"), *first)
+    chosen = materialise(chosen, "chosen")
+    repeated = not chosen.where("copies > 1").isEmpty()
 
     rows = chosen.select("node", "hashes").mapInArrow(_keyed, "key long, node long")
     rows = rows.withColumn("p", F.col("node").bitwiseXOR(F.col("key")))
@@ -353,7 +362,7 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = materialise(pairs, "pairs")
     _forget(pairs)
 
-    sets = _sets(pairs, chosen, slim)
+    sets = _sets(pairs, chosen, slim, repeated)
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("tables", -F.col("b"))).alias("b"))
     found = roots(_confirm(best, sets))  # each text with its likeliest smaller one: a forest
     side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
@@ -368,27 +377,40 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     labelled = labelled.join(joined, F.col("first") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "first").alias("component"))
 
     members = materialise(chosen.drop("hashes").join(labelled, ["f1", "f2"]), "members")
-    missed = _missed(members, slim)
-    late = _confirm(missed, _sets(missed, chosen, slim))
+    missed = _missed(members, slim, repeated)
+    late = _confirm(missed, _sets(missed, chosen, slim, repeated))
     of = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
     late = late.join(of("a"), "a").join(of("b"), "b").select(F.col("a_c").alias("a"), F.col("b_c").alias("b")).distinct()
     last = components(late).select(F.col("node").alias("component"), F.col("component").alias("last"))
-    labelled = labelled.join(last, "component", "left").select("f1", "f2", F.coalesce("last", "component").alias("component"))
-    group = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    named = members.join(last, "component", "left").select("f1", "f2", "doc_id", F.coalesce("last", "component").alias("component"))
+    named = materialise(named, "named")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labelled = named.join(least, "component").select("f1", "f2", "component_id")
     return (
-        sketches.select("doc_id", "n", "f1", "f2")
+        sketches.select(*ROW, "n", "f1", "f2")
         .join(labelled, ["f1", "f2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"))
+        .select(*ROW, "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
+def groups(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Null and empty texts have no shingles and are linked with nothing. Rows that
+    share an id and a text are one document; rows that share an id only are told
+    apart, each has the links of its own text. A row without id is linked with
+    nothing, has no component and is kept. Other columns are ignored.
+    """
+    return _grouped(docs, text).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that represent their group, columns unchanged."""
-    gone = materialise(groups(docs, text).where("NOT kept").select(F.col("doc_id").alias("x_gone")).distinct(), "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("x_gone"), "left_anti")
+    gone = materialise(_grouped(docs, text).where("NOT kept").select(*ROW).distinct(), "gone").alias("gone")
+    rows = docs.alias("row")
+    same = (F.col("row.doc_id") == F.col("gone.doc_id")) & (F.xxhash64(no_null(F.col(f"row.`{text}`"))) == F.col("gone.th"))
+    return rows.join(small(gone, BROADCAST_IDS), same, "left_anti")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,14 @@ def documents(extra=False):
     }
     table = pa.table(rows, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]))
     table = pa.concat_tables([table, table.slice(8, 3)])  # repeated rows
-    if extra:
-        for name in ("k_id", "k_hash", "node", "key", "h", "x_h", "spans", "size", "m", "words", "score", "hashes", "place", "part"):
+    return clashing(table) if extra else table
+
+
+def clashing(table):
+    """The table with columns more whose names the operators use for themselves."""
+    names = "k_id k_hash node key h x_h x_n x_gone spans size m words score hashes place part head digest host path src dst w verdict rule kind item item_id html url toxic quality site owner value n f1 f2"
+    for name in names.split():
+        if name not in table.column_names:
             table = table.append_column(name, pa.array(["clash"] * len(table)))
     return table
 
@@ -73,6 +79,7 @@ def labels():
 def write(folder, empty=False, extra=False):
     """Write the tables; returns the folder as a string."""
     for name, t in {"documents": documents(extra), "benchmark": benchmark(), "pages": pages(), "labels": labels()}.items():
+        t = clashing(t) if extra else t
         pq.write_table(t.slice(0, 0) if empty else t, folder / f"{name}.parquet")
     return str(folder)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from strandloom.llm import near_dedup, registry, token_shards, toxicity, wavelet
+from strandloom.llm import near_dedup, registry, token_shards, toxicity, url_filter, wavelet
 
 from tests.llm import helpers
 
@@ -91,6 +91,18 @@ def test_near_dedup_null_and_repeated_ids(spark):
     assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 9, True), (None, None, True)]
 
 
+def test_near_dedup_of_one_id_with_two_texts(spark):
+    """Each text has its own links; copies of one row don't multiply."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
+    rows = [(1, a), (1, b), (7, a + " x"), (8, b + " x"), (9, b + " y"), (9, "something else altogether")] + [(11, a + " z")] * 40 + [(12, a + " z z")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.groups(df).collect())
+    assert got == sorted([(1, 1, True), (1, 1, True), (7, 1, False), (8, 1, False), (9, 1, False), (9, 9, True)] + [(11, 1, False)] * 40 + [(12, 1, False)] * 40)
+    clash = near_dedup.keep_one(df.selectExpr("*", "1 AS th", "2 AS x_gone", "3 AS gone", "4 AS kept"))
+    assert sorted((r.doc_id, r.text) for r in clash.collect()) == sorted([(1, a), (1, b), (9, "something else altogether")])
+    assert clash.columns == ["doc_id", "text", "th", "x_gone", "gone", "kept"]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i + 1, i) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7)]
     found = near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()
@@ -178,6 +190,42 @@ def test_wavelet_queries(n, tmp_path):
         file.access(n)
 
 
+def brute_walk(edges, seeds):
+    """Personalised PageRank of (src, dst, w) edges by plain iteration."""
+    out, score = {}, dict(seeds)
+    for a, _, w in edges:
+        out[a] = out.get(a, 0) + w
+    for _ in range(400):
+        new = {h: 0.15 * s for h, s in seeds.items()}
+        for a, b, w in edges:
+            new[b] = new.get(b, 0) + 0.85 * score.get(a, 0) * w / out[a]
+        score = new
+    return score
+
+
+@pytest.mark.parametrize("hub", [100_000, 2])
+def test_host_walks_against_a_direct_version(spark, monkeypatch, hub):
+    """A chain of 12 links away from a trusted host, links to a blocked one, and a hub."""
+    monkeypatch.setattr(url_filter, "HUB", hub)
+    links = [(f"c{i}.x", f"c{i + 1}.x") for i in range(12)] + [("a.y", "bad.z"), ("b.y", "a.y"), ("b.y", "c0.x")] + [("hub.q", f"m{i}.q") for i in range(20)] + [("m3.q", "bad.z")]
+    links += [("c9.x", ".".join(["d"] * 6) + ".tail.z")]
+    said = {"c0.x": "allow", "bad.z": "block", "hub.q": "allow"}
+    hosts = sorted({h for pair in links for h in pair})
+    rows = [(h, "".join(f"<a href='http://{b}/p'>" for a, b in links if a == h), said.get(h)) for h in hosts]
+    got = url_filter.host_scores(spark.createDataFrame(rows, "host string, html string, verdict string"))
+    deep = next(h for h in hosts if h.endswith("tail.z")).split(".")
+    steps = [(".".join(deep[i:]), ".".join(deep[i + 1 :])) for i in range(len(deep) - 2)]
+    edges = [(a, b, 1.0) for a, b in [*links, *steps, *[(b, a) for a, b in steps]]]
+    trust = brute_walk(edges, {"c0.x": 0.5, "hub.q": 0.5})
+    distrust = brute_walk([(b, a, w) for a, b, w in edges], {"bad.z": 1.0})
+    found = {r.host: (r.trust, r.distrust) for r in got.collect()}
+    assert set(found) == {h for h in {*trust, *distrust} if trust.get(h, 0) + distrust.get(h, 0) > 0}
+    for h, (t, d) in found.items():
+        for x, y in ((t, trust.get(h, 0)), (d, distrust.get(h, 0))):
+            assert abs(x - y) <= 0.004 * y + 1e-15, (h, x, y)
+    assert "c12.x" in found and "tail.z" in found and found["b.y"][1] > 0
+
+
 def toxic_rows():
     rng = random.Random(4)
     bad = ["idiot", "moron", "scum", "pathetic", "worthless"]
