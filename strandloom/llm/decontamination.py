@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import let, materialise, no_null, table
+from strandloom.llm.common import let, materialise, no_null, small, table
 
 WINDOW = 10
 SHINGLE = 3
@@ -62,11 +62,6 @@ def _shingles(words: Column, q: int) -> Column:
     return let(words, runs)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint, if the table is small enough."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def windows_of(items: DataFrame) -> DataFrame:
     """(item, q, length, shingles) of every distinct window of the benchmark."""
     words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(no_null("text")).alias("w"))
@@ -85,7 +80,7 @@ def windows_of(items: DataFrame) -> DataFrame:
 
 def _places(docs: DataFrame, vocabulary: DataFrame, lengths: list[int]) -> DataFrame:
     """(key, q, pos, shingle) where a document has a shingle of the benchmark."""
-    known = small(vocabulary)
+    known = small(vocabulary, BROADCAST_ROWS)
     parts = [
         docs.select(*KEY, F.posexplode(_shingles(F.col("words"), q)).alias("pos", "shingle"))
         .withColumn("q", F.lit(q))
@@ -104,25 +99,28 @@ def _prefixed(windows: DataFrame, places: DataFrame) -> DataFrame:
     return (
         windows.select("*", F.posexplode("shingles").alias("offset", "shingle"))
         .join(rarity, ["q", "shingle"])
-        .groupBy("item", "q", "length", "shingles")
+        .groupBy("window", "q", "length", "shingles")
         .agg(F.count("*").alias("known"), F.min(F.struct("n", "shingle", "offset")).alias("rarest"))
         .where(F.col("known") == F.size("shingles"))
-        .select("item", "q", "length", "shingles", F.col("rarest.shingle").alias("prefix"), F.col("rarest.offset").alias("offset"))
+        .select("window", "q", "length", "shingles", F.col("rarest.shingle").alias("prefix"), F.col("rarest.offset").alias("offset"))
     )
 
 
-def occurrences(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """(k_id, k_hash, item, start, length): where windows occur.
+def occurrences(docs: DataFrame, items: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(k_id, k_hash, window, start, length) where windows occur, and (window, item).
 
-    Rows equal in id and text share a key and are reported once.
+    Rows equal in id and text share a key and are reported once. A window that
+    many items share is one window; its items stay in the second table.
     """
-    windows = materialise(windows_of(items), "windows")
+    owned = materialise(windows_of(items), "item-windows")
+    windows = owned.select("q", "length", "shingles").distinct().withColumn("window", F.monotonically_increasing_id())
+    windows = materialise(windows, "windows")
+    owners = owned.join(windows, ["q", "length", "shingles"]).select("window", "item")
     lengths = sorted(r["q"] for r in windows.select("q").distinct().collect())  # at most SHINGLE of them
     spark = docs.sparkSession
     if not lengths:
-        return spark.createDataFrame([], docs.select("doc_id").schema).selectExpr(
-            "doc_id AS k_id", "CAST(0 AS BIGINT) AS k_hash", "'' AS item", "0 AS start", "0 AS length"
-        )
+        none = spark.createDataFrame([], docs.select("doc_id").schema)
+        return none.selectExpr("doc_id AS k_id", "CAST(0 AS BIGINT) AS k_hash", "CAST(0 AS BIGINT) AS window", "0 AS start", "0 AS length"), owners
     least = {r["q"]: r["m"] for r in windows.groupBy("q").agg(F.min(F.size("shingles")).alias("m")).collect()}
     body = no_null(text)
     slim = docs.select(F.col("doc_id").alias("k_id"), F.xxhash64(body).alias("k_hash"), words_of(body).alias("words"))
@@ -134,8 +132,7 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFr
     run = Window.partitionBy(*KEY, "q", "run")
     need = F.element_at(F.create_map(*(F.lit(x) for k in least for x in (k, least[k]))), F.col("q"))
     long_runs = (
-        places.repartition(*KEY, "q")
-        .dropDuplicates([*KEY, "q", "pos"])
+        places.dropDuplicates([*KEY, "q", "pos"])
         .withColumn("run", F.col("pos") - F.row_number().over(in_order))
         .withColumn("n", F.count("*").over(run))
         .where(F.col("n") >= need)
@@ -148,27 +145,27 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFr
     )
     found = (
         pieces.withColumn("x", F.explode("at"))
-        .join(small(prefixed).alias("p"), (F.col("x.shingle") == F.col("p.prefix")) & (pieces["q"] == F.col("p.q")))
+        .join(small(prefixed, BROADCAST_ROWS).alias("p"), (F.col("x.shingle") == F.col("p.prefix")) & (pieces["q"] == F.col("p.q")))
         .withColumn("start", F.col("x.pos") - F.col("p.offset"))
         .where(F.floor(F.col("start") / PIECE) == F.col("piece"))
     )
     inside = F.filter("at", lambda e: (e["pos"] >= F.col("start")) & (e["pos"] < F.col("start") + F.size("p.shingles")))
     same = F.transform(inside, lambda e: e["shingle"]) == F.col("p.shingles")
-    return found.where(same).select(*KEY, "p.item", "start", "p.length").distinct()
+    return found.where(same).select(*KEY, "p.window", "start", "p.length").distinct(), owners
 
 
 def flagged(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """One row per contaminated (id, text): key, n_hit, n_items, items."""
-    hits = occurrences(docs, items, text)
+    """One row per contaminated (id, text): key, n_hit, items."""
+    hits, owners = occurrences(docs, items, text)
+    hits = materialise(hits, "hits")
     order = Window.partitionBy(*KEY).orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.col("past"), F.col("start"))))
-    return (
-        hits.withColumn("past", F.max(end).over(order))
-        .withColumn("fresh", fresh)
-        .groupBy(*KEY)
-        .agg(F.sum("fresh").cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    )
+    words = hits.withColumn("past", F.max(end).over(order)).withColumn("fresh", fresh).groupBy(*KEY).agg(F.sum("fresh").cast("long").alias("n_hit"))
+    held = hits.select(*KEY, "window").distinct().join(small(materialise(owners, "owners"), BROADCAST_ROWS), "window")
+    held = held.groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("items")).alias("i")
+    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"i.{c}")) for c in KEY]
+    return words.alias("w").join(held, same).select("w.*", "i.items")
 
 
 def judge(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
@@ -197,10 +194,9 @@ def judge(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark window."""
-    hits = materialise(flagged(docs, items, text).select(*KEY), "contaminated").alias("b")
-    rows = docs.withColumn("k_hash", F.xxhash64(no_null(text))).alias("a")
-    kept = rows.join(small(hits), F.expr("a.doc_id <=> b.k_id AND a.k_hash = b.k_hash"), "left_anti")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    hits = materialise(occurrences(docs, items, text)[0].select(*KEY).distinct(), "contaminated").alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.k_id")) & (F.xxhash64(no_null(F.col(f"a.`{text}`"))) == F.col("b.k_hash"))
+    return docs.alias("a").join(small(hits, BROADCAST_ROWS), same, "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

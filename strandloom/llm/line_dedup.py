@@ -3,15 +3,16 @@
 A line (trimmed of ASCII white space, with at least one word) is boilerplate if
 it stands in documents of at least :data:`MIN_SITES` different sites.
 
-1. Smallest and largest site of each line, combined on the map side: a line of
+1. Texts are cut into lines once; places, sites and hashes of the lines are written.
+2. Smallest and largest site of each line, combined on the map side: a line of
    one site can't be boilerplate and goes no further.
-2. HyperLogLog sketches of the sites of each remaining line, merged by
-   aggregation.
-3. Lines whose estimate is within :data:`BAND` of the threshold get an exact
+3. HyperLogLog sketches of the sites of each remaining line, built on the map side
+   straight from the lines and merged by aggregation.
+4. Lines whose estimate is within :data:`BAND` of the threshold get an exact
    distinct count; the sketch decides the others.
-4. Places of boilerplate lines are gathered by document and cut out of the texts.
+5. Places of boilerplate lines are gathered by document and cut out of the texts.
 
-A line that a third of all documents have costs one row per task in steps 1 to 3.
+A line that a third of all documents have costs one row per task in steps 2 to 4.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import SPACES, let, materialise, no_null, table
+from strandloom.llm.common import SPACES, let, materialise, no_null, small, table
 
 MIN_SITES = 6
 #: Sketches have 2**LG_K registers: a relative error of about 1.04 / 2**(LG_K / 2).
@@ -28,21 +29,19 @@ LG_K = 10
 BAND = 0.25
 #: Line tables of up to so many rows (16 bytes each) are broadcast.
 BROADCAST_LINES = 300_000
+#: Tables of up to so many documents that lose lines are broadcast.
+BROADCAST_DOCUMENTS = 200_000
 
 KEY = ["k_id", "k_hash"]
 LINE = ["h", "g"]
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_LINES else df
-
-
 def _keyed(docs: DataFrame, text: str, site: str) -> DataFrame:
     body = no_null(text)
     return docs.select(
         F.col("doc_id").alias("k_id"),
         F.xxhash64(body).alias("k_hash"),
-        F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit("\x00none"))).alias("site"),
+        F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n"))).alias("site"),
         body.alias("text"),
     )
 
@@ -55,17 +54,16 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select(*KEY, "site", F.explode(parts).alias("x")).where("x.word").select(*KEY, "site", "x.pos", "x.h", "x.g")
 
 
-def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """(h, g) of the lines that at least ``min_sites`` sites have."""
-    lines = _lines(_keyed(docs, text, site)).select(*LINE, "site")
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(h, g) of those ``lines`` (h, g, site) that at least ``min_sites`` sites have."""
     spread = lines.groupBy(*LINE).agg(F.min("site").alias("a"), F.max("site").alias("b"))
     shared = materialise(spread.where("a <> b").select(*LINE), "shared-lines")
-    candidates = materialise(lines.join(small(shared), LINE).groupBy(*LINE, "site").agg(F.count("*").alias("n")), "line-sites")
     estimate = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K)))
-    sketched = materialise(candidates.groupBy(*LINE).agg(estimate.alias("sites")), "line-spread")
+    sketched = lines.join(small(shared, BROADCAST_LINES), LINE).groupBy(*LINE).agg(estimate.alias("sites"))
+    sketched = materialise(sketched, "line-spread")
     sure = sketched.where(F.col("sites") > min_sites * (1 + BAND)).select(*LINE)
     near = sketched.where(F.col("sites").between(min_sites * (1 - BAND), min_sites * (1 + BAND))).select(*LINE)
-    exact = candidates.join(near, LINE).groupBy(*LINE).agg(F.count_distinct("site").alias("sites"))
+    exact = lines.join(small(near, BROADCAST_LINES), LINE).groupBy(*LINE).agg(F.count_distinct("site").alias("sites"))
     return sure.unionAll(exact.where(F.col("sites") >= min_sites).select(*LINE))
 
 
@@ -77,8 +75,10 @@ def strip(docs: DataFrame, text: str = "text", site: str = "source", min_sites:
     ignored.
     """
     rows = _keyed(docs, text, site)
-    lines = materialise(boilerplate(docs, text, site, min_sites), "boilerplate")
-    gone = _lines(rows).join(small(lines), LINE).groupBy(*KEY).agg(F.collect_set("pos").alias("gone"))
+    lines = materialise(_lines(rows), "lines")
+    bad = materialise(boilerplate(lines.select(*LINE, "site"), min_sites), "boilerplate")
+    gone = lines.join(small(bad, BROADCAST_LINES), LINE).groupBy(*KEY).agg(F.collect_set("pos").alias("gone"))
+    gone = small(materialise(gone, "places"), BROADCAST_DOCUMENTS)
     a, b = rows.alias("a"), gone.alias("b")
     joined = a.join(b, F.expr("a.k_id <=> b.k_id AND a.k_hash = b.k_hash"), "left")
     parts = F.split("a.text", "\n", -1)
@@ -101,7 +101,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || source, 'n') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (
   SELECT rid, site, i, regexp_replace(ls[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
   FROM (SELECT rid, site, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),

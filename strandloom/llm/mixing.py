@@ -159,15 +159,12 @@ def plan(docs: DataFrame, text: str = "text", weights=WEIGHTS, most: int = MAX_R
 def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     """The mixed corpus: rows of ``docs``, each as often as the mix takes it."""
     planned = plan(docs, text)
-    same = Window.partitionBy("x_h").orderBy(F.lit(0))
-    counts = planned.where("copies > 0").select(F.col("h").alias("x_h"), "copies")
-    counts = counts.withColumn("x_n", F.row_number().over(Window.partitionBy("x_h").orderBy(F.desc("copies"))))
-    numbered = docs.withColumn("x_h", digest(text)).withColumn("x_n", F.row_number().over(same))
-    return (
-        numbered.join(counts, ["x_h", "x_n"])
-        .withColumn("x_n", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*(F.col(f"`{c}`") for c in docs.columns))
-    )
+    same = Window.partitionBy("h").orderBy(F.lit(0))
+    counts = planned.where("copies > 0").select("h", "copies").withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("copies"))))
+    # The input row travels as one struct, so that no name can clash.
+    numbered = docs.select(digest(text).alias("h"), F.struct("*").alias("row")).withColumn("n", F.row_number().over(same))
+    taken = numbered.join(counts, ["h", "n"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,17 @@ functions only: the pieces between the matches (``split``) and the matches
 (``regexp_extract_all``) give each match's place as a running sum of lengths.
 
 Every candidate value is then counted over the whole corpus by the distinct
-owners and repositories that hold it. A value held by many owners is a copied
-example; one held by few looks live. Base spans always stay and are only
-classified; loose candidates (long runs that mix letters and digits and touch
-no base span) are added as ``live`` spans if few owners hold them.
+owners and repositories that hold it. A value held by many owners, or by many
+repositories of a few owners, is a copied example; any other looks live. Base
+spans always stay and are only classified; loose candidates (long runs that mix
+letters and digits and touch no base span) are added as ``live`` spans if they
+look live.
 
 Only the SHA-256 of a value takes part in the counting and nothing secret is
-returned. Frequencies are combined on the map side before the shuffle, so a
-value that a third of the corpus repeats costs one row for each task.
+returned. Spans are written once. Frequencies are combined on the map side before
+the shuffle, so a value that a third of the corpus repeats costs one row for each
+task there; such values get their verdict from a table of the hot ones, all
+others by a shuffled join.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import let, no_null, table
+from strandloom.llm.common import let, materialise, no_null, small, table
 
 # The span kinds in their listed order. The shortest whole match
 # of "access" and "hex" is part of the pattern; that of "assign" holds for the
@@ -35,8 +38,12 @@ PATTERNS = {
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_ASSIGN = 6
 
-#: A value held by more distinct owners than this is a copied example.
+#: A value held by more distinct owners or repositories than this is a copied example.
 MAX_OWNERS = 3
+MAX_REPOSITORIES = 20
+#: A value of more spans than this is hot; a table of up to so many hot values is broadcast.
+HOT_SPANS = 10_000
+BROADCAST_VALUES = 200_000
 
 KEY = ["k_id", "k_owner", "k_hash"]
 
@@ -81,7 +88,6 @@ def _candidates(docs: DataFrame) -> DataFrame:
     return (
         docs.select(*KEY, F.explode(found).alias("s"))
         .select(*KEY, "s.*")
-        .repartition(*KEY)
         .dropDuplicates([*KEY, "kind", "n"])
     )
 
@@ -104,18 +110,31 @@ def _placed(candidates: DataFrame) -> DataFrame:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """Distinct owners and repositories of every candidate value."""
+    """Number of spans, distinct owners and repositories of every candidate value."""
     return spans.groupBy("value").agg(
-        F.count_distinct("k_owner").alias("owners"), F.count_distinct("k_id").alias("repositories")
+        F.count("*").alias("spans"), F.count_distinct("k_owner").alias("owners"), F.count_distinct("k_id").alias("repositories")
     )
 
 
+def _classified(spans: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
+    """Spans with the flag ``example`` in place of their value."""
+    example = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
+    known = materialise(ownership(spans).select("value", "spans", example.alias("example")), "values")
+    hot, rest = known.where(F.col("spans") > HOT_SPANS).select("value", "example"), known.where(F.col("spans") <= HOT_SPANS).select("value", "example")
+    if hot.isEmpty():
+        return spans.join(rest, "value").drop("value")
+    hot = small(hot, BROADCAST_VALUES)
+    cool = spans.join(hot.select("value"), "value", "left_anti").join(rest, "value")
+    return spans.join(hot, "value").unionByName(cool).drop("value")
+
+
 def scan(
     docs: DataFrame,
     text: str = "text",
     repository: str = "doc_id",
     owner: str = "source",
     max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per input row with its spans.
 
@@ -123,25 +142,23 @@ def scan(
     value of its own. Rows equal in repository, owner and text get the same
     result, each in a row of its own. Returns ``doc_id`` (the repository
     column), ``n_assign``, ``n_access``, ``n_hex``, ``n_live``, ``n_example``
-    (base spans whose value more than ``max_owners`` owners hold),
-    ``base_sha256`` and ``spans``.
+    (base spans whose value is a copied example), ``base_sha256`` and ``spans``.
     """
     body = no_null(text)
     slim = docs.select(
         F.col(repository).alias("k_id"),
-        F.coalesce(F.col(owner).cast("string"), F.lit("\x00none")).alias("k_owner"),
+        F.coalesce(F.concat(F.lit("s"), F.col(owner).cast("string")), F.lit("n")).alias("k_owner"),
         F.xxhash64(body).alias("k_hash"),
         body.alias("text"),
     )
-    spans = _placed(_candidates(slim))
-    known = spans.join(ownership(spans).select("value", "owners"), "value").drop("value")
+    known = _classified(materialise(_placed(_candidates(slim)), "spans"), max_owners, max_repositories)
 
     base = F.col("kind") < KINDS.index("live")
     order = Window.partitionBy(*KEY).orderBy("start", "kind")
     before = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     clear = (F.coalesce(before, F.col("start")) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
-    stays = base | (F.col("clear") & (F.col("owners") <= max_owners))
+    stays = base | (F.col("clear") & ~F.col("example"))
     said = F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), "start", "end")
 
     def joined(rows: Column) -> Column:
@@ -158,7 +175,7 @@ def scan(
         .groupBy(*KEY)
         .agg(
             *(number(k).alias(f"n_{k}") for k in KINDS),
-            F.count(F.when(base & (F.col("owners") > max_owners), 1)).alias("n_example"),
+            F.count(F.when(base & F.col("example"), 1)).alias("n_example"),
             joined(F.collect_list(F.when(base, one))).alias("base"),
             joined(F.collect_list(one)).alias("spans"),
         )
@@ -193,7 +210,7 @@ def _sql_kind(kind: str, group: int) -> str:
 
 ORACLE_SQL = f"""
 WITH t AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || source, 'n') AS owner, coalesce(text, '') AS text FROM documents),
 m AS ({" UNION ALL ".join(_sql_kind(k, 2 if k == "assign" else 0) for k in KINDS)}),
 p AS (
   SELECT *, sum(gap + len) OVER (PARTITION BY rid, kind ORDER BY n) AS e FROM m),
@@ -201,16 +218,17 @@ s AS (
   SELECT rid, doc_id, owner, kind, CAST(e - len AS BIGINT) AS s, CAST(e AS BIGINT) AS e, value FROM p
   WHERE CASE kind WHEN 0 THEN length(value) >= 6
         WHEN 3 THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') ELSE true END),
-o AS (SELECT value, count(DISTINCT owner) AS owners FROM s GROUP BY value),
+o AS (
+  SELECT value, count(DISTINCT owner) > {MAX_OWNERS} OR count(DISTINCT doc_id) > {MAX_REPOSITORIES} AS example FROM s GROUP BY value),
 k AS (
-  SELECT s.*, owners,
-         kind < 3 OR (owners <= {MAX_OWNERS} AND NOT EXISTS (
+  SELECT s.*, example,
+         kind < 3 OR (NOT example AND NOT EXISTS (
            SELECT 1 FROM s b WHERE b.rid = s.rid AND b.kind < 3 AND b.s < s.e AND b.e > s.s)) AS stays,
          ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || s || ':' || e AS said
   FROM s JOIN o USING (value)),
 d AS (
   SELECT rid, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h,
-         count(*) FILTER (kind = 3) AS l, count(*) FILTER (kind < 3 AND owners > {MAX_OWNERS}) AS x,
+         count(*) FILTER (kind = 3) AS l, count(*) FILTER (kind < 3 AND example) AS x,
          string_agg(said, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(said, ',' ORDER BY s, kind) AS spans
   FROM k WHERE stays GROUP BY rid)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,

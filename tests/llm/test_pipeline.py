@@ -5,6 +5,7 @@ import zlib
 
 import corpus_pipeline as pipeline
 import duckdb
+import pytest
 from strandloom.llm import decontamination, mixing, toxicity
 
 from tests.llm import helpers
@@ -17,8 +18,9 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.select(*COLUMNS).collect()), key=str)
 
 
-def test_stages(spark, tmp_path):
-    folder = helpers.write(tmp_path)
+@pytest.mark.parametrize("extra", [False, True])
+def test_stages(spark, tmp_path, extra):
+    folder = helpers.write(tmp_path, extra=extra)
     stages = dict(pipeline.STAGES)
     assert list(stages) == ["toxicity", "near_dedup", "decontamination", "mixing", "token_shards"]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -26,10 +28,11 @@ def test_stages(spark, tmp_path):
     model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     scores = collections.Counter((r.doc_id, r.score < toxicity.THRESHOLD) for r in toxicity.score(docs, model).collect())
     kept = stages["toxicity"](spark, docs, folder)
-    assert kept.columns == COLUMNS
+    assert kept.columns == docs.columns
     assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter({i: n for (i, good), n in scores.items() if good})
 
     unique = stages["near_dedup"](spark, docs, folder)
+    assert unique.columns == docs.columns
     whole = rows_of(docs)
     by_id = {r[0]: r[1] for r in whole}
     ids = sorted(by_id)
@@ -44,13 +47,24 @@ def test_stages(spark, tmp_path):
 
     mixed = con.execute(f"WITH {mixing.sql_mix('documents')} SELECT doc_id, sum(copies) FROM mixed GROUP BY 1 HAVING sum(copies) > 0").fetchall()
     out = stages["mixing"](spark, docs, folder)
-    assert out.columns == COLUMNS
+    assert out.columns == docs.columns
     assert collections.Counter(r.doc_id for r in out.collect()) == collections.Counter(dict(mixed))
 
     got = sorted((tuple(r) for r in stages["token_shards"](spark, out, folder).collect()), key=lambda r: r[1])
     assert got == brute_tokens(sorted(((r.doc_id, r.text) for r in out.collect()), key=lambda r: (r[0], r[1] or "")))
 
 
+def test_stages_on_empty_tables_and_null_columns(spark, tmp_path):
+    folder = helpers.write(tmp_path, empty=True)
+    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
+    for rows in ([], [(None, None, None, None, None)] * 2):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in pipeline.STAGES[:-1]:
+            assert stage(spark, docs, folder).count() == (0 if name == "mixing" else len(rows)), name
+        last = pipeline.STAGES[-1][1](spark, docs, folder)
+        assert [(r.doc_id, r.start, r.n_tokens) for r in last.orderBy("start").collect()] == [(None, i, 1) for i in range(len(rows))]
+
+
 def test_run_is_the_stages_in_order(spark, tmp_path):
     folder = helpers.write(tmp_path)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
