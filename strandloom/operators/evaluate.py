@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from strandloom.functions import packed
 from strandloom.functions.sequence import canonical, contained_either_strand, explode_kmers, reverse_complement
 
 
@@ -23,6 +25,8 @@ def shared_kmer_pairs(left: DataFrame, right: DataFrame, k: int = 31, least: int
     """(x, y, shared): rows (id, seq) of both sides with enough common canonical k-mers."""
 
     def kmers(df: DataFrame, name: str) -> DataFrame:
+        if k <= packed.LONGEST and isinstance(df.schema["id"].dataType, LongType):
+            return packed.sets(df, k, "id").withColumnRenamed("id", name)
         return explode_kmers(df, k, "id").select(F.col("id").alias(name), canonical(F.col("kmer")).alias("kmer")).distinct()
 
     met = kmers(left, "x").join(kmers(right, "y"), "kmer").groupBy("x", "y").agg(F.count("*").alias("shared"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions import packed as P
 from strandloom.functions.sequence import explode_kmers, reverse_complement
 
 #: An index of up to so many k-mers is broadcast; a larger one is joined by shuffle.
@@ -19,8 +20,24 @@ def map_reads(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(read_index, orientation, i, unitig_id, strand, pos) of every k-mer that the index has.
 
     Each read is mapped forward (FW) and reverse-complemented (RC); one shorter
-    than k has no rows.
+    than k has no rows. Up to 31 bases, both orientations come from one lookup of
+    the packed canonical k-mer.
     """
+    if k > P.LONGEST:
+        return _map_strings(reads, index, k)
+    code, place = P.pack(F.col("kmer")), F.struct("unitig_id", "strand", "pos")
+    both = index.select(code.alias("code"), place.alias("x")).withColumn("kmer", F.least("code", P.reverse_complement(F.col("code"), k)))
+    is_same = F.col("code") == F.col("kmer")
+    known = both.groupBy("kmer").agg(F.min(F.when(is_same, F.col("x"))).alias("same"), F.min(F.when(~is_same, F.col("x"))).alias("other"))
+    known = F.broadcast(known) if index.count() <= BROADCAST_KMERS else known
+    met = P.placed(reads, k).join(known, "kmer").withColumn("other", F.coalesce("other", "same"))
+    hit = lambda o, i, x: F.struct(F.lit(o).alias("orientation"), i.cast("int").alias("i"), x.alias("x"))
+    fw, rc = F.when(F.col("turned"), F.col("other")).otherwise(F.col("same")), F.when(F.col("turned"), F.col("same")).otherwise(F.col("other"))
+    hits = met.select("read_index", F.explode(F.array(hit("FW", F.col("i"), fw), hit("RC", F.col("last") - F.col("i"), rc))).alias("h"))
+    return hits.select("read_index", "h.orientation", "h.i", "h.x.unitig_id", "h.x.strand", "h.x.pos").where("unitig_id IS NOT NULL")
+
+
+def _map_strings(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
     both = F.array(F.struct(F.lit("FW").alias("o"), F.col("seq").alias("seq")), F.struct(F.lit("RC").alias("o"), reverse_complement(F.col("seq")).alias("seq")))
     turned = reads.select("read_index", F.explode(both).alias("x")).select("read_index", F.col("x.o").alias("orientation"), "x.seq")
     kmers = explode_kmers(turned, k, "read_index", "orientation").withColumnRenamed("pos", "i")

@@ -1,40 +1,53 @@
 """Compaction of the de Bruijn graph into unitigs by pointer doubling.
 
 Every node points at its predecessor if the edge between them doesn't branch on
-either side; chains are then halved by self-joins, so a chain of n nodes takes
-log2(n) rounds. Nodes are 2-bit longs up to k = 31. Cycles have no first node:
+either side; chains are then halved by joins of the open nodes, so a chain of n
+nodes takes log2(n) rounds. Nodes are 2-bit longs up to k = 31. Cycles have no first node:
 they are found as what never reaches one, cut at their smallest node, and
 compacted the same way.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import canonical, explode_kmers, pack, reverse_complement
-from strandloom.operators.kmers import degrees, oriented
+from strandloom.functions.packed import LONGEST, pack, spell
+from strandloom.functions.sequence import canonical, explode_kmers, reverse_complement
+from strandloom.operators.kmers import degrees, is_packed, oriented, turned
 from strandloom.plans.checkpoints import written
 
 
 def _chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, root, d) of nodes that reach a chain's start, and (node) of the rest.
 
-    ``links`` has (node, prev), prev equal to node for a start. A chain has nodes
-    at every distance from its start, so each round settles some of them as long
-    as any are open; what no round settles lies on cycles.
+    ``links`` has (node, prev), prev equal to node for a start. Each round hops
+    over the nodes that are still open: one whose pointer meets a settled node is
+    settled itself and goes to a table of its own, which no later round moves. A
+    chain has nodes at every distance from its start, so each round settles some
+    of them as long as any are open; what no round settles lies on cycles.
     """
-    settled = F.col("node") == F.col("prev")
-    state = written(links.select("node", F.col("prev").alias("root"), F.when(settled, 0).otherwise(1).cast("long").alias("d"), settled.alias("fin")), "chains")
-    before = None
-    while True:
-        hop = state.select(F.col("node").alias("h"), F.col("root").alias("h_root"), F.col("d").alias("h_d"), F.col("fin").alias("h_fin"))
-        moved = state.join(hop, F.col("root") == F.col("h"))
-        state = written(moved.select("node", F.col("h_root").alias("root"), (F.col("d") + F.col("h_d")).alias("d"), F.col("h_fin").alias("fin")), "chains")
-        unsettled = state.where("NOT fin").count()
-        if unsettled in (0, before):
-            return state.where("fin").drop("fin"), state.where("NOT fin").select("node")
-        before = unsettled
+    start = links.where("node = prev").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("d"))
+    settled = [written(start, "chains")]
+    pending = written(links.where("node <> prev").select("node", F.col("prev").alias("at"), F.lit(1).cast("long").alias("d")), "open")
+    left = pending.count()
+    while left:
+        hop = pending.select(F.col("node").alias("h"), F.col("at").alias("h_at"), F.col("d").alias("h_d"), F.lit(False).alias("end"))
+        hop = hop.unionByName(_union(settled).select(F.col("node").alias("h"), F.col("root").alias("h_at"), F.col("d").alias("h_d"), F.lit(True).alias("end")))
+        moved = written(pending.join(hop, F.col("at") == F.col("h")).select("node", F.col("h_at").alias("at"), (F.col("d") + F.col("h_d")).alias("d"), "end"), "open")
+        settled.append(moved.where("end").select("node", F.col("at").alias("root"), "d"))
+        pending = moved.where("NOT end").drop("end")
+        now = pending.count()
+        if now == left:
+            break
+        left = now
+    return _union(settled), pending.select("node")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _opened(links: DataFrame, cyclic: DataFrame) -> DataFrame:
@@ -57,14 +70,15 @@ def compact(kmers: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     A path stops at a node that branches on either side; a hairpin or loop is
     never followed.
     """
-    code = pack if k <= 31 else (lambda c: c)
+    packed = is_packed(kmers)
+    code = pack if k <= LONGEST and not packed else (lambda c: c)
     degree = degrees(graph)
     one_out = degree.where("n_out = 1").select(F.col("kmer").alias("u"))
     one_in = degree.where("n_in = 1").select(F.col("kmer").alias("v"))
     simple = graph.join(one_out, "u", "left_semi").join(one_in, "v", "left_semi")
-    simple = simple.where(F.col("u") != F.col("v")).where(F.col("v") != reverse_complement(F.col("u")))
+    simple = simple.where(F.col("u") != F.col("v")).where(F.col("v") != turned(graph, "u", k))
     nodes = written(
-        oriented(kmers)
+        oriented(kmers, k)
         .join(simple.select(F.col("v").alias("kmer"), F.col("u").alias("before")), "kmer", "left")
         .select(code(F.col("kmer")).alias("node"), code(F.coalesce("before", "kmer")).alias("prev"), "kmer", "n"),
         "nodes",
@@ -73,7 +87,11 @@ def compact(kmers: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     chained, cyclic = _chains(links)
     if not cyclic.isEmpty():
         chained = chained.unionByName(_chains(_opened(links, cyclic))[0])
-    part = F.struct("d", F.when(F.col("d") == 0, F.col("kmer")).otherwise(F.right("kmer", F.lit(1))).alias("s"))
+    if packed:
+        whole, base = spell(F.col("kmer"), k), F.substring(F.lit("ACGT"), F.col("kmer").bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
+    else:
+        whole, base = F.col("kmer"), F.right("kmer", F.lit(1))
+    part = F.struct("d", F.when(F.col("d") == 0, whole).otherwise(base).alias("s"))
     built = (
         chained.join(nodes.select("node", "kmer", "n"), "node")
         .groupBy("root")

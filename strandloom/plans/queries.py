@@ -33,7 +33,11 @@ def kmer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmer_histogram(spark, sf_dir):
-    return kmers.histogram(kmers.count_kmers(sequences(spark, sf_dir), K))
+    return kmers.histogram(kmers.count_kmers(sequences(spark, sf_dir), K, pack=True))
+
+
+def _packed(spark, sf_dir, transcript: bool) -> DataFrame:
+    return kmers.count_kmers(_reads(spark, sf_dir, transcript), K, 1 if transcript else LEAST, pack=True)
 
 
 def sequence_scalars(spark, sf_dir):
@@ -48,30 +52,38 @@ def sequence_scalars(spark, sf_dir):
 
 def _solid(spark, sf_dir) -> DataFrame:
     """Short-read k-mers from LEAST on and all transcript k-mers, counted once each."""
-    both = kmers.count_kmers(_reads(spark, sf_dir, False), K, LEAST).unionByName(kmers.count_kmers(_reads(spark, sf_dir, True), K))
+    both = _packed(spark, sf_dir, False).unionByName(_packed(spark, sf_dir, True))
     return both.groupBy("kmer").agg(F.max("n").alias("n"))
 
 
 def graph_degrees(spark, sf_dir):
     """Nodes of the merged graph by their numbers of edges in and out."""
-    graph = kmers.edges(written(_solid(spark, sf_dir), "solid"))
+    graph = kmers.edges(written(_solid(spark, sf_dir), "solid"), K)
     return kmers.degrees(graph).groupBy("n_in", "n_out").agg(F.count("*").alias("nodes"))
 
 
+def _weak(spark, sf_dir) -> DataFrame:
+    return kmers.weak_edges(kmers.edges(written(_packed(spark, sf_dir, False), "solid"), K), CUTOFF, K)
+
+
 def weak_edges(spark, sf_dir):
     """Edges of the short-read graph with a low share among their siblings."""
-    return kmers.weak_edges(kmers.edges(written(kmer_count(spark, sf_dir), "solid")), CUTOFF)
+    return kmers.spelled(_weak(spark, sf_dir), K, "u", "v")
+
+
+def _removal(spark, sf_dir) -> DataFrame:
+    transcript = kmers.edges(written(_packed(spark, sf_dir, True), "solid"), K)
+    return kmers.rescue(_weak(spark, sf_dir), written(transcript, "edges"))
 
 
 def rescued_removal(spark, sf_dir):
     """Weak edges that no branching transcript node has."""
-    transcript = kmers.edges(written(kmers.count_kmers(_reads(spark, sf_dir, True), K), "solid"))
-    return kmers.rescue(weak_edges(spark, sf_dir), written(transcript, "edges"))
+    return kmers.spelled(_removal(spark, sf_dir), K, "u", "v")
 
 
 def _unitigs(spark, sf_dir) -> DataFrame:
     solid = written(_solid(spark, sf_dir), "solid")
-    graph = kmers.without_edges(kmers.edges(solid), rescued_removal(spark, sf_dir))
+    graph = kmers.without_edges(kmers.edges(solid, K), _removal(spark, sf_dir))
     return unitigs.numbered(unitigs.compact(solid, written(graph, "edges"), K))
 
 
