@@ -31,10 +31,33 @@ def semi_global(short: str, long: str) -> int:
     return int(row.min())
 
 
+def turned(s: str) -> str:
+    """Reverse complement."""
+    return s[::-1].translate(_COMPLEMENT)
+
+
 def semi_global_both(a: str, b: str) -> int:
     """Of the shorter in the longer string, the better of both strands."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    return min(semi_global(short, long), semi_global(short, long[::-1].translate(_COMPLEMENT)))
+    return min(semi_global(short, long), semi_global(short, turned(long)))
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Unit-cost distance of two whole strings, one row of the table per base of ``a``."""
+    x, y = _codes(a), _codes(b)
+    ramp = np.arange(len(y) + 1)
+    row = ramp.copy()
+    for i, letter in enumerate(x, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        np.minimum(row[1:] + 1, row[:-1] + (y != letter), out=new[1:])
+        row = np.minimum.accumulate(new - ramp) + ramp
+    return int(row[-1])
+
+
+def edit_both(a: str, b: str) -> int:
+    """The smaller distance over both strands of ``a``."""
+    return min(edit_distance(a, b), edit_distance(turned(a), b))
 
 
 def ungapped_score(a: str, b: str) -> int:

@@ -3,8 +3,8 @@
 Every node points at its predecessor if the edge between them doesn't branch on
 either side; chains are then halved by joins of the open nodes, so a chain of n
 nodes takes log2(n) rounds. Nodes are 2-bit longs up to k = 31. Cycles have no first node:
-they are found as what never reaches one, cut at their smallest node, and
-compacted the same way.
+they are found as what never reaches one, cut at their smallest canonical k-mer,
+and compacted the same way.
 """
 
 from __future__ import annotations
@@ -50,18 +50,25 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _opened(links: DataFrame, cyclic: DataFrame) -> DataFrame:
-    """The links of the cycles, each opened at its smallest node."""
+def _opened(links: DataFrame, cyclic: DataFrame, k: int) -> DataFrame:
+    """The links of the cycles, each opened at its smallest canonical k-mer.
+
+    That k-mer is the first node of the strand that holds it, and its reverse
+    complement the last node of the other strand, so both give one unitig.
+    """
     ring = written(links.join(cyclic, "node"), "ring")
-    state = ring.select("node", F.col("prev").alias("at"), F.least("node", "prev").alias("low"))
+    state = ring.select("node", F.col("prev").alias("at"), F.col("node").alias("name"), F.least(F.col("node"), turned(ring, "node", k)).alias("low"))
     while True:
-        hop = state.select(F.col("node").alias("h"), F.col("at").alias("h_at"), F.col("low").alias("h_low"))
+        hop = state.select(F.col("node").alias("h"), F.col("at").alias("h_at"), F.col("name").alias("h_name"), F.col("low").alias("h_low"))
         moved = state.join(hop, F.col("at") == F.col("h"))
-        state = written(moved.select("node", F.col("h_at").alias("at"), F.least("low", "h_low").alias("low"), (F.col("h_low") < F.col("low")).alias("changed")), "ring")
+        changed = (F.col("h_name") < F.col("name")) | (F.col("h_low") < F.col("low"))
+        state = written(moved.select("node", F.col("h_at").alias("at"), F.least("name", "h_name").alias("name"), F.least("low", "h_low").alias("low"), changed.alias("changed")), "ring")
         if state.where("changed").isEmpty():
-            first = state.where("low = node").select(F.col("node").alias("first"))
-            joined = ring.join(first, F.col("node") == F.col("first"), "left")
-            return joined.select("node", F.coalesce("first", "prev").alias("prev"))
+            break
+    held = state.groupBy("name").agg(F.max(F.col("node") == F.col("low")).alias("held"))
+    joined = ring.join(state.select("node", "name", "low"), "node").join(held, "name")
+    first = F.when(F.col("held"), F.col("node") == F.col("low")).otherwise(F.col("prev") == turned(joined, "low", k))
+    return joined.select("node", F.when(first, F.col("node")).otherwise(F.col("prev")).alias("prev"))
 
 
 def compact(kmers: DataFrame, graph: DataFrame, k: int) -> DataFrame:
@@ -86,7 +93,7 @@ def compact(kmers: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     links = nodes.select("node", "prev")
     chained, cyclic = _chains(links)
     if not cyclic.isEmpty():
-        chained = chained.unionByName(_chains(_opened(links, cyclic))[0])
+        chained = chained.unionByName(_chains(_opened(links, cyclic, k))[0])
     if packed:
         whole, base = spell(F.col("kmer"), k), F.substring(F.lit("ACGT"), F.col("kmer").bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
     else:

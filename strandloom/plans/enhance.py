@@ -77,12 +77,12 @@ def run(spark: SparkSession, options: Options) -> DataFrame:
     reads = step(_numbered(_reads(spark, single + paired)), "reads", options.skip_sr)
     transcripts = step(_numbered(_reads(spark, [options.transcripts])), "transcripts", options.skip_tr)
 
-    solid_sr = step(kmers.count_kmers(reads, k, options.min_abundance), "sr_kmers", options.skip_sr)
-    solid_tr = step(kmers.count_kmers(transcripts, k), "tr_kmers", options.skip_tr)
-    weak = kmers.weak_edges(kmers.edges(solid_sr), options.rel_cutoff)
-    removed = step(kmers.rescue(weak, kmers.edges(solid_tr)), "removed_edges", options.skip_merged)
+    solid_sr = step(kmers.count_kmers(reads, k, options.min_abundance, pack=True), "sr_kmers", options.skip_sr)
+    solid_tr = step(kmers.count_kmers(transcripts, k, pack=True), "tr_kmers", options.skip_tr)
+    weak = kmers.weak_edges(kmers.edges(solid_sr, k), options.rel_cutoff, k)
+    removed = step(kmers.rescue(weak, kmers.edges(solid_tr, k)), "removed_edges", options.skip_merged)
     merged = solid_sr.unionByName(solid_tr).groupBy("kmer").agg(F.max("n").alias("n"))
-    graph = step(kmers.without_edges(kmers.edges(merged), removed), "edges", options.skip_merged)
+    graph = step(kmers.without_edges(kmers.edges(merged, k), removed), "edges", options.skip_merged)
     nodes = step(unitigs.numbered(unitigs.compact(merged, graph, k)), "unitigs", options.skip_merged)
     annotation.write_tsv(nodes.select("unitig_id", "seq"), f"{out}/nodes.tsv")
     annotation.write_tsv(unitigs.unitig_edges(nodes, k), f"{out}/edges.tsv")

@@ -117,32 +117,73 @@ def test_mapping_links_and_a_skipped_exon(spark):
     across = {(r.src, r.src_strand, r.dst, r.dst_strand) for r in mapping.mate_hints(hits, colours, mates).collect()}
     assert (0, "F", 2, "R") in across
 
-    limits = bubbles.Limits(k=k)
+    limits = bubbles.Limits(k=k, min_edit_distance=0.1)
     vertex = mapping.without_blue_only(mapping.vertices(colours, k))
     found = bubbles.find_bubbles(own, reads.where("read_index = 0"), vertex, mapping.linking_edges(pairs, reads, k), mapping.hints(pairs), limits)
-    rows = found.where("representative").collect()
-    assert any(r.path == "0_F 2_F" and r.alt_seq in skipped and r.alt_seq not in transcript and r.orig_seq in transcript for r in rows)
+    (row,) = found.collect()
+    assert (row.path, row.label, row.source, row.target, row.event_type) == ("0_F 2_F", "AS", 60 - k, 120, "AS")
+    assert row.orig_seq == transcript[60 - k : 120 + k] and row.alt_seq == skipped[60 - k : 60 + k]
     assert {r.metric for r in bubbles.stats(found).collect()} >= {"bubbles", "AS", "SNP"}
     assert mapping.quantified(own, colours).first().sr_mean == 8.0
 
 
+def walk_of(nodes, seqs, k, gap=0):
+    """Walk of a transcript through whole vertices, and the transcript."""
+    rows, at, transcript = [], 0, ""
+    for n in nodes:
+        weight = len(seqs[n]) - k + 1
+        rows += [(at + j, *n, j, weight) for j in range(weight)]
+        transcript = transcript + seqs[n][k - 1 if transcript else 0 :]
+        at += weight
+    return pd.DataFrame([r for r in rows if r[0] != gap - 1], columns=["i", "unitig_id", "strand", "pos", "weight"]), transcript
+
+
+def right_side(arcs, seqs, reads, k, related):
+    rows = [("arc", *a, *b, seqs[a], len(seqs[a]) - k + 1, reads.get(a, 1), seqs[b], len(seqs[b]) - k + 1, reads.get(b, 1), True, "", None, None) for a, b in arcs]
+    rows += [(kind, *[None] * 12, unitigs, seq) for kind, unitigs, seq in related]
+    return pd.DataFrame(rows, columns="kind src src_strand dst dst_strand src_seq src_w src_sr dst_seq dst_w dst_sr link label unitigs seq".split())
+
+
+def overlapping_nodes(k, n, seed):
+    """Vertices that each begin with the last k - 1 bases of the one before."""
+    whole = random_seq(60 * n, seed)
+    return {(i, "F"): whole[max(0, 60 * i - k + 1) : 60 * i + 60] for i in range(n)}
+
+
 def test_bubbles_behind_many_similar_paths_and_to_a_second_end():
-    k, start, ends = 15, (0, "F"), ((1, "F"), (2, "F"))
-    seqs = {n: random_seq(40, 50 + n[0]) for n in (start, *ends)}
+    k = 15
+    seqs = overlapping_nodes(k, 4, 50)
+    start, one, end, far = sorted(seqs)
+    out, into = seqs[start][-k + 1 :], seqs[end][: k - 1]
     base = random_seq(60, 60)
-    middle = {(100 + i, "F"): base[: 20 + i] + "ACGT"["CGTA".index(base[20 + i])] + base[21 + i :] for i in range(12)}
-    middle |= {(200, "F"): random_seq(60, 61), (300, "F"): random_seq(60, 62)}
-    rows = []
-    for n, seq in middle.items():
-        end, reads = ends[n[0] == 300], 9 if n[0] < 200 else 2
-        for a, b, x, y in ((start, n, seqs[start], seq), (n, end, seq, seqs[end])):
-            rows.append((*a, *b, x, 1, reads, y, 1, reads, True, ""))
-    graph = pd.DataFrame(rows, columns="src src_strand dst dst_strand src_seq src_w src_sr dst_seq dst_w dst_sr link label".split())
-    known = [start] * 100 + [ends[0]] * 40 + [ends[1]] * 5
-    walk = pd.DataFrame([(i, *n) for i, n in enumerate(known)], columns=["i", "unitig_id", "strand"])
-    walk["transcript"] = random_seq(200, 63)
-    found = bubbles._search(bubbles.Limits(k=k, complexity_as=2))((0,), walk, graph)
-    assert sorted(found["path"]) == ["0_F 100_F 1_F", "0_F 200_F 1_F", "0_F 300_F 2_F"]
+    middle = {(100 + i, "F"): out + base[: 20 + i] + "ACGT"["CGTA".index(base[20 + i])] + base[21 + i :] + into for i in range(12)}
+    middle |= {(200, "F"): out + random_seq(60, 61) + into, (300, "F"): out + random_seq(60, 62) + seqs[far][: k - 1]}
+    walk, transcript = walk_of([start, one, end, far], seqs, k, gap=5)
+    arcs = [(start, one), (one, end), (end, far)] + [p for n in middle for p in ((start, n), (n, far if n[0] == 300 else end))]
+    seqs |= middle
+    right = right_side(arcs, seqs, {n: 9 if n[0] < 200 else 2 for n in middle}, k, [("own", [0, 1, 2, 3], transcript)])
+    limits = bubbles.Limits(k=k, complexity_as=2)
+    found = bubbles._search(limits)((0,), walk, right)
+    assert sorted(found["path"]) == ["0_F 100_F 2_F", "0_F 200_F 2_F", "0_F 300_F 3_F"]
+    for r in found.itertuples():
+        assert r.orig_seq == transcript[r.source : r.target + k] and r.orig_seq[:k] == r.alt_seq[:k] and r.orig_seq[-k:] == r.alt_seq[-k:]
+    # A transcript that shares a flank and holds one of the paths makes it known; one that shares none doesn't.
+    for unitigs, paths in (([0], 2), ([77], 3)):
+        told = right_side(arcs, seqs, {n: 9 if n[0] < 200 else 2 for n in middle}, k, [("own", [0, 1, 2, 3], transcript), ("other", unitigs, "A" + seqs[200, "F"] + "A")])
+        assert len(bubbles._search(limits)((0,), walk, told)) == paths
+
+
+def test_search_enters_only_what_leads_to_a_target():
+    """A mesh of 40 layers that leads nowhere costs nothing."""
+    k = 15
+    seqs = overlapping_nodes(k, 3, 70)
+    nodes = sorted(seqs)
+    walk, transcript = walk_of(nodes, seqs, k)
+    mesh = {(1000 + 2 * i + j, "F"): random_seq(40, 1000 + 2 * i + j) for i in range(40) for j in range(2)}
+    arcs = list(zip(nodes, nodes[1:], strict=False)) + [(nodes[0], (1000, "F")), (nodes[0], (1001, "F"))]
+    arcs += [((1000 + 2 * i + j, "F"), (1002 + 2 * i + m, "F")) for i in range(39) for j in range(2) for m in range(2)]
+    found = bubbles._search(bubbles.Limits(k=k))((0,), walk, right_side(arcs, seqs | mesh, {}, k, [("own", [0, 1, 2], transcript)]))
+    assert len(found) == 0
 
 
 def test_gap_splits_a_run(spark):
