@@ -109,6 +109,41 @@ def linked_pairs(ran: DataFrame, colours: DataFrame, k: int) -> DataFrame:
     )
 
 
+def counters(reads: DataFrame, hits: DataFrame, ran: DataFrame, colours: DataFrame, k: int) -> DataFrame:
+    """(metric, value): what became of k-mers, links and hints.
+
+    A run at the end of a read starts nothing. A start that isn't left at its last
+    k-mer counts once; any other counts every later trustable run: one of the
+    same unitig, one not entered at its first k-mer (before or after the start's
+    first valid end), or a hint, the first of which is the link too.
+    """
+    lengths = reads.select("read_index", (F.char_length("seq") - k).alias("at_end"))
+    kmers = reads.agg(F.coalesce(F.sum(2 * F.greatest(F.char_length("seq") - k + 1, F.lit(0))), F.lit(0)).alias("kmers"))
+    good = colours.where("trustable").select("unitig_id", F.char_length("seq").alias("len"))
+    flagged = hits.join(colours.select("unitig_id", "trustable"), "unitig_id")
+    seen = flagged.agg(F.count("*").alias("mapped"), F.count(F.when(F.col("trustable"), 1)).alias("good"))
+    trusted = ran.join(good, "unitig_id")
+    starts = trusted.join(lengths, "read_index").where("last_i < at_end").withColumn("whole", F.col("last_pos") == F.col("len") - k)
+    a, b = starts.where("whole").alias("a"), trusted.alias("b")
+    pairs = a.join(b, F.expr("a.read_index = b.read_index AND a.orientation = b.orientation AND a.run < b.run"))
+    fits = F.col("different") & F.col("entered")
+    pairs = pairs.select("a.read_index", "a.orientation", F.col("a.run").alias("run"), F.col("b.run").alias("end"), F.expr("a.unitig_id <> b.unitig_id AS different"), F.expr("b.first_pos = 0 AS entered"))
+    earlier = Window.partitionBy("read_index", "orientation", "run").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = pairs.withColumn("linked", F.coalesce(F.max(fits).over(earlier), F.lit(False)))
+    n = lambda c: F.count(F.when(c, 1))
+    out = pairs.agg(
+        n(~F.col("different")).alias("not_linked_equal_unitig"), n(F.col("different") & ~F.col("entered") & ~F.col("linked")).alias("not_linked_end_not_entered"),
+        n(F.col("different") & ~F.col("entered") & F.col("linked")).alias("not_hinted_end_not_entered"), n(fits & ~F.col("linked")).alias("linked"), n(fits).alias("hinted"),
+    )
+    cut = starts.agg(n(~F.col("whole")).alias("not_linked_start_not_left"))
+    one = kmers.join(seen).join(out).join(cut)  # four tables of one row
+    values = {
+        "kmers_mapped": F.col("mapped"), "kmers_not_mapped": F.col("kmers") - F.col("mapped"), "kmers_on_trustable": F.col("good"),
+        "kmers_on_others": F.col("mapped") - F.col("good"), **{c: F.col(c) for c in (*cut.columns, *out.columns)},
+    }
+    return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))).alias("metric", "value"))
+
+
 def linking_edges(pairs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     """(src, src_strand, dst, dst_strand, label, n): links with their commonest label.
 

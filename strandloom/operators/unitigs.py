@@ -158,3 +158,18 @@ def unitig_edges(unitigs: DataFrame, k: int) -> DataFrame:
     )
     met = a.join(b, F.col("a.key") == F.col("b.key")).where(F.col("a.unitig_id") != F.col("b.unitig_id"))
     return met.select(F.col("a.unitig_id").alias("src"), F.col("b.unitig_id").alias("dst"), label.alias("label")).where("label IS NOT NULL").distinct()
+
+
+def surviving(overlaps: DataFrame, unitigs: DataFrame, graph: DataFrame, k: int) -> DataFrame:
+    """The overlaps whose edge the graph still has.
+
+    The edge goes from the last k-mer of the source to the first one of the end, on
+    the strands that the label names (F or R for each).
+    """
+    strand = lambda at: F.when(F.substring("label", at, 1) == "F", F.col("seq")).otherwise(reverse_complement(F.col("seq")))
+    ends = unitigs.select("unitig_id", "seq")
+    rows = overlaps.join(ends, F.col("src") == F.col("unitig_id")).select("src", "dst", "label", F.right(strand(1), F.lit(k)).alias("u"))
+    rows = rows.join(ends, F.col("dst") == F.col("unitig_id")).select("src", "dst", "label", "u", F.left(strand(2), F.lit(k)).alias("v"))
+    if is_packed(graph, "u"):
+        rows = rows.withColumns({"u": pack(F.col("u")), "v": pack(F.col("v"))})
+    return rows.join(graph.select("u", "v"), ["u", "v"], "left_semi").select("src", "dst", "label")

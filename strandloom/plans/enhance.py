@@ -50,14 +50,14 @@ class Options:
 
 
 def _reads(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, place, seq) of FASTA and FASTQ files."""
+    """(file, place, header, seq) of FASTA and FASTQ files."""
     fastq = [p for p in paths if any(x in p.lower() for x in (".fq", ".fastq"))]
     fasta = [p for p in paths if p not in fastq]
     parts = []
     if fasta:
-        parts.append(sequences.read_fasta(spark, *fasta).select("file", F.monotonically_increasing_id().alias("place"), "seq"))
+        parts.append(sequences.read_fasta(spark, *fasta).select("file", F.monotonically_increasing_id().alias("place"), "header", "seq"))
     if fastq:
-        parts.append(sequences.read_fastq(spark, *fastq).select("file", F.col("read_index").alias("place"), "seq"))
+        parts.append(sequences.read_fastq(spark, *fastq).select("file", F.col("read_index").alias("place"), "header", "seq"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -106,8 +106,9 @@ def run(spark: SparkSession, options: Options) -> DataFrame:
     limits = bubbles.Limits(k, options.max_length_as, options.max_length_intron, options.complexity_as, options.complexity_ir, options.min_edit_distance)
     vertex = mapping.without_blue_only(mapping.vertices(colours, k))
     found = step(bubbles.find_bubbles(blue, transcripts.select("read_index", "seq"), vertex, links, hint, limits), "bubbles")
-    annotation.write_bubbles(found, f"{out}/alternative_paths")
-    annotation.write_stats(bubbles.stats(found), f"{out}/final_stats")
+    annotation.write_bubbles(found, transcripts, f"{out}/alternative_paths")
+    counted = mapping.counters(reads, red, mapping.runs(red), colours, k).unionByName(bubbles.stats(found))
+    annotation.write_stats(counted, f"{out}/final_stats")
     return found
 
 

@@ -1,12 +1,15 @@
 """Registered queries over the driver tables, whole tables and whole texts.
 
-Documents are read as sequences (:mod:`strandloom.plans.tables`); benchmark
-items play the unitigs in the mapping queries, which makes their results
-independent of traversal order and so comparable with SQL.
+Documents are read as sequences (:mod:`strandloom.plans.tables`); pieces of
+benchmark items play the unitigs in the mapping queries, which makes their
+results independent of traversal order and so comparable with SQL. Events planted
+for the benchmark items go through the whole chain with the graph's own unitigs.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +17,9 @@ from strandloom.functions import sequence as S
 from strandloom.functions.alignment import semi_global_distance, ungapped_local_score
 from strandloom.operators import bubbles, evaluate, kmers, mapping, simulate, splicing, traversal, unitigs
 from strandloom.plans.checkpoints import written
-from strandloom.plans.tables import contigs, sequences, table
+from strandloom.plans import tables
+from strandloom.plans.tables import contigs, items, sequences, table
+from strandloom.sources import annotation
 
 K = 21
 #: Length of k-mers in the mapping queries.
@@ -41,13 +46,15 @@ def _packed(spark, sf_dir, transcript: bool) -> DataFrame:
 
 
 def sequence_scalars(spark, sf_dir):
-    """Digests of complement and reverse complement, base check, packed first k-mer and its minimizer."""
-    rows = sequences(spark, sf_dir).where(F.char_length("seq") >= K)
-    first = F.substring(F.col("seq"), 1, K)
-    return rows.select(
-        "read_index", F.md5(S.complement(F.col("seq"))).alias("complement"), F.md5(S.reverse_complement(F.col("seq"))).alias("rc"),
-        S.is_acgt(F.col("seq")).alias("acgt"), S.canonical(first).alias("canonical"), S.pack(first).alias("packed"), S.minimizer(first, 7).alias("minimizer"),
-    )
+    """Digests of complement and reverse complement, base check, and over all k-mers of a
+    text the sums of canonical codes, packed codes and packed minimizers (null without any)."""
+    rows = sequences(spark, sf_dir)
+    alone = rows.select("read_index", F.md5(S.complement(F.col("seq"))).alias("complement"), F.md5(S.reverse_complement(F.col("seq"))).alias("rc"), S.is_acgt(F.col("seq")).alias("acgt"))
+    every = S.explode_kmers(rows, K, "read_index")
+    sums = every.groupBy("read_index").agg(
+        F.sum(S.pack(S.canonical(F.col("kmer")))).alias("canonical"), F.sum(S.pack(F.col("kmer"))).alias("packed"), F.sum(S.pack(S.minimizer(F.col("kmer"), 7))).alias("minimizer")
+    )
+    return alone.join(sums, "read_index", "left")
 
 
 def _solid(spark, sf_dir) -> DataFrame:
@@ -167,7 +174,7 @@ def mate_hints(spark, sf_dir):
 
 def _neighbours(spark, sf_dir) -> DataFrame:
     """(a_id, b_id, a, b): each benchmark sequence and the next one."""
-    c = contigs(spark, sf_dir)
+    c = items(spark, sf_dir)
     nxt = c.select((F.col("unitig_id") - 1).alias("a_id"), F.col("unitig_id").alias("b_id"), F.col("seq").alias("b"))
     return c.select(F.col("unitig_id").alias("a_id"), F.col("seq").alias("a")).join(nxt, "a_id")
 
@@ -210,8 +217,10 @@ def splice_chains(spark, sf_dir):
 
 
 def spliced_exons(spark, sf_dir):
-    """Three exons of every sequence, put together."""
-    exons = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((401, 450), (1, 60), (201, 233))))
+    """The last 50, the first 60 and 33 middle bases of every sequence, put together in order."""
+    n = F.char_length("seq")
+    middle = F.floor(n / 2).cast("int")
+    exons = F.array(*(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")) for a, b in ((F.greatest(n - 49, F.lit(1)), n), (F.lit(1), F.least(n, F.lit(60))), (middle + 1, middle + 33))))
     return sequences(spark, sf_dir).select("read_index", splicing.spliced(exons, F.col("seq")).alias("spliced"))
 
 
@@ -233,7 +242,7 @@ def event_runs(spark, sf_dir):
 def shared_kmers(spark, sf_dir):
     """Documents and benchmark items with at least ten common k-mers."""
     left = sequences(spark, sf_dir).select(F.col("read_index").alias("id"), "seq")
-    return evaluate.shared_kmer_pairs(left, contigs(spark, sf_dir).select(F.col("unitig_id").alias("id"), "seq"), K, 10)
+    return evaluate.shared_kmer_pairs(left, items(spark, sf_dir).select(F.col("unitig_id").alias("id"), "seq"), K, 10)
 
 
 def distinct_pairs(spark, sf_dir):
@@ -247,9 +256,9 @@ def distinct_pairs(spark, sf_dir):
 def match_triage(spark, sf_dir):
     """Documents by what they share with the benchmark: whole item, ten k-mers, any k-mer, none."""
     docs = sequences(spark, sf_dir).select(F.col("read_index").alias("id"), "seq")
-    pairs = written(evaluate.shared_kmer_pairs(docs, contigs(spark, sf_dir).select(F.col("unitig_id").alias("id"), "seq"), K, 1), "pairs")
-    items = contigs(spark, sf_dir).select(F.col("unitig_id").alias("y"), F.col("seq").alias("item"))
-    whole = pairs.join(items, "y").join(docs, F.col("x") == F.col("id")).where(F.col("seq").contains(F.col("item"))).select("id").distinct()
+    pairs = written(evaluate.shared_kmer_pairs(docs, items(spark, sf_dir).select(F.col("unitig_id").alias("id"), "seq"), K, 1), "pairs")
+    item = items(spark, sf_dir).select(F.col("unitig_id").alias("y"), F.col("seq").alias("item"))
+    whole = pairs.join(item, "y").join(docs, F.col("x") == F.col("id")).where(F.col("seq").contains(F.col("item"))).select("id").distinct()
     flags = docs.select("id")
     for name, ids in (("matched", whole), ("same_gene", pairs.where("shared >= 10").select(F.col("x").alias("id")).distinct()), ("chimeric", pairs.select(F.col("x").alias("id")).distinct())):
         flags = flags.join(ids.withColumn(name, F.lit(True)), "id", "left").fillna(False, [name])
@@ -269,16 +278,74 @@ def reachable_unitigs(spark, sf_dir):
     return traversal.reachable(own.select(F.col("read_index").alias("group"), name("unitig_id", "strand").alias("node")), written(graph, "graph"), 400)
 
 
+#: Length of k-mers, and share of differences, in the search for planted events.
+EVENT_K = 31
+EVENT_SHARE = 0.1
+
+
+def search_events(transcripts: DataFrame, reads: DataFrame, k: int, limits: bubbles.Limits) -> dict[str, DataFrame]:
+    """The whole chain from sequences to bubbles, with the tables between."""
+    solid_sr, solid_tr = (written(kmers.count_kmers(t, k, least, pack=True), "solid") for t, least in ((reads, LEAST), (transcripts, 1)))
+    removed = kmers.rescue(kmers.weak_edges(kmers.edges(solid_sr, k), 0.02, k), kmers.edges(solid_tr, k))
+    merged = solid_sr.unionByName(solid_tr).groupBy("kmer").agg(F.max("n").alias("n"))
+    graph = written(kmers.without_edges(kmers.edges(merged, k), removed), "edges")
+    nodes = written(unitigs.numbered(unitigs.compact(merged, graph, k)), "unitigs")
+    index = written(unitigs.index(nodes, k), "index")
+    blue, red = (written(mapping.map_reads(t, index, k), "hits") for t in (transcripts, reads))
+    colours = written(mapping.coloured(nodes, mapping.unitig_counts(blue), mapping.unitig_counts(red), k), "colours")
+    pairs = written(mapping.linked_pairs(mapping.runs(red), colours, k), "pairs")
+    links = written(mapping.linking_edges(pairs, reads, k), "links")
+    vertex = mapping.without_blue_only(mapping.vertices(colours, k))
+    found = bubbles.find_bubbles(blue, transcripts.select("read_index", "seq"), vertex, links, mapping.hints(pairs), limits)
+    return {"graph": graph, "nodes": nodes, "index": index, "blue": blue, "red": red, "colours": colours, "links": links, "vertex": vertex, "bubbles": written(found, "bubbles")}
+
+
+@functools.cache
+def _events_of(spark, application: str, sf_dir: str) -> dict[str, DataFrame]:
+    """The written tables of the chain, which several queries of one application look at."""
+    transcripts, reads = tables.planted(spark, sf_dir)
+    return search_events(transcripts, reads, EVENT_K, bubbles.Limits(k=EVENT_K, min_edit_distance=EVENT_SHARE))
+
+
+def _events(spark, sf_dir) -> dict[str, DataFrame]:
+    return _events_of(spark, spark.sparkContext.applicationId, sf_dir)
+
+
 def novel_bubbles(spark, sf_dir):
-    """Bubbles of the transcripts over the linking graph of the benchmark sequences."""
+    """Events planted for every benchmark item, found from reads and transcripts by the whole chain."""
+    return _events(spark, sf_dir)["bubbles"].select("read_index", "label", "source", "target", "orig_seq", "alt_seq", "n_nodes", "n_branches", "edit_distance", "event_type")
+
+
+def bubble_records(spark, sf_dir):
+    """Records of the bubble files, by kind and class."""
+    transcripts, _ = tables.planted(spark, sf_dir)
+    return annotation.bubble_records(_events(spark, sf_dir)["bubbles"], transcripts).where("kind <> 'bubbles.detailed'").select("kind", "event_type", "read_index", "place", F.regexp_replace("header", "Bubble_id=\\d+;", "").alias("header"), "seq")
+
+
+def transcript_paths(spark, sf_dir):
+    """Transcripts spelled by their hits, short-read coverage and vertices without short reads."""
+    got = _events(spark, sf_dir)
+    transcripts, _ = tables.planted(spark, sf_dir)
+    same = mapping.reassembled(got["blue"], got["nodes"], transcripts.select("read_index", "seq"), EVENT_K)
+    vertices = got["blue"].where("orientation = 'FW'").select("read_index", "unitig_id", "strand").distinct().join(got["vertex"].select("unitig_id", "strand", "sr_count", "weight"), ["unitig_id", "strand"])
+    paths = vertices.groupBy("read_index").agg(F.collect_list(F.struct("unitig_id", "strand", "sr_count", "weight")).alias("nodes"))
+    counted = mapping.quantified_paths(paths).select("read_index", "sr_mean", F.size("nodes").alias("nodes"), F.aggregate("nodes", F.lit(0).cast("long"), lambda a, n: a + n["weight"]).alias("kmers"))
+    return same.join(counted, "read_index")
+
+
+def link_counters(spark, sf_dir):
+    """The ten counters of mapping and linking."""
     hits = written(_mapping(spark, sf_dir), "hits")
-    colours = written(_coloured(spark, sf_dir, hits), "colours")
-    pairs = written(mapping.linked_pairs(mapping.runs(hits), colours, MAP_K), "pairs")
-    transcripts = _reads(spark, sf_dir, True).select("read_index", "seq")
-    own = hits.join(transcripts.select("read_index"), "read_index", "left_semi")
-    links = written(mapping.linking_edges(pairs, sequences(spark, sf_dir), MAP_K), "links")
-    vertex = mapping.without_blue_only(mapping.vertices(colours, MAP_K))
-    return bubbles.find_bubbles(own, transcripts, vertex, links, mapping.hints(pairs), bubbles.Limits(k=MAP_K))
+    return mapping.counters(sequences(spark, sf_dir), hits, mapping.runs(hits), _coloured(spark, sf_dir, hits), MAP_K)
+
+
+def surviving_edges(spark, sf_dir):
+    """Overlaps of unitig ends that are edges of the cleaned graph of the planted reads."""
+    got = _events(spark, sf_dir)
+    kept = unitigs.surviving(unitigs.unitig_edges(got["nodes"], EVENT_K), got["nodes"], got["graph"], EVENT_K)
+    ends = got["nodes"].select("unitig_id", "seq")
+    one, two = (ends.select(F.col("unitig_id").alias(c), F.md5("seq").alias(f"{c}_seq")) for c in ("src", "dst"))
+    return kept.join(one, "src").join(two, "dst").select("src_seq", "dst_seq", "label")
 
 
 QUERIES = {
@@ -287,6 +354,6 @@ QUERIES = {
         kmer_count, kmer_histogram, sequence_scalars, graph_degrees, weak_edges, rescued_removal, unitig_table, unitig_edges, kmer_index, read_hits,
         coloured_unitigs, unitig_transcripts, transcript_quantification, mapping_runs, linking_edges, linking_hints, mate_hints, event_classes, semi_global,
         best_anchors, simulated_reads, shallow_sample, splice_chains, spliced_exons, overlapping_intervals, event_runs, shared_kmers, distinct_pairs,
-        match_triage, reachable_unitigs, novel_bubbles,
+        match_triage, reachable_unitigs, novel_bubbles, bubble_records, transcript_paths, link_counters, surviving_edges,
     )
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions.sequence import fill_header
+
 GTF = "chr string, source string, feature string, start int, end int, score string, strand string, frame string, attrs string"
 
 
@@ -65,11 +67,50 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, sep="\t")
 
 
-def write_bubbles(bubbles: DataFrame, path: str) -> None:
-    """Three kinds of output, each by event type: plain, detailed, clustered."""
-    kinds = F.array(F.lit("plain"), F.lit("detailed"), *[F.when(F.col("representative"), "clustered")])
-    rows = bubbles.withColumn("kind", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
-    rows.write.mode("overwrite").partitionBy("kind", "event_type").parquet(path)
+# The templates of the headers.
+PLAIN = "Bubble_id=[id];Length=[length];[label]_sequence"
+DETAILED = "Bubble_id=[id];Transcript=[transcript];Length=[length];Branches=[branches];[label]_sequence;Edit_distance=[edit_distance];Read_index=[read_index];Path=[path]"
+
+
+def bubble_records(bubbles: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(kind, event_type, read_index, place, header, seq): FASTA records of bubbles.
+
+    ``blat``: each class of a transcript's bubbles begins with the transcript
+    (read_index, header, seq), then come the alternative paths; ``bubbles.detailed``:
+    both paths of every bubble; ``blat.clustered``: as blat, without paths that are
+    similar to one before.
+    """
+    rows = bubbles.join(transcripts.select("read_index", F.col("header").alias("t_header"), F.col("seq").alias("t_seq")), "read_index")
+    bubble = F.col("bubble_id") - 1  # bubbles of a transcript are numbered from 0
+
+    def record(kind, place, header, seq):
+        return F.struct(F.lit(kind).alias("kind"), place.cast("long").alias("place"), header.alias("header"), seq.alias("seq"))
+
+    def header(template, label, seq, transcript, branches, path):
+        return fill_header(
+            template, id=bubble, transcript=transcript, length=F.char_length(seq), branches=branches, label=label, edit_distance=F.col("edit_distance"),
+            read_index=F.col("read_index"), path=path,
+        )
+
+    novel = F.concat(F.lit("Novel_"), F.when(F.col("label") == "IR", "intron").otherwise(F.col("label")))
+    alt, orig = F.col("alt_seq"), F.col("orig_seq")
+    plain = header(PLAIN, novel, alt, F.lit("Novel"), F.col("n_branches"), F.col("path"))
+    known = header(DETAILED, F.lit("Original_LR"), orig, F.col("t_header"), F.lit("N/A"), F.col("orig_path"))
+    other = header(DETAILED, novel, alt, F.lit("Novel"), F.col("n_branches"), F.col("path"))
+    records = F.array(
+        record("blat", bubble + 1, plain, alt), F.when(F.col("representative"), record("blat.clustered", bubble + 1, plain, alt)),
+        record("bubbles.detailed", 2 * bubble + 1, known, orig), record("bubbles.detailed", 2 * bubble + 2, other, alt),
+    )
+    every = rows.select("event_type", "read_index", F.explode(F.filter(records, lambda r: r.isNotNull())).alias("r")).select("r.kind", "event_type", "read_index", "r.place", "r.header", "r.seq")
+    first = rows.select("event_type", "read_index", "t_header", "t_seq").distinct()
+    first = first.select(F.explode(F.array(F.lit("blat"), F.lit("blat.clustered"))).alias("kind"), "event_type", "read_index", F.lit(0).cast("long").alias("place"), F.col("t_header").alias("header"), F.col("t_seq").alias("seq"))
+    return every.unionByName(first)
+
+
+def write_bubbles(bubbles: DataFrame, transcripts: DataFrame, path: str) -> None:
+    """The records as FASTA lines, in a folder for each kind and class."""
+    rows = bubble_records(bubbles, transcripts).repartitionByRange("kind", "event_type", "read_index").sortWithinPartitions("kind", "event_type", "read_index", "place")
+    rows.select("kind", "event_type", F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value")).write.mode("overwrite").partitionBy("kind", "event_type").text(path)
 
 
 def write_stats(stats: DataFrame, path: str) -> None:

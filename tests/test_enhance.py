@@ -21,7 +21,8 @@ def test_skipped_exon_from_files(spark, tmp_path):
     assert [(r.orig_seq, r.alt_seq) for r in found] == [(known[71 - 15 : 71 + 72 + 15], skipped[71 - 15 : 71 + 15])]
     nodes, blue = spark.read.parquet(f"{out}/unitigs"), spark.read.parquet(f"{out}/tr_mapping")
     assert mapping.reassembled(blue, nodes, spark.read.parquet(f"{out}/transcripts"), 15).first().same is True
-    assert spark.read.text(f"{out}/final_stats").count() == 6
+    assert spark.read.text(f"{out}/final_stats").count() == 16
+    assert spark.read.text(f"{out}/alternative_paths/kind=bubbles.detailed/event_type=AS").count() == 4
     again = enhance.run(spark, enhance.Options(f"{tmp_path}/t.fa", f"{tmp_path}/list", prefix=out, k=15, min_edit_distance=0.1, skip_sr=True, skip_tr=True, skip_merged=True, skip_mapping=True))
     assert again.count() == len(found)
     assert unitigs.unitig_edges(nodes, 15).count() > 0
