@@ -9,18 +9,22 @@ starts in a document with a smaller id.
    windows have equal minimizers, so an edge can only repeat inside the group of
    its minimizer, and a group is some hundred bytes where its windows would be
    several times that.
-2. Paths are dealt by minimizer. Equal paths are compacted to one: the smallest
-   id among its sources is known, and every other source has all its windows
-   repeated. Where a group has one path only, it doesn't branch and is done.
+2. Paths are dealt by minimizer. Equal paths are compacted to one: the place of
+   its source with the smallest id is known, and every other place has all its
+   windows repeated. Where a group has one path only, it doesn't branch and is done.
 3. Where paths of a group differ, they branch or end at different places. The
    coordinates of each path's smallest source lead back to its text, the edges
    are taken apart and each is joined with its smallest source.
-4. The spans of both kinds are brought back to the coordinates of the documents
-   and the words they cover are removed.
+4. Paths that follow one another without branching, in the document and at the
+   source alike, are compacted to one long span.
+5. Each long span's source coordinates lead back to the words there. Only where
+   their 128-bit digest is that of the span's own words does the span count, so a
+   removal never rests on the 64-bit hashes of windows and paths.
+6. The words under the verified spans are removed.
 
 Inside a batch, equal paths that occur often are packed into one row before the
 shuffle, so a passage that a third of all documents share costs a row for each
-batch. Texts are shuffled once: both uses read the same exchange.
+batch. Texts are shuffled once: all uses read the same exchange.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import materialise, no_null, table
+from strandloom.llm.common import materialise, no_null, small, table
 from strandloom.llm.textbytes import blocks, mix64, run_hashes, space_words, word_hashes
 
 WINDOW = 13
@@ -42,6 +46,8 @@ PIECE = 5
 PACK = 8
 #: Rows meant for each partition of the texts.
 PARTITION_ROWS = 8192
+#: Tables of up to so many spans (some 50 bytes each) are broadcast.
+BROADCAST_SPANS = 300_000
 
 # A place in a document: 28 bits of the text's hash (tells rows with the same id
 # apart), 31 bits for the first window and 4 for the number of windows.
@@ -119,21 +125,21 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, doc, place) of paths: kind 0 has all its windows repeated, since an
-    equal path has the smaller id ``low``; kind 1 is the first of its kind in a
-    group of different paths."""
+    """(kind, doc, place, s_doc, s_place) of paths: kind 0 has all its windows repeated,
+    since the equal path at the source (s_doc, s_place) has a smaller id; kind 1 is
+    the first of its kind in a group of different paths."""
     for batch in batches:
-        straight, low, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        more = batch.column(4)
-        parts = [(straight, low, doc, place)]
+        straight, s_doc, s_place, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        more = batch.column(5)
+        parts = [(straight, s_doc, s_place, doc, place)]
         for i in np.flatnonzero(more.is_valid().to_numpy(zero_copy_only=False)).tolist():
             both = np.frombuffer(more[i].as_buffer(), np.int64).reshape(2, -1)
             n = both.shape[1]
-            parts.append((np.full(n, straight[i]), np.full(n, low[i]), both[0], both[1]))
-        straight, low, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        kind = np.where(doc > low, 0, 1).astype(np.int32)
+            parts.append((np.full(n, straight[i]), np.full(n, s_doc[i]), np.full(n, s_place[i]), both[0], both[1]))
+        straight, s_doc, s_place, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        kind = np.where(doc > s_doc, 0, 1).astype(np.int32)
         good = (kind == 0) | ~straight
-        yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (kind, doc, place)], ["kind", "doc", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (kind, doc, place, s_doc, s_place)], ["kind", "doc", "place", "s_doc", "s_place"])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,15 +166,50 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _covered(spans: pa.Array, first: np.ndarray, words: int) -> np.ndarray:
-    """Words under the windows of the rows' spans."""
+def _words_apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words end to end with one space after each, and where each begins."""
+    size = ends - starts + 1
+    begin = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(begin[-1]) + np.repeat(starts - begin[:-1], size)
+    out = data[np.minimum(at, max(0, len(data) - 1))]
+    out[begin[1:] - 1] = 0x20
+    return out.tobytes(), begin
+
+
+def _digest(text: bytes, begin: np.ndarray, word: int, n: int) -> bytes:
+    """Digest of the words under ``n`` windows from a word on."""
+    return hashlib.blake2b(text[begin[word] : begin[word + n + WINDOW - 1] - 1], digest_size=16).digest()
+
+
+def _source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s_doc, s_low, span, digest) of every wanted span of the sources."""
+    for batch in batches:
+        for lo, hi, data, offsets in blocks(batch.column(2)):
+            starts, ends, first = space_words(data, offsets)
+            text, begin = _words_apart(data, starts, ends)
+            rows, spans, digests = [], [], []
+            for i in range(hi - lo):
+                for span in batch.column(3)[lo + i].values.to_pylist():
+                    start, n = span >> _START_BITS, span & (1 << _START_BITS) - 1
+                    if start + n + WINDOW - 1 <= first[i + 1] - first[i]:
+                        rows.append(lo + i)
+                        spans.append(span)
+                        digests.append(_digest(text, begin, int(first[i]) + start, n))
+            own = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(spans, pa.int64()), pa.array(digests, pa.binary())], ["s_doc", "s_low", "span", "digest"])
+
+
+def _covered(spans: pa.Array, first: np.ndarray, text: bytes, begin: np.ndarray) -> np.ndarray:
+    """Words under those spans of the rows whose words are the source's."""
+    words = len(begin) - 1
     edge = np.zeros(words + 1, np.int64)
-    lengths = np.array([len(s) if s.is_valid else 0 for s in spans])
-    if lengths.sum():
-        flat = spans.flatten().to_numpy()
-        start = np.repeat(first[:-1], lengths) + (flat >> 4 & (1 << _START_BITS) - 1)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + (flat & 15) + WINDOW - 1, -1)
+    for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        for s in spans[i].as_py():
+            start, n = s["span"] >> _START_BITS, s["span"] & (1 << _START_BITS) - 1
+            at = int(first[i]) + start
+            if at + n + WINDOW - 1 <= first[i + 1] and _digest(text, begin, at, n) == s["digest"]:
+                edge[at] += 1
+                edge[at + n + WINDOW - 1] -= 1
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -176,28 +217,28 @@ def _stripped(column: pa.Array, spans: pa.Array) -> Iterator[tuple[int, np.ndarr
     """(first row, words, removed words, kept text bytes, their bounds) of blocks."""
     for lo, hi, data, offsets in blocks(column):
         starts, ends, first = space_words(data, offsets)
-        gone = _covered(spans[lo:hi], first, len(starts))
+        text, begin = _words_apart(data, starts, ends)
+        gone = _covered(spans[lo:hi], first, text, begin)
         kept = np.flatnonzero(~gone)
-        rows = np.searchsorted(first, kept, "right") - 1
-        final = np.ones(len(kept), bool)
-        final[:-1] = rows[1:] != rows[:-1]
-        mark = np.zeros(len(data) + 1, np.int8)
-        mark[starts[kept]] += 1
-        mark[ends[kept]] -= 1
-        take = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
-        out = data.copy()
-        gaps = ends[kept[~final]]  # white space: a kept word of the same row follows
-        take[gaps] = True
-        out[gaps] = 0x20
-        cuts = np.concatenate([[0], np.cumsum(take)])[offsets]
+        size = np.diff(begin)[kept]
+        # Kept words with a space behind each; the last one of a row loses it.
+        out = np.frombuffer(text, np.uint8)[np.arange(int(size.sum())) + np.repeat(begin[kept] - np.concatenate([[0], np.cumsum(size)])[:-1], size)]
+        number = np.searchsorted(kept, first)
+        cuts = np.concatenate([[0], np.cumsum(size)])[number]
         removed = np.concatenate([[0], np.cumsum(gone)])
-        yield lo, np.diff(first), removed[first[1:]] - removed[first[:-1]], out[take].tobytes(), cuts
+        yield lo, np.diff(first), removed[first[1:]] - removed[first[:-1]], out.tobytes(), cuts
+
+
+def _kept(text: bytes, cuts: np.ndarray) -> Iterator[bytes]:
+    """Each row's kept text."""
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield text[a : max(a, b - 1)]
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, words, removed, text, cuts in _stripped(batch.column(1), batch.column(2)):
-            sums = [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            sums = [hashlib.sha256(t).hexdigest() for t in _kept(text, cuts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)[lo : lo + len(words)], pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums)],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
@@ -207,7 +248,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, words, removed, text, cuts in _stripped(batch.column(1), batch.column(2)):
-            kept = [text[a:b].decode() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            kept = [t.decode() for t in _kept(text, cuts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)[lo : lo + len(words)], pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept)],
                 ["doc_id", "n_words", "n_removed", "kept_text"],
@@ -227,29 +268,53 @@ def _with_spans(docs: DataFrame, text: str) -> DataFrame:
     group, equal = Window.partitionBy("best"), Window.partitionBy("best", "path")
     many = (F.max("doc").over(group) > F.min("doc").over(group)) | (F.count("more").over(group) > 0)
     repeated = (
-        paths.withColumn("low", F.min("doc").over(equal))
+        paths.withColumn("source", F.min(F.struct("doc", "place")).over(equal))
         .withColumns({"straight": F.min("path").over(group) == F.max("path").over(group), "many": many})
         .where("many")
-        .select("straight", "low", "doc", "place", "more")
-        .mapInArrow(_unpacked, "kind int, doc long, place long")
+        .select("straight", "source.doc", "source.place", F.col("doc").alias("own"), F.col("place").alias("own_place"), "more")
+        .mapInArrow(_unpacked, "kind int, doc long, place long, s_doc long, s_place long")
     )
     repeated = materialise(repeated, "repeated")
-    low_of = F.shiftright("place", _START_BITS + 4)
-
-    def per_doc(spans: DataFrame) -> DataFrame:
-        spans = spans.select(F.col("doc").alias("s_doc"), low_of.alias("s_low"), "place")
-        return spans.groupBy("s_doc", "s_low").agg(F.collect_list("place").alias("spans"))
+    low_of = lambda c: F.shiftright(c, _START_BITS + 4)
 
     parts = max(1, -(-docs.count() // PARTITION_ROWS))
     dealt = slim.repartition(parts, "doc", "low")
-    same = (F.col("doc") == F.col("s_doc")) & (F.col("low") == F.col("s_low"))
-    branching = dealt.join(per_doc(repeated.where("kind = 1")), same).where("doc_id IS NOT NULL")
-    edges = branching.select("doc", "low", "text", "spans").mapInArrow(_edges, "edge long, best long, doc long, place long")
-    first = edges.groupBy("edge", "best").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    later = edges.join(first, ["edge", "best"]).where("doc > first").select("doc", "place")
-    found = per_doc(repeated.where("kind = 0").select("doc", "place").unionAll(later))
-    here = same & F.col("doc_id").isNotNull()
-    return dealt.join(found, here, "left").select("doc_id", "text", "spans")
+    first_kind = repeated.where("kind = 1").select(F.col("doc").alias("s_doc"), low_of("place").alias("s_low"), "place")
+    first_kind = first_kind.groupBy("s_doc", "s_low").agg(F.collect_list("place").alias("spans"))
+    same = (F.col("doc") == F.col("s_doc")) & (F.col("low") == F.col("s_low")) & F.col("doc_id").isNotNull()
+    edges = dealt.join(first_kind, same).select("doc", "low", "text", "spans").mapInArrow(_edges, "edge long, best long, doc long, place long")
+    first = edges.groupBy("edge", "best").agg(F.min(F.struct("doc", "place")).alias("source"), F.max("doc").alias("last")).where("source.doc < last")
+    later = edges.join(first, ["edge", "best"]).where("doc > source.doc").select("doc", "place", F.col("source.doc").alias("s_doc"), F.col("source.place").alias("s_place"))
+    long_spans = materialise(_compacted(repeated.where("kind = 0").drop("kind").unionByName(later)), "spans")
+
+    span = lambda start: (F.shiftleft(start, _START_BITS) + F.col("n")).alias("span")
+    wanted = long_spans.select("s_doc", "s_low", span(F.col("s_start"))).distinct().groupBy("s_doc", "s_low").agg(F.collect_list("span").alias("spans"))
+    digests = dealt.join(wanted, same).select("doc", "low", "text", "spans").mapInArrow(_source_digests, "s_doc long, s_low long, span long, digest binary")
+    digests = small(materialise(digests.dropDuplicates(["s_doc", "s_low", "span"]), "digests"), BROADCAST_SPANS)
+    told = long_spans.select("doc", "low", F.struct(span(F.col("start"))).alias("own"), "s_doc", "s_low", span(F.col("s_start"))).join(digests, ["s_doc", "s_low", "span"])
+    found = told.groupBy(F.col("doc").alias("s_doc"), F.col("low").alias("s_low")).agg(F.collect_list(F.struct("own.span", "digest")).alias("spans"))
+    return dealt.join(found, same, "left").select("doc_id", "text", "spans")
+
+
+def _compacted(spans: DataFrame) -> DataFrame:
+    """(doc, low, start, n, s_doc, s_low, s_start): spans of ``n`` windows, as long as they go on.
+
+    A span goes on where the next one of the document begins behind it and has its
+    source behind the span's source.
+    """
+    part = lambda c: F.shiftright(c, 4).bitwiseAND(F.lit((1 << _START_BITS) - 1))
+    low = lambda c: F.shiftright(c, _START_BITS + 4)
+    rows = spans.dropDuplicates(["doc", "place"]).select(
+        "doc", low("place").alias("low"), part("place").alias("start"), F.col("place").bitwiseAND(F.lit(15)).alias("n"), "s_doc", low("s_place").alias("s_low"), part("s_place").alias("s_start")
+    )
+    order = Window.partitionBy("doc", "low").orderBy("start")
+    before = lambda c: F.lag(c).over(order)
+    goes_on = (
+        (before("s_doc") == F.col("s_doc")) & (before("s_low") == F.col("s_low"))
+        & (before("start") + before("n") == F.col("start")) & (before("s_start") + before("n") == F.col("s_start"))
+    )
+    numbered = rows.withColumn("island", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order))
+    return numbered.groupBy("doc", "low", "island", "s_doc", "s_low").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("s_start").alias("s_start")).drop("island")
 
 
 def strip(docs: DataFrame, text: str = "text") -> DataFrame:
