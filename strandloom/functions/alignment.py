@@ -71,6 +71,15 @@ def ungapped_score(a: str, b: str) -> int:
     return best
 
 
+def matches_without_gaps(a: str, b: str) -> int:
+    """Most equal bases of two strings laid along each other at any offset."""
+    x, y = _codes(a), _codes(b)
+    if not len(x) or not len(y):
+        return 0
+    equal = sum(np.convolve((x == letter).astype(float), (y == letter)[::-1].astype(float)) for letter in np.unique(x))
+    return int(equal.round().max())
+
+
 def _pairwise(function):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else function(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
@@ -81,6 +90,7 @@ def _pairwise(function):
 semi_global_distance = _pairwise(semi_global_both)
 semi_global_one_strand = _pairwise(lambda a, b: semi_global(*sorted((a, b), key=len)))
 ungapped_local_score = _pairwise(ungapped_score)
+ungapped_matches = _pairwise(matches_without_gaps)
 
 
 def register(spark) -> None:

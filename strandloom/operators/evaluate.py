@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from strandloom.functions import packed
+from strandloom.functions.alignment import ungapped_local_score, ungapped_matches
 from strandloom.functions.sequence import canonical, contained_either_strand, explode_kmers, reverse_complement
 
 
@@ -33,38 +34,90 @@ def shared_kmer_pairs(left: DataFrame, right: DataFrame, k: int = 31, least: int
     return met.where(F.col("shared") >= least)
 
 
-def matches(truth: DataFrame, found: DataFrame, k: int = 31) -> DataFrame:
+def holders(needles: DataFrame, hay: DataFrame, k: int = 31) -> DataFrame:
+    """(id, holder): rows (id, seq) of ``needles`` that a row (id, seq) of ``hay`` holds, on either strand.
+
+    Only pairs where the holder has the needle's first k-mer are compared; a
+    shorter needle shortens k. Ids are longs.
+    """
+    shortest = needles.where("seq <> ''").agg(F.min(F.char_length("seq"))).first()[0]
+    if shortest is None:
+        return needles.select("id", F.col("id").alias("holder")).where("false")
+    k = min(k, shortest, packed.LONGEST)
+    first = packed.sets(needles.select("id", F.left("seq", F.lit(k)).alias("seq")), k, "id")
+    met = first.join(packed.sets(hay, k, "id").withColumnRenamed("id", "holder"), "kmer").select("id", "holder").distinct()
+    both = met.join(needles.select("id", "seq"), "id").join(hay.select(F.col("id").alias("holder"), F.col("seq").alias("hay")), "holder")
+    return both.where(F.col("hay").contains(F.col("seq")) | F.col("hay").contains(reverse_complement(F.col("seq")))).select("id", "holder").distinct()
+
+
+def matches(truth: DataFrame, found: DataFrame, k: int = 31, least: int = 10) -> DataFrame:
     """(truth_id, found_id): bubbles (id, a, b) whose paths contain one another.
 
-    Only pairs that share k-mers are compared.
+    A bubble of the truth without any such partner gets the one with the best
+    ungapped score, the smallest id among equals. Only pairs that share k-mers are
+    compared, ``least`` of them for a score.
     """
     a = truth.select(F.col("id").alias("id"), F.concat_ws("N", "a", "b").alias("seq"))
     b = found.select(F.col("id").alias("id"), F.concat_ws("N", "a", "b").alias("seq"))
-    pairs = shared_kmer_pairs(a, b, k, 1)
     t = truth.select(F.col("id").alias("x"), F.col("a").alias("ta"), F.col("b").alias("tb"))
     f = found.select(F.col("id").alias("y"), F.col("a").alias("fa"), F.col("b").alias("fb"))
-    both = pairs.join(t, "x").join(f, "y")
+    both = shared_kmer_pairs(a, b, k, 1).join(t, "x").join(f, "y")
     same = lambda p, q: contained_either_strand(F.col(p), F.col(q))
     fits = (same("ta", "fa") & same("tb", "fb")) | (same("ta", "fb") & same("tb", "fa"))
-    return both.where(fits).select(F.col("x").alias("truth_id"), F.col("y").alias("found_id"))
+    exact = both.where(fits).select(F.col("x").alias("truth_id"), F.col("y").alias("found_id"))
+    rest = both.where(F.col("shared") >= least).join(exact, F.col("x") == F.col("truth_id"), "left_anti")
+    rc = lambda c: reverse_complement(F.col(c))
+    sums = [ungapped_local_score(p, F.col("fa")) + ungapped_local_score(q, F.col("fb")) for p, q in ((F.col("ta"), F.col("tb")), (F.col("tb"), F.col("ta")), (rc("ta"), rc("tb")), (rc("tb"), rc("ta")))]
+    scored = rest.select("x", "y", F.greatest(*sums).alias("score")).where("score > 0")
+    best = scored.groupBy("x").agg(F.max_by("y", F.struct("score", -F.col("y"))).alias("found_id")).select(F.col("x").alias("truth_id"), "found_id")
+    return exact.unionByName(best)
+
 
+def expressed_transcripts(reads: DataFrame, mark: str = "_") -> DataFrame:
+    """(transcript_id): distinct beginnings of read headers, up to the first mark."""
+    return reads.select(F.substring_index("header", mark, 1).alias("transcript_id")).distinct()
 
-def truth_filter(bubbles: DataFrame, shallow: DataFrame, reads: DataFrame) -> DataFrame:
-    """Bubbles (id, a, b) with one path in the shallow set and in the reads, the
-    other in the reads only. Containers: (seq)."""
 
-    def held(side: str, where: DataFrame, name: str) -> DataFrame:
-        hit = bubbles.join(where.select(F.col("seq").alias("hay")), F.col("hay").contains(F.col(side)), "left_semi")
-        return hit.select("id", F.lit(True).alias(name))
+def truth_filter(bubbles: DataFrame, shallow: DataFrame, expressed: DataFrame, k: int = 31) -> DataFrame:
+    """Bubbles (id, a, b, a_transcript, b_transcript) with one path in the shallow set and
+    the other not, both of expressed transcripts.
 
+    ``shallow``: (id, seq); ``expressed``: (transcript_id).
+    """
     out = bubbles
     for side in ("a", "b"):
-        for name, where in (("shallow", shallow), ("reads", reads)):
-            out = out.join(held(side, where, f"{side}_{name}").distinct(), "id", "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    one = yes("a_shallow") & yes("a_reads") & yes("b_reads") & ~yes("b_shallow")
-    other = yes("b_shallow") & yes("b_reads") & yes("a_reads") & ~yes("a_shallow")
-    return out.where(one | other).select(*bubbles.columns)
+        held = holders(bubbles.select("id", F.col(side).alias("seq")), shallow, k).select("id").distinct()
+        out = out.join(held.withColumn(f"x_{side}", F.lit(True)), "id", "left")
+        out = out.join(expressed.select(F.col("transcript_id").alias(f"{side}_transcript")).distinct(), f"{side}_transcript", "left_semi")
+    known = [F.coalesce(F.col(f"x_{side}"), F.lit(False)) for side in ("a", "b")]
+    return out.where(known[0] != known[1]).select(*bubbles.columns)
+
+
+def same_gene(novel: DataFrame, transcripts: DataFrame, least: float = 0.95) -> DataFrame:
+    """(id): novel paths (id, gene, seq) that a transcript (gene, seq) of their gene holds,
+    or matches without gaps in at least that share of bases, on either strand."""
+    met = novel.join(transcripts.select("gene", F.col("seq").alias("hay")), "gene")
+    turned = reverse_complement(F.col("seq"))
+    held = F.col("hay").contains(F.col("seq")) | F.col("hay").contains(turned)
+    alike = F.greatest(ungapped_matches(F.col("seq"), F.col("hay")), ungapped_matches(turned, F.col("hay")))
+    return met.where(held | (alike >= least * F.char_length("seq"))).select("id").distinct()
+
+
+def classified(found: DataFrame, matched: DataFrame, transcripts: DataFrame, shallow: DataFrame, k: int = 31) -> DataFrame:
+    """Found bubbles (id, gene, novel) with their class.
+
+    ``matched``: (found_id); ``transcripts``: (id, gene, seq) of all genes;
+    ``shallow``: (id), those of them that the search knew.
+    """
+    novel = found.select("id", "gene", F.col("novel").alias("seq"))
+    others = transcripts.join(shallow.select("id"), "id", "left_anti")
+    flags = found
+    for name, ids in (
+        ("matched", matched.select(F.col("found_id").alias("id"))), ("same_gene", same_gene(novel, others)),
+        ("chimeric", holders(novel.select("id", "seq"), transcripts.select("id", "seq"), k).select("id")),
+    ):
+        flags = flags.join(ids.distinct().withColumn(name, F.lit(True)), "id", "left").fillna(False, [name])
+    return triage(flags)
 
 
 def triage(found: DataFrame) -> DataFrame:

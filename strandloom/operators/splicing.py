@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# The marks of the annotation format, and the form of a splice site.
+STARTS = ("-", "(", "[")
+ENDS = ("^", ")", "]")
+SITE = r"(\d+)([\^\-\(\)\[\]]?)"
+
+
 def splice_chain(text: Column) -> Column:
     """Array of (coord, kind) for tokens such as ``120^300-``.
 
     ``-``, ``(`` and ``[`` begin an exon; ``^``, ``)`` and ``]`` end one. A
     coordinate without a mark is dropped.
     """
-    pattern = F.lit(r"(\d+)([\^\-\(\)\[\]]?)")
+    pattern = F.lit(SITE)
     coords, marks = F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))
     sites = F.transform(
         coords,
         lambda c, i: F.struct(
             c.cast("int").alias("coord"),
-            F.when(F.get(marks, i).isin("-", "(", "["), "start").when(F.get(marks, i).isin("^", ")", "]"), "end").alias("kind"),
+            F.when(F.get(marks, i).isin(*STARTS), "start").when(F.get(marks, i).isin(*ENDS), "end").alias("kind"),
         ),
     )
     return F.filter(sites, lambda s: s["kind"].isNotNull())
@@ -64,6 +70,81 @@ def event_pairs(events: DataFrame) -> DataFrame:
     return one.withColumn("transcript_2", F.explode(F.split("transcripts_2", ","))).drop("transcripts_1", "transcripts_2")
 
 
+def _variant(sites: Column, exons: Column) -> Column:
+    """Struct (reason, flank exons and inner exons) of one variant.
+
+    ``sites``: left flank, chain and right flank, as (coord, kind). The first and
+    the last site name the flanking exons: the one that ends there, or the one
+    before (after) the one that begins (ends) there. Between them, sites stand in
+    pairs of a start and an end of one exon.
+    """
+    place = lambda s: F.array_position(F.transform(exons, lambda e: F.when(s["kind"] == "start", e["start"]).otherwise(e["end"]) == s["coord"]), True)
+    places = F.transform(sites, place)  # from 1, or 0 where no exon has the site
+    n = F.size(sites)
+    left = F.try_element_at(places, F.lit(1)).cast("int") - F.when(F.try_element_at(sites, F.lit(1))["kind"] == "start", 1).otherwise(0)
+    right = F.try_element_at(places, F.lit(-1)).cast("int") + F.when(F.try_element_at(sites, F.lit(-1))["kind"] == "end", 1).otherwise(0)
+    opens = F.when(F.try_element_at(sites, F.lit(1))["kind"] == "end", 2).otherwise(1)
+    closes = F.when(F.try_element_at(sites, F.lit(-1))["kind"] == "start", n - 1).otherwise(n)
+    inner = F.slice(places, opens, F.greatest(closes - opens + 1, F.lit(0)))
+    pairs = F.filter(inner, lambda _, i: i % 2 == 0)
+    partners = F.filter(inner, lambda _, i: i % 2 == 1)
+    reason = (
+        F.when(exons.isNull() | F.exists(places, lambda p: p == 0), "no_site")
+        .when((left < 1) | (right > F.size(exons)), "no_flank")
+        .when(pairs != partners, "no_exon")
+    )
+    body = F.transform(pairs, lambda p: F.get(exons, p.cast("int") - 1))
+    return F.struct(reason.alias("reason"), F.get(exons, left - 1).alias("left"), body.alias("inner"), F.get(exons, right - 1).alias("right"))
+
+
+def event_bubbles(events: DataFrame, exons: DataFrame, genome: DataFrame, k: int) -> DataFrame:
+    """Events as pairs of sequences, or the reason why an event gives none.
+
+    ``events``: as from ``read_events``, with ids; ``exons``: (transcript_id,
+    gene_name, exons); ``genome``: (chr, seq). Every pair of transcripts of both
+    variants is tried; chains of the minus strand are read backwards. Returns
+    event_id, transcript_1, transcript_2, gene_1, gene_2, seq_1, seq_2, reason.
+    """
+    minus = F.col("strand") == "-"
+    flank = F.split("flanks", ",")
+    one = lambda c: splice_chain(F.coalesce(c, F.lit("")))
+    facing = lambda c: F.when(minus, reversed_chain(one(c))).otherwise(one(c))
+    a, b = F.get(flank, F.lit(0)), F.get(flank, F.lit(1))
+    left = F.when(minus, reversed_chain(one(b))).otherwise(one(a))
+    right = F.when(minus, reversed_chain(one(a))).otherwise(one(b))
+    rows = events.withColumns({"sites_1": F.concat(left, facing(F.col("chain_1")), right), "sites_2": F.concat(left, facing(F.col("chain_2")), right)})
+    rows = rows.withColumns({"transcripts_1": F.replace("transcripts_1", F.lit("/"), F.lit(",")), "transcripts_2": F.replace("transcripts_2", F.lit("/"), F.lit(","))})
+    pairs = event_pairs(rows)
+    for i in ("1", "2"):
+        own = exons.select(F.col("transcript_id").alias(f"transcript_{i}"), F.col("gene_name").alias(f"gene_{i}"), F.col("exons").alias(f"exons_{i}"))
+        pairs = pairs.join(own, f"transcript_{i}", "left").withColumn(f"v{i}", _variant(F.col(f"sites_{i}"), F.col(f"exons_{i}")))
+    length = lambda e: F.col(f"{e}.end") - F.col(f"{e}.start") + 1
+    short = (F.least(length("v1.left"), length("v1.right"), length("v2.left"), length("v2.right")) < k).alias("short")
+    trim = lambda v: (trimmed_flanks(F.col(f"{v}.left.start"), F.col(f"{v}.left.end"), k, True), trimmed_flanks(F.col(f"{v}.right.start"), F.col(f"{v}.right.end"), k, False))
+    (l1, r1), (l2, r2) = trim("v1"), trim("v2")
+    reason = F.coalesce(F.col("v1.reason"), F.col("v2.reason"), F.when(short, "short_flank"), F.when((l1 != l2) | (r1 != r2), "flank_mismatch"))
+    judged = pairs.withColumn("reason", reason).join(genome.select("chr", F.col("seq").alias("x_genome")), "chr", "left")
+
+    def sequence(v: str, left: Column, right: Column) -> Column:
+        whole = F.concat(F.array(left), F.col(f"{v}.inner"), F.array(right))
+        return F.when(F.col("reason").isNull(), spliced(whole, F.col("x_genome")))
+
+    return judged.select("event_id", "transcript_1", "transcript_2", "gene_1", "gene_2", sequence("v1", l1, r1).alias("seq_1"), sequence("v2", l2, r2).alias("seq_2"), "reason")
+
+
+def rejection_counts(bubbles: DataFrame) -> DataFrame:
+    """(reason, events): why events gave no bubble, and how many gave one."""
+    return bubbles.groupBy(F.coalesce("reason", F.lit("successful")).alias("reason")).agg(F.count("*").alias("events"))
+
+
+def write_events(bubbles: DataFrame, path: str) -> None:
+    """Events that gave sequences, as two FASTA records each, in the order of the events."""
+    order = ["event_id", "transcript_1", "transcript_2"]
+    kept = bubbles.where("reason IS NULL").withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1)  # one row an event
+    record = lambda n: F.concat(F.format_string(f">Bubble_%d_Gene_%s_TranscriptId_%s_Splicing_{n}\n", "i", f"gene_{n}", f"transcript_{n}"), f"seq_{n}")
+    kept.orderBy("i").select(F.concat_ws("\n", record(1), record(2))).coalesce(1).write.mode("overwrite").text(path)
+
+
 def rejection(flank_match: Column, left_length: Column, right_length: Column, exon_length: Column, k: int) -> Column:
     """Why an event can't be turned into a bubble, or null if it can."""
     return (

@@ -5,24 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it back.
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, or below the context's checkpoint folder.
 
-    The files survive a lost executor. A local session without the setting gets
-    a temporary folder; on a cluster the setting is required.
+    A local session without either gets a temporary folder; on a cluster one of
+    them is required.
     """
-    spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        java = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = java.get() if java.isDefined() else None
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is unset on a cluster")
         base = "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/strandloom-tables/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/strandloom-tables/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    The files survive a lost executor.
+    """
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def saved(df: DataFrame, path: str, resume: bool = False) -> DataFrame:

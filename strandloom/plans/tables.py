@@ -53,13 +53,12 @@ def _exon(name: str, first: str, last: str):
     return F.concat(F.lit(first), bases, F.lit(last))
 
 
-def planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Transcripts (read_index, header, seq) and short reads (read_index, seq) with a known event for each benchmark item.
+#: Bases of an exon of the planted events.
+EXON = 98
 
-    By item_id modulo 4: 0 an exon that reads skip, 1 an exon that reads gain, 2
-    one base that differs in reads (no event), 3 a skipped exon that only a single
-    read shows (no event). Reads of odd items come from the other strand.
-    """
+
+def isoforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, kind, known, novel): the isoforms behind :func:`planted`."""
     a, b, c = _exon("a", "A", "G"), _exon("b", "A", "T"), _exon("c", "C", "A")
     rows = table(spark, sf_dir, "benchmark").where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), a.alias("a"), b.alias("b"), c.alias("c"))
     kind = F.pmod("item_id", F.lit(4))
@@ -67,7 +66,17 @@ def planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     changed = F.concat("a", F.substring("b", 1, 50), F.translate(F.substring("b", 51, 1), "ACGT", "CGTA"), F.substring("b", 52, 1000), "c")
     known = F.when(kind == 1, short).otherwise(full)
     novel = F.when(kind == 1, full).when(kind == 2, changed).otherwise(short)
-    rows = rows.select("item_id", kind.alias("kind"), known.alias("known"), novel.alias("novel"))
+    return rows.select("item_id", kind.alias("kind"), known.alias("known"), novel.alias("novel"))
+
+
+def planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Transcripts (read_index, header, seq) and short reads (read_index, seq) with a known event for each benchmark item.
+
+    By item_id modulo 4: 0 an exon that reads skip, 1 an exon that reads gain, 2
+    one base that differs in reads (no event), 3 a skipped exon that only a single
+    read shows (no event). Reads of odd items come from the other strand.
+    """
+    rows = isoforms(spark, sf_dir)
     transcripts = rows.select(F.col("item_id").alias("read_index"), F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("header"), F.col("known").alias("seq"))
     copies = F.array_repeat("known", 3), F.array_repeat("novel", F.when(F.col("kind") == 3, 1).otherwise(3))
     reads = rows.select("item_id", F.posexplode(F.concat(*copies)).alias("n", "seq"))

@@ -44,6 +44,21 @@ def read_events(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
+def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
+    """(gene_id): the first column of a list with a header line."""
+    return spark.read.schema("gene_id string").options(sep="\t", header=True).csv(path)
+
+
+def gene_transcripts(transcripts: DataFrame) -> DataFrame:
+    """(gene_id, transcripts): sorted transcripts of each gene."""
+    return transcripts.groupBy("gene_id").agg(F.array_sort(F.collect_set("transcript_id")).alias("transcripts"))
+
+
+def on_chromosomes(rows: DataFrame, *names: str) -> DataFrame:
+    """Rows of the named chromosomes."""
+    return rows.where(F.col("chr").isin(*names))
+
+
 def genes_in_list(rows: DataFrame, genes: DataFrame) -> DataFrame:
     """GTF rows whose gene_id is in a list (gene_id)."""
     return rows.withColumn("x_gene", attribute("gene_id")).join(genes.select(F.col("gene_id").alias("x_gene")), "x_gene", "left_semi").drop("x_gene")

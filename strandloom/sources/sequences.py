@@ -59,23 +59,28 @@ def read_cdna(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_genome(spark: SparkSession, folder: str) -> DataFrame:
     """(chr, seq) of a folder of ``<chr>.fa`` files."""
-    name = F.regexp_extract("file", r"([^/]+)\.fa(\.gz)?$", 1)
+    name = F.regexp_extract("file", r"([^/]+)\.fa(\.gz)?(/[^/]*)?$", 1)  # a file, or a folder of parts
     return read_fasta(spark, f"{folder}/*.fa*").select(name.alias("chr"), "seq")
 
 
-def read_bubble_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, a_header, a, b_header, b): consecutive records form a bubble.
+def read_bubble_fasta(spark: SparkSession, *paths: str) -> DataFrame:
+    """(id, a_header, a, b_header, b): records 2i and 2i + 1 of a file form bubble i.
 
-    Needs headers of the form ``...bubble_<id>...``; the order of both records
-    is that of their headers' places in the file.
+    Records keep their order within a file; the places of its parts are added up
+    from their sizes, so a file is still read by many tasks. Ids run on over files.
     """
-    order = Window.partitionBy("file", "id").orderBy("place")
-    rows = read_fasta(spark, path).withColumns({"id": F.regexp_extract("header", r"(?i)bubble_(\d+)", 1).cast("long"), "place": F.monotonically_increasing_id()})
-    rows = rows.withColumn("side", F.row_number().over(order))
-    return rows.groupBy("id").agg(
-        F.max(F.when(F.col("side") == 1, F.col("header"))).alias("a_header"), F.max(F.when(F.col("side") == 1, F.col("seq"))).alias("a"),
-        F.max(F.when(F.col("side") == 2, F.col("header"))).alias("b_header"), F.max(F.when(F.col("side") == 2, F.col("seq"))).alias("b"),
-    )
+    rows = read_fasta(spark, *paths).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    sizes = rows.groupBy("part", "file").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    order = Window.partitionBy("file").orderBy("first")
+    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    files = sizes.groupBy("file").agg(F.ceil(F.sum("n") / 2).alias("pairs"))
+    shift = F.coalesce(F.sum("pairs").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.join(files.select("file", shift.alias("shift")), "file").select("part", "file", "first", "before", "shift")
+    within = F.row_number().over(Window.partitionBy("file", "part").orderBy("at")) - 1
+    placed = rows.withColumn("within", within).join(starts, ["part", "file"]).withColumn("place", F.col("before") + F.col("within"))
+    placed = placed.withColumns({"id": F.col("shift") + F.floor(F.col("place") / 2), "side": F.col("place") % 2})
+    pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    return placed.groupBy("id").agg(pick(0, "header").alias("a_header"), pick(0, "seq").alias("a"), pick(1, "header").alias("b_header"), pick(1, "seq").alias("b"))
 
 
 def write_fasta(df: DataFrame, path: str, header: Column, seq: str = "seq") -> None:
@@ -91,6 +96,16 @@ def write_unitigs(unitigs: DataFrame, path: str) -> None:
     unitigs.agg(F.count("*").alias("unitigs")).write.mode("overwrite").parquet(f"{path}/count")
 
 
+def read_unitig_count(spark: SparkSession, path: str) -> int:
+    """The number that :func:`write_unitigs` left."""
+    return spark.read.parquet(f"{path}/count").first()["unitigs"]
+
+
+def records_with(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Records whose transcript_id is in a list (transcript_id)."""
+    return rows.join(ids.select("transcript_id").distinct(), "transcript_id", "left_semi")
+
+
 def fasta_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sequences of one side only, counted, ignoring order and headers."""
     one = a.select(F.upper("seq").alias("seq")).exceptAll(b.select(F.upper("seq").alias("seq"))).withColumn("side", F.lit("a"))

@@ -9,8 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from strandloom.plans.oracle import ORACLE
-from strandloom.plans.queries import QUERIES
+from strandloom.plans.registry import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are missing")
@@ -19,12 +18,14 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "lineitem", "events"):
+    for t in ("documents", "benchmark", "lineitem", "events", "nation", "region"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{FOLDER}/{t}.parquet')")
     found = con.execute(ORACLE[name])
     names = [x[0] for x in found.description]
     df = QUERIES[name](spark, FOLDER)
     assert sorted(df.columns) == sorted(names)
+    types = {"BIGINT": "bigint", "INTEGER": "bigint", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp"}
+    assert {x[0]: types.get(str(x[1])) for x in found.description} == {c: "bigint" if t == "int" else t for c, t in df.dtypes}
     got = collections.Counter(str(tuple(r[n] for n in names)) for r in df.collect())
     assert got == collections.Counter(map(str, found.fetchall()))
 

@@ -44,7 +44,7 @@ def test_lists(spark, tmp_path):
 def test_bubbles_and_difference(spark, tmp_path):
     (tmp_path / "b.fa").write_text(">Bubble_7_x\nAC\n>Bubble_7_y\nACG\n>Bubble_9_x\nT\n>Bubble_9_y\nTT\n")
     got = {r.id: (r.a, r.b) for r in Q.read_bubble_fasta(spark, f"{tmp_path}/b.fa").collect()}
-    assert got == {7: ("AC", "ACG"), 9: ("T", "TT")}
+    assert got == {0: ("AC", "ACG"), 1: ("T", "TT")}
     a = spark.createDataFrame([("ac",), ("GG",)], "seq string")
     b = spark.createDataFrame([("AC",), ("TT",)], "seq string")
     assert {(r.side, r.seq) for r in Q.fasta_difference(a, b).collect()} == {("a", "GG"), ("b", "TT")}
@@ -78,7 +78,13 @@ def test_graph_tables(spark, tmp_path):
     rows = spark.createDataFrame([(1, 2, "FF")], A.EDGES)
     A.write_tsv(rows, f"{tmp_path}/edges")
     assert A.read_tsv(spark, f"{tmp_path}/edges", A.EDGES).collect() == rows.collect()
-    found = spark.createDataFrame([(1, "AS", True), (2, "SNP", False)], "id int, event_type string, representative boolean")
-    A.write_bubbles(found, f"{tmp_path}/bubbles")
-    back = spark.read.parquet(f"{tmp_path}/bubbles").groupBy("kind").count().collect()
-    assert {r["kind"]: r["count"] for r in back} == {"plain": 2, "detailed": 2, "clustered": 1}
+    transcripts = spark.createDataFrame([(7, "t7", "ACGTACGT")], "read_index long, header string, seq string")
+    columns = "read_index long, bubble_id int, label string, event_type string, representative boolean, orig_path string, path string, orig_seq string, alt_seq string, n_branches int, edit_distance int"
+    found = spark.createDataFrame([(7, 1, "AS", "AS", True, "1_F 2_F", "1_F 3_R", "ACG", "ACGG", 2, 1), (7, 2, "IR", "SNP", False, "1_F", "3_R", "AC", "AG", 0, 1)], columns)
+    A.write_bubbles(found, transcripts, f"{tmp_path}/bubbles")
+    read = lambda kind, event: [r.value for r in spark.read.text(f"{tmp_path}/bubbles/kind={kind}/event_type={event}").collect()]
+    assert read("blat", "AS") == [">t7", "ACGTACGT", ">Bubble_id=0;Length=4;Novel_AS_sequence", "ACGG"]
+    assert read("blat.clustered", "SNP") == [">t7", "ACGTACGT"]
+    detailed = read("bubbles.detailed", "SNP")
+    assert detailed[0] == ">Bubble_id=1;Transcript=t7;Length=2;Branches=N/A;Original_LR_sequence;Edit_distance=1;Read_index=7;Path=1_F"
+    assert detailed[2] == ">Bubble_id=1;Transcript=Novel;Length=2;Branches=0;Novel_intron_sequence;Edit_distance=1;Read_index=7;Path=3_R"

@@ -62,9 +62,35 @@ def test_scoring(spark):
     assert [r["class"] for r in classed.orderBy("id").collect()] == ["matched", "same_gene", "chimeric", "unexplained"]
     score = evaluate.precision_recall(truth, classed, hit).first()
     assert (score.recall, score.precision) == (0.5, 0.5)
-    shallow = spark.createDataFrame([("CC" + x,)], "seq string")
-    reads = spark.createDataFrame([(x,), (y,)], "seq string")
-    assert [r.id for r in evaluate.truth_filter(truth, shallow, reads).collect()] == [1]
+    shallow = spark.createDataFrame([(1, "CC" + x)], "id long, seq string")
+    named = truth.withColumns({"a_transcript": F.lit("t1"), "b_transcript": F.when(F.col("id") == 1, "t2").otherwise("t3")})
+    heard = evaluate.expressed_transcripts(spark.createDataFrame([("t1_0",), ("t1_1",), ("t2_5",)], "header string"))
+    assert [r.id for r in evaluate.truth_filter(named, shallow, heard).collect()] == [1]
+    assert evaluate.truth_filter(named, shallow, heard.where("transcript_id = 't1'")).count() == 0
+
+
+def test_best_score_where_nothing_is_contained(spark):
+    import random
+
+    rng = random.Random(4)
+    base = "".join(rng.choice("ACGT") for _ in range(80))
+    near, nearer = base[:40] + "AAAA" + base[44:], base[:40] + ("A" if base[40] != "A" else "C") + base[41:]
+    truth = spark.createDataFrame([(1, base, base[::-1])], "id long, a string, b string")
+    found = spark.createDataFrame([(5, near, base[::-1] + "X"), (6, nearer, base[::-1]), (7, nearer, base[::-1])], "id long, a string, b string")
+    assert [tuple(r) for r in evaluate.matches(truth, found, 15).collect()] == [(1, 6)]
+
+
+def test_classes_of_found_bubbles(spark):
+    import random
+
+    rng = random.Random(5)
+    g1, g1b, g2 = ("".join(rng.choice("ACGT") for _ in range(90)) for _ in range(3))
+    changed = g1b[:50] + ("A" if g1b[50] != "A" else "C") + g1b[51:]
+    every = spark.createDataFrame([(1, "g1", g1), (2, "g1", g1b), (3, "g2", g2)], "id long, gene string, seq string")
+    found = spark.createDataFrame([(10, "g1", g1[:40]), (11, "g1", changed), (12, "g1", g2[5:60]), (13, "g1", "ACGT" * 12)], "id long, gene string, novel string")
+    matched = spark.createDataFrame([(1, 10)], "truth_id long, found_id long")
+    classed = evaluate.classified(found, matched, every, every.where("id <> 2").select("id"))
+    assert [r["class"] for r in classed.orderBy("id").collect()] == ["matched", "same_gene", "chimeric", "unexplained"]
 
 
 def test_streaming_lookup(spark, tmp_path):
