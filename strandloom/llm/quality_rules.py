@@ -40,11 +40,15 @@ RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 2.0, 20.0),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.3),
     Rule("stop_words_per_word", "n_stop_words", "n_words", 0.02, None),
+    Rule("digits_per_character", "n_digits", "word_chars", None, 0.3),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.5),
-    Rule("repeated_words", "n_repeat_words", "n_words", None, 0.5),
+    Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 0.9),
+    Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 0.3),
 )
 
 SYMBOLS = "#*$%&|<>"
+BULLETS = "-*•"
+ELLIPSES = ("...", "…")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -97,10 +101,27 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     body = no_null(text)
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     words = space_words(body)
+
+    def bullet(line: Column) -> Column:
+        return F.substring(F.ltrim(line, F.lit(SPACES)), 1, 1).isin(list(BULLETS))
+
+    def ellipsis(line: Column) -> Column:
+        end = F.rtrim(line, F.lit(SPACES))
+        return F.endswith(end, F.lit(ELLIPSES[0])) | F.endswith(end, F.lit(ELLIPSES[1]))
+
     parts = F.struct(
         F.char_length(F.translate(body, SPACES, "")).cast("long").alias("word_chars"),
         (F.char_length(body) - F.char_length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("d"))).alias("l"),
+        (F.char_length(body) - F.char_length(F.translate(body, "0123456789", ""))).cast("long").alias("n_digits"),
+        let(
+            lines,
+            lambda x: F.struct(
+                F.size(x).cast("long").alias("n"),
+                F.size(F.array_distinct(x)).cast("long").alias("d"),
+                F.size(F.filter(x, bullet)).cast("long").alias("b"),
+                F.size(F.filter(x, ellipsis)).cast("long").alias("e"),
+            ),
+        ).alias("l"),
         let(
             words,
             lambda w: F.struct(
@@ -146,6 +167,9 @@ def judge(docs: DataFrame, rules=RULES, text: str = "text", id_column: str = "do
         "n_repeat_words": F.col("m.w.r"),
         "n_lines": F.col("m.l.n"),
         "n_stop_words": F.col("m.w.s"),
+        "n_digits": F.col("m.n_digits"),
+        "n_bullet_lines": F.col("m.l.b"),
+        "n_ellipsis_lines": F.col("m.l.e"),
     }
     measured = measures(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))).select(
         "doc_id", *(c.alias(k) for k, c in named.items())
@@ -182,13 +206,17 @@ m AS (
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          coalesce(c.n_repeat_words, 0) AS n_repeat_words,
          CAST(len(ls) AS BIGINT) AS n_lines,
-         CAST(len(list_filter(ws, lambda x: lower(x) IN ({_STOP_SQL}))) AS BIGINT) AS n_stop_words
+         CAST(len(list_filter(ws, lambda x: lower(x) IN ({_STOP_SQL}))) AS BIGINT) AS n_stop_words,
+         CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits,
+         CAST(len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{{2022}}]'))) AS BIGINT) AS n_bullet_lines,
+         CAST(len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[\x20\x09-\x0D]*$'))) AS BIGINT) AS n_ellipsis_lines
   FROM w LEFT JOIN c USING (rid))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
        AND (n_words = 0 OR (word_chars >= CAST(2.0 AS DOUBLE) * n_words AND word_chars <= CAST(20.0 AS DOUBLE) * n_words
             AND n_symbols <= CAST(0.3 AS DOUBLE) * n_words AND n_stop_words >= CAST(0.02 AS DOUBLE) * n_words
-            AND n_repeat_words <= CAST(0.5 AS DOUBLE) * n_words))
-       AND (n_lines = 0 OR n_dup_lines <= CAST(0.5 AS DOUBLE) * n_lines) AS kept
+            AND n_digits <= CAST(0.3 AS DOUBLE) * word_chars))
+       AND (n_lines = 0 OR (n_dup_lines <= CAST(0.5 AS DOUBLE) * n_lines AND n_bullet_lines <= CAST(0.9 AS DOUBLE) * n_lines
+            AND n_ellipsis_lines <= CAST(0.3 AS DOUBLE) * n_lines)) AS kept
 FROM m
 """
