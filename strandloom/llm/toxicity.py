@@ -216,24 +216,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     upto = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     rows = found.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("doc_id", "text", "toxic")
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(1)):
+    got, samples = rows.toArrow(), []
+    for batch in got.to_batches():
+        for i in range(batch.num_rows):
+            for _, _, data, offsets in blocks(batch.column(1)[i : i + 1]):
                 bucket, word, first = features(data, offsets)
-                bucket = bucket[np.argsort(word, kind="stable")]
                 begin = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=first[-1]))])
-                out = [(bucket[begin[a] : begin[b]].tobytes(), (begin[a:b] - begin[a]).astype(np.uint32).tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())],
-                    ["doc_id", "toxic", "bucket", "firsts"],
-                )
-
-    got = rows.mapInArrow(featured, "doc_id long, toxic int, bucket binary, firsts binary").toArrow()
+                samples.append((bucket[np.argsort(word, kind="stable")], begin[:-1].astype(np.uint32)))
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    samples = [
-        (np.frombuffer(b.as_buffer(), np.uint32), np.frombuffer(p.as_buffer(), np.uint32))
-        for b, p in zip(got.column("bucket"), got.column("firsts"), strict=True)
-    ]
     return train([samples[i] for i in order], got.column("toxic").to_numpy()[order])
 
 
