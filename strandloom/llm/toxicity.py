@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import no_null, table
-from strandloom.llm.textbytes import blocks, lowered, word_hashes
+from strandloom.llm.textbytes import BLOCK_BYTES, blocks, lowered, word_hashes
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
@@ -126,13 +126,40 @@ def score_block(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return 1.0 / (1.0 + np.exp(-np.maximum.reduceat(logit, first[:-1])))
 
 
+def sample_of(data: np.ndarray, limit: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of one text's features, ordered by word, and the place where each word begins.
+
+    A text of more than ``limit`` bytes goes in pieces cut between words, so the
+    work space doesn't grow with it (unless one word is longer than that).
+    """
+    buckets, firsts, total, lo = [], [], 0, 0
+    while lo < len(data):
+        hi = min(lo + limit, len(data))
+        if hi < len(data):
+            gaps = np.flatnonzero(~_WORD[data[lo:hi]])
+            if not len(gaps):
+                gaps = hi - lo + np.flatnonzero(~_WORD[data[hi:]])[:1]
+            hi = lo + int(gaps[-1]) + 1 if len(gaps) else len(data)
+        bucket, word, first_word = features(data[lo:hi], np.array([0, hi - lo]))
+        buckets.append(bucket[np.argsort(word, kind="stable")])
+        begin = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=first_word[-1]))])
+        firsts.append((total + begin[:-1]).astype(np.uint32))
+        total += len(bucket)
+        lo = hi
+    if not buckets:
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+    return np.concatenate(buckets), np.concatenate(firsts)
+
+
 def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: tuple[int, int] = WARM_AND_FINE, seed: int = 7) -> Model:
     """Fit vectors and softmax jointly, by AdaGrad on batches of 32 documents.
 
     ``samples``: for each document the buckets of its features, ordered by
     word, and the place where each word begins. In the first epochs a
     document is the average of all its features; in the later ones it is the
-    average of its most toxic passage, as in scoring. With only one class
+    average of its most toxic passage, as in scoring. Vectors are read by
+    distinct bucket and weighed with its count, so no step takes more memory
+    than all vectors do, however long a document is. With only one class
     present, or none, the model scores every text alike. A bucket that fewer
     than :data:`LEAST_SHARE` of the documents have keeps a zero vector.
     """
@@ -142,13 +169,17 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))))
     rng = np.random.default_rng(seed)
     common = np.zeros(BUCKETS, np.int32)
+    wholes = []
     for bucket, _ in samples:
-        common[np.unique(bucket)] += 1
+        whole, count = np.unique(bucket, return_counts=True)
+        common[whole] += 1
+        wholes.append((whole, count.astype(np.float32)))
     learns = common >= max(1, round(LEAST_SHARE * len(labels)))
     vectors = rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)) * learns[:, None]
     softmax = rng.normal(0, 1.0, (DIMENSIONS, 2)) * GAIN
     bias = np.zeros(2)
     seen, seen_softmax, seen_bias = np.full(BUCKETS, 1e-6), np.full(softmax.shape, 1e-2), np.full(2, 1e-2)
+    slope, used = np.zeros((BUCKETS, DIMENSIONS)), np.zeros(BUCKETS, bool)
     warm, fine = epochs
     for epoch in range(warm + fine):
         rate = 1 - epoch / (warm + fine)
@@ -160,17 +191,16 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
             effective = vectors @ (softmax[:, 1] - softmax[:, 0])
             chosen = []
             for i in batch:
+                if epoch < warm:
+                    chosen.append(wholes[i])
+                    continue
                 bucket, firsts = samples[i]
-                if epoch >= warm:
-                    bounds = np.append(firsts, len(bucket))
-                    sums, _ = passages(np.add.reduceat(effective[bucket], firsts), np.array([0, len(firsts)]))
-                    best = int(np.argmax(sums / (bounds[np.minimum(np.arange(len(sums)) + PASSAGE, len(firsts))] - bounds[: len(sums)])))
-                    bucket = bucket[bounds[best] : bounds[min(best + PASSAGE, len(firsts))]]
-                chosen.append(bucket)
-            sizes = np.array([len(c) for c in chosen])
-            flat = np.concatenate(chosen)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            mean = np.add.reduceat(vectors[flat], starts) / sizes[:, None]
+                bounds = np.append(firsts, len(bucket))
+                sums, _ = passages(np.add.reduceat(effective[bucket], firsts), np.array([0, len(firsts)]))
+                best = int(np.argmax(sums / (bounds[np.minimum(np.arange(len(sums)) + PASSAGE, len(firsts))] - bounds[: len(sums)])))
+                chosen.append(np.unique(bucket[bounds[best] : bounds[min(best + PASSAGE, len(firsts))]], return_counts=True))
+            sizes = np.array([count.sum(dtype=np.float64) for _, count in chosen])
+            mean = np.stack([count @ vectors[bucket] for bucket, count in chosen]) / sizes[:, None]
             logits = mean @ softmax + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -179,10 +209,12 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
             error[np.arange(len(y)), y] -= 1 / len(y)
             back = error @ softmax.T / sizes[:, None]
             grad_softmax, grad_bias = mean.T @ error, error.sum(0)
-            unique, place = np.unique(flat, return_inverse=True)
-            document = np.repeat(np.arange(len(y)), sizes)
-            grad = np.stack([np.bincount(place, back[document, d], minlength=len(unique)) for d in range(DIMENSIONS)], 1)
-            grad *= learns[unique][:, None]
+            for (bucket, count), step in zip(chosen, back):
+                slope[bucket] += count[:, None] * step
+                used[bucket] = True
+            unique = np.flatnonzero(used)
+            grad = slope[unique] * learns[unique][:, None]
+            slope[unique], used[unique] = 0.0, False
             seen[unique] += (grad**2).mean(1)
             vectors[unique] -= RATE * rate * grad / np.sqrt(seen[unique])[:, None]
             seen_softmax += grad_softmax**2
@@ -219,10 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     got, samples = rows.toArrow(), []
     for batch in got.to_batches():
         for i in range(batch.num_rows):
-            for _, _, data, offsets in blocks(batch.column(1)[i : i + 1]):
-                bucket, word, first = features(data, offsets)
-                begin = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=first[-1]))])
-                samples.append((bucket[np.argsort(word, kind="stable")], begin[:-1].astype(np.uint32)))
+            samples += [sample_of(data) for _, _, data, _ in blocks(batch.column(1)[i : i + 1])]
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     return train([samples[i] for i in order], got.column("toxic").to_numpy()[order])
 

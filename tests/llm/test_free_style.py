@@ -317,3 +317,14 @@ def test_score_of_one_class_is_flat(spark):
     docs = spark.createDataFrame([(0, "a b"), (2, "c d")], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 0), (2, 0)], "doc_id long, toxic int")
     assert {r.score < 0.7 for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()} == {True}
+
+
+@pytest.mark.parametrize("limit", [7, 64, 1000])
+@pytest.mark.parametrize("text", ["a bc  d é xyzzy " * 300, "x" * 3000 + " y z " + "q" * 900, " , ", "", "abc"])
+def test_a_sample_in_pieces_has_the_features_of_the_whole_text(text, limit):
+    data = np.frombuffer(text.encode(), np.uint8)
+    bucket, word, first = toxicity.features(data, np.array([0, len(data)]))
+    begins = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=first[-1]))])[:-1]
+    buckets, firsts = toxicity.sample_of(data, limit)
+    assert buckets.tolist() == bucket[np.argsort(word, kind="stable")].tolist()
+    assert firsts.tolist() == begins.tolist()
