@@ -11,8 +11,8 @@ long text.
 Vectors and softmax are trained jointly in numpy by stochastic gradient descent
 on a bounded sample of labelled rows (:data:`SAMPLE` of each class, the first
 in the order of a digest of the id, as long as their texts have
-:data:`SAMPLE_BYTES` bytes at most). Features of the sample are computed on the
-executors from whole texts. Scoring is one pass with Arrow batches.
+:data:`SAMPLE_BYTES` bytes at most). The driver makes the features of the sample
+from whole texts, one at a time. Scoring is one pass with Arrow batches.
 """
 
 from __future__ import annotations
