@@ -158,8 +158,9 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
     word, and the place where each word begins. In the first epochs a
     document is the average of all its features; in the later ones it is the
     average of its most toxic passage, as in scoring. Vectors are read by
-    distinct bucket and weighed with its count, so no step takes more memory
-    than all vectors do, however long a document is. With only one class
+    distinct bucket and weighed with its count, so a document never brings more
+    vectors than there are; the samples themselves, and one number for each
+    feature of a document in the later epochs, do grow with it. With only one class
     present, or none, the model scores every text alike. A bucket that fewer
     than :data:`LEAST_SHARE` of the documents have keeps a zero vector.
     """
