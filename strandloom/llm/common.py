@@ -83,3 +83,14 @@ def count_space_words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` words, without building a filtered array."""
     trimmed = F.btrim(text, F.lit(SPACES))
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE_CLASS + "+"))).cast("long")
+
+
+def sql_crc32(codes: str) -> str:
+    """DuckDB expression of the unsigned CRC-32 of a list of byte values."""
+    entries = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        entries.append(str(value))
+    step = f"lambda c, b: xor(c >> 8, CAST([{', '.join(entries)}] AS BIGINT[])[1 + (xor(c, b) & 255)])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST({codes} AS BIGINT[])), {step}), 4294967295)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontamination, line_dedup, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, token_shards, toxicity, url_filter
+from strandloom.llm import conversation_repair, decontamination, line_dedup, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, token_shards, toxicity, url_filter
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql():
         "op7_substring_dedup": substring_dedup.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
+        "op11_conversation_repair": conversation_repair.ORACLE_SQL,
     }

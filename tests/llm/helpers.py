@@ -39,7 +39,7 @@ def documents(extra=False):
 
 def clashing(table):
     """The table with columns more whose names the operators use for themselves."""
-    names = "k_id k_hash node key h x_h x_n x_gone spans size m words score hashes place part head digest host path src dst w verdict rule kind item item_id html url toxic quality site owner value n f1 f2"
+    names = "k_id k_hash node key h x_h x_n x_gone spans size m words score hashes place part head digest host path src dst w verdict rule kind item item_id html url toxic quality site owner value n f1 f2 g turn_no code seg part at said place"
     for name in names.split():
         if name not in table.column_names:
             table = table.append_column(name, pa.array(["clash"] * len(table)))
@@ -76,9 +76,25 @@ def labels():
     return pa.table({"doc_id": pa.array([*ids, None, 3], pa.int64()), "quality": pa.array([1] * 57, pa.int32()), "toxic": pa.array([*(int(i % 4 == 0) for i in ids), 1, None], pa.int32())})
 
 
+def conversations(seed=9):
+    """Short and long conversations with nulls in every column, odd roles, blank and repeated turns, ties and gaps."""
+    rng = random.Random(seed)
+    roles = ["user", "assistant", "system", "user", "assistant", "tool", "", None, "ux"]
+    texts = ["Yes.", "No!", "Why?", "cut off", "  \t", "", None, "é.", "end. \n", "a\nb", "..."]
+    rows = [(None, None, None, None), (None, 3, "user", "Hi."), (7, None, "assistant", "x"), (8, 1, None, None)]
+    for conv in range(60):
+        turn = rng.choice([0, 1, -2])
+        for _ in range(rng.choice([1, 2, 3, 5, 8, 13, 40])):
+            rows.append((conv, turn if rng.random() > 0.03 else None, rng.choice(roles[: rng.choice([2, 3, 9])]), rng.choice(texts)))
+            turn += rng.choice([0, 1, 1, 1, 1, 2])
+    rows += rows[10:14]
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+    return pa.table({name: [r[i] for r in rows] for i, name in enumerate(schema.names)}, schema)
+
+
 def write(folder, empty=False, extra=False):
     """Write the tables; returns the folder as a string."""
-    for name, t in {"documents": documents(extra), "benchmark": benchmark(), "pages": pages(), "labels": labels()}.items():
+    for name, t in {"documents": documents(extra), "benchmark": benchmark(), "pages": pages(), "labels": labels(), "conversations": conversations()}.items():
         t = clashing(t) if extra else t
         pq.write_table(t.slice(0, 0) if empty else t, folder / f"{name}.parquet")
     return str(folder)
@@ -87,7 +103,7 @@ def write(folder, empty=False, extra=False):
 def same_as_duckdb(df, sql, folder):
     """Assert that both give the same rows, in any order."""
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "pages", "labels"):
+    for name in ("documents", "benchmark", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
     found = con.execute(sql)
     names = [x[0] for x in found.description]
