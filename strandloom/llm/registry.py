@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import conversation_repair, decontamination, line_dedup, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, token_shards, toxicity, url_filter
+from strandloom.llm import conversation_repair, decontamination, line_dedup, mixing, near_dedup, quality_rules, secret_scan, spelling_variants, substring_dedup, token_shards, toxicity, url_filter
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op12_spelling_variants": spelling_variants.op12_spelling_variants,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql():
         "op8_line_dedup": line_dedup.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
         "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+        "op12_spelling_variants": spelling_variants.ORACLE_SQL,
     }
