@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import conversation_repair, decontamination, line_dedup, mixing, near_dedup, quality_rules, secret_scan, spelling_variants, substring_dedup, token_shards, toxicity, url_filter
+from strandloom.llm import conversation_repair, decontamination, license_scan, line_dedup, mixing, near_dedup, quality_rules, secret_scan, spelling_variants, substring_dedup, token_shards, toxicity, url_filter
 
 
 def queries():
@@ -20,6 +20,7 @@ def queries():
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+        "op13_license_scan": license_scan.op13_license_scan,
     }
 
 
@@ -35,4 +36,5 @@ def oracle_sql():
         "op9_url_filter": url_filter.ORACLE_SQL,
         "op11_conversation_repair": conversation_repair.ORACLE_SQL,
         "op12_spelling_variants": spelling_variants.ORACLE_SQL,
+        "op13_license_scan": license_scan.ORACLE_SQL,
     }

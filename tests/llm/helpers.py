@@ -24,7 +24,9 @@ def documents(extra=False):
     texts += [f"{base[2]} {PASSAGE} {base[3]}", PASSAGE.upper(), "bench3 word3 bench4", "tiny item", "x tiny ITEM y"]
     texts += ['token = "abcdefgh" ' + base[4], "AKIA" + "Z" * 20 + " passwd: short password: longenough1", "0123456789abcdef01234567 " * 3]
     texts += ["token: token: abcdefgh", "secret=" + "Ab1-" * 9, "Ab1_" * 8 + " é Xy9/" * 2, "boiler line\nother\nboiler line", "boiler line\n\n"] * 2
-    texts += ["kitchens kitchen kitchens kitchen kitchen kitchxn mitchen kitchens " * 9, "différent different différent ×÷ÿÀéèêÂÎ Kitchen KITCHEN kitchen " * 7]
+    texts += ["MIT License, Apache-License. GNU General\nPublic License; CC BY-NC 4.0 (CC-BY)", "the mit license mit license", "summit license é mit\u00e9 license", "// SPDX-License-Identifier: MIT */ x"]
+    texts += ["# spdx license_identifier = (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause\nSPDX-License-Identifier: LGPL-2.1+ WITH", "License-Expression: Apache-2.0 or (\n"]
+    texts += ["SPDX-License-Identifier: (MIT WITH x) WITH y\nlicense expression:((AGPL-3.0)) and x", "SPDX-License-Identifier:", "xspdx-license-identifier: MIT", "kitchens kitchen kitchens kitchen kitchen kitchxn mitchen kitchens " * 9, "différent different différent ×÷ÿÀéèêÂÎ Kitchen KITCHEN kitchen " * 7]
     texts += ["<|startoftext|> Mixed <|ENDOFTEXT|> it's I'LL 1234 ñÑ é K", " nb sp\u0085x"]
     rows = {
         "doc_id": list(range(len(texts))),
