@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import no_null, table
+from strandloom.llm.common import materialise, no_null, table
 from strandloom.llm.textbytes import BLOCK_BYTES, blocks, lowered, word_hashes
 
 BUCKETS = 1 << 18
@@ -42,6 +42,9 @@ GAIN = 8.0
 #: largest number of bytes of their texts (the driver holds some 12 times as much).
 SAMPLE = 1200
 SAMPLE_BYTES = 6 << 20
+#: Texts of more than this share of the bytes come last in the sample, so a class gets
+#: that many other texts at least, if it has them.
+LONG_SHARE = 32
 THRESHOLD = 0.7
 
 _WORD = np.zeros(256, bool)
@@ -231,7 +234,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     Only ids whose crc32 leaves 0 or 2 modulo 3 are used; null ids and labels
     are skipped, and an id that either table repeats counts once: toxic if any of
     its labels says so, with the first of its texts in the order of a digest.
-    A single text beyond ``sample_bytes`` isn't fitted on.
+
+    Rows count in the order of a digest of their id, but texts of more than one
+    :data:`LONG_SHARE`-th of ``sample_bytes`` come after all others, so a long text
+    never takes the place of those behind it. A text beyond ``sample_bytes`` isn't
+    fitted on; a class that has no other text is missing from the model, which then
+    scores every text alike. Lengths are summed up first; texts are
+    fetched for the chosen rows only.
     """
     usable = (
         labels.select("doc_id", "toxic")
@@ -242,12 +251,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     )
     order = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
     chosen = [usable.where(F.col("toxic") == c).orderBy(*order).limit(sample) for c in (0, 1)]
-    picked = F.broadcast(chosen[0].unionAll(chosen[1]))  # 2 * sample rows of two numbers at most
-    found = docs.select("doc_id", no_null("text").alias("text")).join(picked, "doc_id")
-    found = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    # One task sums up 2 * sample rows at most.
-    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = found.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("doc_id", "text", "toxic")
+    picked = F.broadcast(materialise(chosen[0].unionAll(chosen[1]), "picked"))  # 2 * sample rows of two numbers at most
+    texts = docs.select("doc_id", no_null("text").alias("text")).withColumn("digest", F.xxhash64("text"))
+    sizes = texts.withColumn("size", F.octet_length("text")).join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("digest", "size")).alias("x")).select("doc_id", "toxic", "x.*")
+    # One task sums up 2 * sample numbers at most.
+    turn = Window.partitionBy("toxic").orderBy(F.col("size") > sample_bytes // LONG_SHARE, *order).rowsBetween(Window.unboundedPreceding, 0)
+    fitting = sizes.where(F.col("size") <= sample_bytes).withColumn("upto", F.sum("size").over(turn)).where(F.col("upto") <= sample_bytes)
+    fitting = F.broadcast(materialise(fitting.select("doc_id", "digest", "toxic"), "sample"))
+    rows = texts.join(fitting, ["doc_id", "digest"]).groupBy("doc_id", "toxic").agg(F.first("text").alias("text")).select("doc_id", "text", "toxic")
 
     got, samples = rows.toArrow(), []
     for batch in got.to_batches():

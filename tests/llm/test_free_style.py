@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against brute force, round trips and held-out rows."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -313,6 +314,21 @@ def test_fit_is_bounded_in_bytes_and_counts_a_repeated_id_once(spark):
     assert not toxicity.fit(docs, labels, sample_bytes=1).weight.any()
 
 
+@pytest.mark.parametrize("size", [1_000_000, 22_500_000])
+def test_a_long_text_first_in_the_order_takes_no_place(spark, size):
+    """A toxic and a clean text of up to 22.5 MB, each the first of its class by the digest of its id."""
+    rows = toxic_rows()
+    first = {}
+    for c in (0, 1):
+        usable = [r[0] for r in rows if r[2] == c and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+        first[min(usable, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())] = "filler sun " * (size // 11)
+    docs = spark.createDataFrame([(r[0], first.get(r[0], r[1])) for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    held = [r for r in rows if r[2] and r[0] not in first and zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert sum(scores[r[0]] >= toxicity.THRESHOLD for r in held) >= 0.95 * len(held) > 40
+
+
 def test_score_of_one_class_is_flat(spark):
     docs = spark.createDataFrame([(0, "a b"), (2, "c d")], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 0), (2, 0)], "doc_id long, toxic int")
