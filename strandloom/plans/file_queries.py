@@ -18,8 +18,8 @@ from strandloom.sources import annotation
 from strandloom.sources import sequences as Q
 from strandloom.streaming import lookup
 
-#: Letters on each line of a wrapped sequence.
-LINE = 60
+#: Letters on each line of a wrapped sequence, and bytes of a range of a FASTQ file.
+LINE, RANGE = 60, 40_000
 
 
 def fasta_records(spark, sf_dir):
@@ -33,15 +33,18 @@ def fasta_records(spark, sf_dir):
 
 
 def fastq_pairs(spark, sf_dir):
-    """Mates from two FASTQ files, by their places: rows of even and of odd ids."""
+    """Mates by their places: rows of even ids from gzip files, of odd ids from plain ones, many parts each.
+
+    Plain parts are read in ranges of some 40 kB, so records lie across their borders.
+    """
     rows = sequences(spark, sf_dir).where("seq <> ''")
-    paths = []
+    paths, parts = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
     for rest in (0, 1):
-        side = rows.where(F.col("read_index") % 2 == rest).orderBy("read_index").coalesce(1)
-        record = F.concat(F.lit("@r"), F.col("read_index").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), F.char_length("seq")))
+        side = rows.where(F.col("read_index") % 2 == rest).repartitionByRange(parts, "read_index").sortWithinPartitions("read_index")
+        record = F.concat(F.lit("@r"), F.col("read_index").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("@"), F.char_length("seq")))
         paths.append(folder(spark, "fastq"))
-        side.select(record).write.option("compression", "gzip").text(paths[-1])
-    pairs = Q.read_pairs(spark, *paths)
+        side.select(record).write.option("compression", "none" if rest else "gzip").text(paths[-1])
+    pairs = Q.read_pairs(spark, *paths, split=RANGE)
     return pairs.select("read_index", *(F.col(f"{side}.header").alias(f"{side}_header") for side in ("left", "right")), *(F.md5(f"{side}.seq").alias(f"{side}_seq") for side in ("left", "right")))
 
 

@@ -1,10 +1,15 @@
-"""Sequence files as DataFrames, by Spark's own text reader (gzip included)."""
+"""Sequence files as DataFrames: FASTA by Spark's own text reader, FASTQ by a data source of byte ranges."""
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.plans.checkpoints import written
+from strandloom.sources import fastq
+
 
 def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
     """(file, header, seq): one row per record; wrapped sequences are joined and
@@ -15,24 +20,49 @@ def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
     return raw.select(F.input_file_name().alias("file"), F.trim(F.get(lines, F.lit(0))).alias("header"), seq.alias("seq"))
 
 
-def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
+def _fastq_ranges(spark: SparkSession, paths: tuple[str, ...], split: int) -> DataFrame:
+    """(file, start, place, header, seq, qual) of every record.
+
+    Files that pyarrow can open are read by :mod:`strandloom.sources.fastq` in ranges.
+    For a store that only Spark can read, lines are numbered by the sizes of the
+    blocks before them and met by record.
+    """
+    try:
+        for p in paths:
+            fs.FileSystem.from_uri(p)
+    except pa.ArrowInvalid:
+        lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
+        sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        numbered = lines.join(sizes.select("file", "block", (before - F.col("first")).alias("shift")), ["file", "block"]).withColumn("i", F.col("at") + F.col("shift"))
+        of = lambda k: F.max(F.when(F.col("i") % 4 == k, F.col("line")))
+        rows = numbered.groupBy("file", F.floor(F.col("i") / 4).alias("place")).agg(of(0).alias("h"), of(1).alias("s"), of(3).alias("qual")).where("qual IS NOT NULL")
+        return rows.select("file", F.lit(0).cast("long").alias("start"), "place", F.expr("substring(h, 2)").alias("header"), F.upper("s").alias("seq"), "qual")
+    spark.dataSource.register(fastq.FastqSource)
+    return spark.read.format("fastq").option("paths", "\n".join(paths)).option("split", split).load()
+
+
+def read_fastq(spark: SparkSession, *paths: str, split: int = fastq.SPLIT, across_files: bool = False) -> DataFrame:
     """(file, read_index, header, seq, qual): records of four lines.
 
-    Lines are numbered within a file, so each file is read by one task, as a
-    gzip file always is; many files are read side by side.
+    ``read_index`` counts within a file, or with ``across_files`` through all files in
+    the order of their names. Ranges number their records by themselves; the sizes
+    of the ranges before them, one row for each range, shift those numbers. The rows are
+    written once, so a file is read once.
     """
-    raw = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
-    count = F.floor(F.size("lines") / 4).cast("int")
-    rows = raw.where(count > 0).select("file", "lines", F.explode(F.sequence(F.lit(0), count - 1)).alias("n"))
-    at = lambda k: F.get("lines", F.col("n") * 4 + k)
-    return rows.select("file", F.col("n").cast("long").alias("read_index"), F.expr("substring(lines[n * 4], 2)").alias("header"), F.upper(at(1)).alias("seq"), at(3).alias("qual"))
+    rows = written(_fastq_ranges(spark, paths, split), "fastq")
+    sizes = rows.groupBy("file", "start").agg(F.count("*").alias("n"))
+    order = Window.orderBy("file", "start") if across_files else Window.partitionBy("file").orderBy("start")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(sizes.select("file", "start", before.alias("before")), ["file", "start"])
+    return placed.select("file", (F.col("before") + F.col("place")).alias("read_index"), "header", "seq", "qual")
 
 
-def read_pairs(spark: SparkSession, left: str, right: str) -> DataFrame:
-    """(read_index, left, right): records of two FASTQ files, by their place."""
+def read_pairs(spark: SparkSession, left: str, right: str, split: int = fastq.SPLIT) -> DataFrame:
+    """(read_index, left, right): records of two FASTQ files, or of two folders of parts, by their place."""
     part = F.struct("header", "seq")
-    a = read_fastq(spark, left).select("read_index", part.alias("left"))
-    return a.join(read_fastq(spark, right).select("read_index", part.alias("right")), "read_index")
+    a = read_fastq(spark, left, split=split, across_files=True).select("read_index", part.alias("left"))
+    return a.join(read_fastq(spark, right, split=split, across_files=True).select("read_index", part.alias("right")), "read_index")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
