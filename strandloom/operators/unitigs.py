@@ -1,37 +1,107 @@
-"""Compaction of the de Bruijn graph into unitigs by pointer doubling.
+"""Compaction of the de Bruijn graph into unitigs, inside minimizer buckets and then across them.
 
 Every node points at its predecessor if the edge between them doesn't branch on
-either side; chains are then halved by joins of the open nodes, so a chain of n
-nodes takes log2(n) rounds. Nodes are 2-bit longs up to k = 31. Cycles have no first node:
-they are found as what never reaches one, cut at their smallest canonical k-mer,
-and compacted the same way.
+either side. Such links are dealt by the minimizer of the bases that both nodes
+share, so stretches of a chain lie together, and each stretch is contracted where
+it lies: its nodes point at its first one. Any cut of a bucket is right, so a
+large one is taken in blocks. Only the first nodes of stretches, a fraction of all, are glued by joins
+that double their pointers: a chain of n stretches takes log2(n) rounds. Nodes are
+2-bit longs up to k = 31. Cycles have no first node: they are found as what never
+reaches one, cut at their smallest canonical k-mer, and compacted the same way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.packed import LONGEST, pack, spell
+from strandloom.functions.packed import LONGEST, pack, spell, tail
 from strandloom.functions.sequence import canonical, explode_kmers, reverse_complement
-from strandloom.operators.kmers import degrees, is_packed, oriented, turned
+from strandloom.functions.superkmers import minimizer_length, minimizer_of
+from strandloom.operators.kmers import is_packed, oriented, turned
 from strandloom.plans.checkpoints import written
 
 
-def _chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Links that are contracted at once.
+BLOCK = 1 << 18
+
+
+def contract(node: np.ndarray, prev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first node that is reached, distance) of each node over the given links; a node of a closed cycle only takes its own."""
+    order = np.argsort(node, kind="stable")
+    ranked = node[order]
+    place = np.minimum(np.searchsorted(ranked, prev), len(node) - 1)
+    jump = np.where(ranked[place] == prev, order[place], -1)
+    at, d = prev.copy(), np.ones(len(node), np.int64)
+    for _ in range(len(node).bit_length() + 1):
+        live = np.flatnonzero(jump >= 0)
+        if not len(live):
+            break
+        over = jump[live]
+        at[live], d[live], jump[live] = at[over], d[live] + d[over], jump[over]
+    closed = jump >= 0
+    at[closed], d[closed] = prev[closed], 1
+    return at, d
+
+
+def _dealt(k: int):
+    """Adds the minimizer of the bases that a node shares with its predecessor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = minimizer_length(k)
+        for batch in batches:
+            shared = batch.column(0).to_numpy() >> 2
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(minimizer_of(shared, k - 1, m))], ["node", "prev", "minimizer"])
+
+    return run
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept, total = [], 0
+
+    def out() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(kept)
+        node = rows["node"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(node), *map(pa.array, contract(node, rows["prev"].to_numpy()))], ["node", "at", "d"])
+
+    for batch in batches:
+        kept.append(batch)
+        total += batch.num_rows
+        if total >= BLOCK:
+            yield out()
+            kept, total = [], 0
+    if total:
+        yield out()
+
+
+def _stretches(links: DataFrame, k: int) -> DataFrame:
+    """(node, at, d) of the nodes that aren't starts: their pointers after the contraction inside buckets."""
+    open_links = links.where("node <> prev")
+    if not is_packed(links, "node"):
+        return open_links.select("node", F.col("prev").alias("at"), F.lit(1).cast("long").alias("d"))
+    dealt = open_links.select("node", "prev").mapInArrow(_dealt(k), "node long, prev long, minimizer long").hint("rebalance", "minimizer")
+    return dealt.sortWithinPartitions("minimizer").mapInArrow(_contracted, "node long, at long, d long")
+
+
+def _chains(links: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(node, root, d) of nodes that reach a chain's start, and (node) of the rest.
 
-    ``links`` has (node, prev), prev equal to node for a start. Each round hops
-    over the nodes that are still open: one whose pointer meets a settled node is
+    ``links`` has (node, prev), prev equal to node for a start. After the
+    contraction, only nodes that others point at take part in the rounds. Each round hops
+    over those that are still open: one whose pointer meets a settled node is
     settled itself and goes to a table of its own, which no later round moves. A
     chain has nodes at every distance from its start, so each round settles some
     of them as long as any are open; what no round settles lies on cycles.
     """
-    start = links.where("node = prev").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("d"))
-    settled = [written(start, "chains")]
-    pending = written(links.where("node <> prev").select("node", F.col("prev").alias("at"), F.lit(1).cast("long").alias("d")), "open")
+    start = written(links.where("node = prev").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("d")), "chains")
+    inner = written(_stretches(links, k), "stretches")
+    settled = [start]
+    pending = written(inner.join(inner.select(F.col("at").alias("node")).distinct(), "node", "left_semi"), "open")
     left = pending.count()
     while left:
         hop = pending.select(F.col("node").alias("h"), F.col("at").alias("h_at"), F.col("d").alias("h_d"), F.lit(False).alias("end"))
@@ -43,7 +113,9 @@ def _chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         if now == left:
             break
         left = now
-    return _union(settled), pending.select("node")
+    glued = written(_union(settled).select(F.col("node").alias("at"), "root", F.col("d").alias("before")), "glued")
+    found = inner.join(glued, "at").select("node", "root", (F.col("d") + F.col("before")).alias("d"))
+    return start.unionByName(found), inner.join(glued.select("at"), "at", "left_anti").select("node")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -79,10 +151,11 @@ def compact(kmers: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     """
     packed = is_packed(kmers)
     code = pack if k <= LONGEST and not packed else (lambda c: c)
-    degree = degrees(graph)
-    one_out = degree.where("n_out = 1").select(F.col("kmer").alias("u"))
-    one_in = degree.where("n_in = 1").select(F.col("kmer").alias("v"))
-    simple = graph.join(one_out, "u", "left_semi").join(one_in, "v", "left_semi")
+    # Edges that share their inner bases are at most 16: all edges out of u and all into v are among them.
+    shared = tail(F.col("u"), k) if is_packed(graph, "u") else F.expr("substring(u, 2)")
+    keyed = graph.select("u", "v", shared.alias("shared")).repartition("shared")
+    number = lambda c: F.count("*").over(Window.partitionBy("shared", c))
+    simple = keyed.withColumns({"n_out": number("u"), "n_in": number("v")}).where("n_out = 1 AND n_in = 1").select("u", "v")
     simple = simple.where(F.col("u") != F.col("v")).where(F.col("v") != turned(graph, "u", k))
     nodes = written(
         oriented(kmers, k)
@@ -91,9 +164,9 @@ def compact(kmers: DataFrame, graph: DataFrame, k: int) -> DataFrame:
         "nodes",
     )
     links = nodes.select("node", "prev")
-    chained, cyclic = _chains(links)
+    chained, cyclic = _chains(links, k)
     if not cyclic.isEmpty():
-        chained = chained.unionByName(_chains(_opened(links, cyclic, k))[0])
+        chained = chained.unionByName(_chains(_opened(links, cyclic, k), k)[0])
     if packed:
         whole, base = spell(F.col("kmer"), k), F.substring(F.lit("ACGT"), F.col("kmer").bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
     else:
