@@ -32,7 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._strandloom_path = path
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files behind tables that :func:`written` made and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._strandloom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, path: str, resume: bool = False) -> DataFrame:

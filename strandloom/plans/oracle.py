@@ -123,12 +123,8 @@ def _doubled(name: str, start: str, rounds: int) -> str:
 #: Pointer doublings in SQL: enough for unitigs of 2**17 k-mers.
 _ROUNDS = 17
 _SOLID = f"SELECT kmer, max(n) AS n FROM ({_counted('sr', LEAST)} UNION ALL {_counted('tr', 1)}) GROUP BY kmer"
-UNITIGS = f"""{SEQS}, {WEAK}, trk AS ({_counted("tr", 1)}), {_edges("t", "trk")},
-fork AS (SELECT u AS kmer FROM t GROUP BY u HAVING count(*) > 1 UNION SELECT v FROM t GROUP BY v HAVING count(*) > 1),
-gone AS (SELECT u, v FROM weak EXCEPT SELECT u, v FROM t WHERE u IN (SELECT kmer FROM fork) OR v IN (SELECT kmer FROM fork)),
-merged AS MATERIALIZED ({_SOLID}), {_edges("g1", "merged")},
-g2 AS MATERIALIZED (SELECT u, v FROM g1 WHERE (u, v) NOT IN (SELECT u, v FROM gone)),
-simple AS MATERIALIZED (
+# Tables from the nodes g1_o (kmer, n) and the arcs g2 (u, v) of a graph to its unitigs.
+COMPACTED = f"""simple AS MATERIALIZED (
   SELECT u, v FROM g2 WHERE u IN (SELECT u FROM g2 GROUP BY u HAVING count(*) = 1) AND v IN (SELECT v FROM g2 GROUP BY v HAVING count(*) = 1)
   AND u <> v AND v <> {_rc("u")}),
 {_doubled("p", f"SELECT kmer AS node, coalesce(u, kmer) AS ptr, CAST(u IS NOT NULL AS BIGINT) AS d, kmer AS name, least(kmer, {_rc('kmer')}) AS low FROM g1_o LEFT JOIN simple ON v = kmer", _ROUNDS)},
@@ -141,6 +137,12 @@ built AS (
   SELECT root, string_agg(CASE WHEN d = 0 THEN node ELSE right(node, 1) END, '' ORDER BY d) AS s, avg(n) AS coverage
   FROM chain JOIN g1_o ON node = kmer GROUP BY root),
 unitig AS (SELECT least(s, {_rc("s")}) AS seq, max(coverage) AS coverage FROM built GROUP BY 1)"""
+UNITIGS = f"""{SEQS}, {WEAK}, trk AS ({_counted("tr", 1)}), {_edges("t", "trk")},
+fork AS (SELECT u AS kmer FROM t GROUP BY u HAVING count(*) > 1 UNION SELECT v FROM t GROUP BY v HAVING count(*) > 1),
+gone AS (SELECT u, v FROM weak EXCEPT SELECT u, v FROM t WHERE u IN (SELECT kmer FROM fork) OR v IN (SELECT kmer FROM fork)),
+merged AS MATERIALIZED ({_SOLID}), {_edges("g1", "merged")},
+g2 AS MATERIALIZED (SELECT u, v FROM g1 WHERE (u, v) NOT IN (SELECT u, v FROM gone)),
+{COMPACTED}"""
 
 
 def _exon(name: str, first: str, last: str) -> str:
