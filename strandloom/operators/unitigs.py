@@ -88,7 +88,7 @@ def _stretches(links: DataFrame, k: int) -> DataFrame:
     return dealt.sortWithinPartitions("minimizer").mapInArrow(_contracted, "node long, at long, d long")
 
 
-def _chains(links: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def chains(links: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(node, root, d) of nodes that reach a chain's start, and (node) of the rest.
 
     ``links`` has (node, prev), prev equal to node for a start. After the
@@ -164,9 +164,9 @@ def compact(kmers: DataFrame, graph: DataFrame, k: int) -> DataFrame:
         "nodes",
     )
     links = nodes.select("node", "prev")
-    chained, cyclic = _chains(links, k)
+    chained, cyclic = chains(links, k)
     if not cyclic.isEmpty():
-        chained = chained.unionByName(_chains(_opened(links, cyclic, k), k)[0])
+        chained = chained.unionByName(chains(_opened(links, cyclic, k), k)[0])
     if packed:
         whole, base = spell(F.col("kmer"), k), F.substring(F.lit("ACGT"), F.col("kmer").bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
     else:
