@@ -99,6 +99,31 @@ def best_anchors(df: DataFrame, seq: str, anchor: str, *keep: str) -> DataFrame:
     return rows.select(*keep, best.alias("ed"), F.explode("t").alias("x")).where("x.ed = ed").select(*keep, "ed", "x.pos")
 
 
+def anchored_distance(long: Column, short: Column, k: int) -> Column:
+    """Distance of the short sequence to what lies between its best anchors in the long one, the smaller over both strands.
+
+    Its first and last k - 1 bases are laid at every place of the long sequence where
+    each fits best (the last window isn't tried); the least distance over all pairs of
+    places with the start before the end counts. Null where there is none, or a
+    sequence is too short.
+    """
+    n = k - 1
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def on(strand: Column) -> Column:
+        def places(anchor: Column) -> Column:
+            tried = F.transform(
+                F.sequence(F.lit(0), F.char_length(strand) - n - 1), lambda i: F.struct(F.levenshtein(F.substring(strand, i + 1, F.lit(n)), anchor).alias("ed"), i.alias("pos"))
+            )
+            return once(tried, lambda t: once(F.array_min(F.transform(t, lambda x: x["ed"])), lambda m: F.transform(F.filter(t, lambda x: x["ed"] == m), lambda x: x["pos"])))
+
+        span = lambda i, j: F.when(j + n > i, F.levenshtein(F.substring(strand, i + 1, j + n - i), short))
+        pairs = once(places(F.right(short, F.lit(n))), lambda ends: F.array_min(F.transform(places(F.left(short, F.lit(n))), lambda i: F.array_min(F.transform(ends, lambda j: span(i, j))))))
+        return F.when((F.char_length(strand) > n) & (F.char_length(short) >= n), pairs)
+
+    return F.least(on(long), on(reverse_complement(long)))
+
+
 def path_sequence(nodes: Column, k: int, context: bool = False) -> Column:
     """Sequence along a path of overlapping unitig sequences.
 

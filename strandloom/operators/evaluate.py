@@ -9,6 +9,7 @@ from pyspark.sql.types import LongType
 from strandloom.functions import packed
 from strandloom.functions.alignment import ungapped_local_score, ungapped_matches
 from strandloom.functions.sequence import canonical, contained_either_strand, explode_kmers, reverse_complement
+from strandloom.plans.checkpoints import written
 
 
 def bubble_key(a: Column, b: Column) -> Column:
@@ -34,19 +35,33 @@ def shared_kmer_pairs(left: DataFrame, right: DataFrame, k: int = 31, least: int
     return met.where(F.col("shared") >= least)
 
 
+#: Lengths of the k-mers by which needles are looked up; shorter needles are looked up whole.
+SIZES = (31, 16, 8)
+
+
 def holders(needles: DataFrame, hay: DataFrame, k: int = 31) -> DataFrame:
     """(id, holder): rows (id, seq) of ``needles`` that a row (id, seq) of ``hay`` holds, on either strand.
 
-    Only pairs where the holder has the needle's first k-mer are compared; a
-    shorter needle shortens k. Ids are longs.
+    Each needle is looked up by a k-mer of its own length class, so a short one
+    changes nothing for the others, and by its rarest one: the one that the fewest
+    rows of ``hay`` have. Candidates are compared in full. The class follows the longest
+    stretch of plain bases; a needle without any isn't found. Ids are longs.
     """
-    shortest = needles.where("seq <> ''").agg(F.min(F.char_length("seq"))).first()[0]
-    if shortest is None:
-        return needles.select("id", F.col("id").alias("holder")).where("false")
-    k = min(k, shortest, packed.LONGEST)
-    first = packed.sets(needles.select("id", F.left("seq", F.lit(k)).alias("seq")), k, "id")
-    met = first.join(packed.sets(hay, k, "id").withColumnRenamed("id", "holder"), "kmer").select("id", "holder").distinct()
-    both = met.join(needles.select("id", "seq"), "id").join(hay.select(F.col("id").alias("holder"), F.col("seq").alias("hay")), "holder")
+    plain = F.array_max(F.transform(F.regexp_extract_all("seq", F.lit("[ACGT]+"), F.lit(0)), lambda s: F.char_length(s)))
+    size = F.col("plain")
+    for n in sorted(x for x in SIZES if x <= k):
+        size = F.when(F.col("plain") >= n, n).otherwise(size)
+    classed = needles.select("id", "seq", plain.alias("plain")).where("plain > 0").select("id", "seq", size.alias("size"))
+    out = needles.select("id", F.col("id").alias("holder")).where("false")
+    for n in sorted(r["size"] for r in classed.select("size").distinct().collect()):  # ten classes at most
+        own = packed.sets(classed.where(F.col("size") == n), n, "id")
+        held = packed.sets(hay, n, "id").withColumnRenamed("id", "holder").join(own.select("kmer").distinct(), "kmer", "left_semi")
+        held = written(held, "held")
+        counts = held.groupBy("kmer").agg(F.count("*").alias("n"))
+        # A needle with a k-mer that no row has is held by none.
+        known = own.join(counts, "kmer", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "kmer")).alias("x")).where("x.n > 0")
+        out = out.unionByName(known.select("id", "x.kmer").join(held, "kmer").select("id", "holder"))
+    both = out.join(needles.select("id", "seq"), "id").join(hay.select(F.col("id").alias("holder"), F.col("seq").alias("hay")), "holder")
     return both.where(F.col("hay").contains(F.col("seq")) | F.col("hay").contains(reverse_complement(F.col("seq")))).select("id", "holder").distinct()
 
 

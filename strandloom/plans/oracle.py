@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.plans.queries import CUTOFF, EVENT_K, EVENT_SHARE, LEAST, MAP_K, K
+from strandloom.plans.queries import ANCHOR_K, CUTOFF, EVENT_K, EVENT_SHARE, LEAST, MAP_K, K
 from strandloom.plans.tables import CONTIG, OVERLAP
 
 _ALPHABET, _BASES = "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]
@@ -219,6 +219,16 @@ ORACLE = {
         ON a.orientation = 'FW' AND b.orientation = 'RC' AND a.read_index <> b.read_index AND a.read_index // 2 = b.read_index // 2""",
     "event_classes": f"""WITH {NEXT}, e AS (SELECT *, {_ED} AS ed FROM nx)
         SELECT a_id, b_id, CAST(ed AS INTEGER) AS ed, CASE WHEN {_ENDS} AS type, ed / greatest(length(a), length(b)) < 0.6 AS similar FROM e""",
+    "anchored_distances": f"""WITH {NEXT},
+        st AS (SELECT a_id, b_id, 'F' AS s, a, b FROM nx UNION ALL SELECT a_id, b_id, 'R', {_rc("a")}, b FROM nx),
+        win AS (
+          SELECT a_id, s, i, levenshtein(substr(a, i, {ANCHOR_K - 1}), left(b, {ANCHOR_K - 1})) AS l, levenshtein(substr(a, i, {ANCHOR_K - 1}), right(b, {ANCHOR_K - 1})) AS r
+          FROM (SELECT *, unnest(range(1, length(a) - {ANCHOR_K - 1} + 1)) AS i FROM st WHERE length(a) >= {ANCHOR_K} AND length(b) >= {ANCHOR_K - 1})),
+        bl AS (SELECT a_id, s, i FROM win QUALIFY l = min(l) OVER (PARTITION BY a_id, s)), br AS (SELECT a_id, s, i FROM win QUALIFY r = min(r) OVER (PARTITION BY a_id, s)),
+        ds AS (
+          SELECT a_id, min(levenshtein(substr(a, bl.i, br.i + {ANCHOR_K - 1} - bl.i), b)) AS d FROM st JOIN bl USING (a_id, s) JOIN br USING (a_id, s)
+          WHERE br.i + {ANCHOR_K - 1} > bl.i GROUP BY a_id)
+        SELECT a_id, b_id, CAST(d AS INTEGER) AS distance FROM nx LEFT JOIN ds USING (a_id)""",
     "best_anchors": f"""WITH {NEXT}, w AS (
         SELECT a_id, b_id, i - 1 AS pos, levenshtein(substr(a, i, 12), substr(b, 1, 12)) AS ed
         FROM (SELECT *, unnest(range(1, length(a) - 11)) AS i FROM nx WHERE length(a) > 12 AND length(b) >= 12))

@@ -197,6 +197,15 @@ def best_anchors(spark, sf_dir):
     return S.best_anchors(rows, "a", "anchor", "a_id", "b_id")
 
 
+#: Length of k-mers whose first k - 1 bases are anchors.
+ANCHOR_K = 13
+
+
+def anchored_distances(spark, sf_dir):
+    """Distance of each benchmark sequence to what its ends anchor to in the one before."""
+    return _neighbours(spark, sf_dir).select("a_id", "b_id", S.anchored_distance(F.col("a"), F.col("b"), ANCHOR_K).alias("distance"))
+
+
 def simulated_reads(spark, sf_dir):
     return simulate.simulate_reads(sequences(spark, sf_dir))
 
@@ -353,7 +362,7 @@ QUERIES = {
     for f in (
         kmer_count, kmer_histogram, sequence_scalars, graph_degrees, weak_edges, rescued_removal, unitig_table, unitig_edges, kmer_index, read_hits,
         coloured_unitigs, unitig_transcripts, transcript_quantification, mapping_runs, linking_edges, linking_hints, mate_hints, event_classes, semi_global,
-        best_anchors, simulated_reads, shallow_sample, splice_chains, spliced_exons, overlapping_intervals, event_runs, shared_kmers, distinct_pairs,
+        best_anchors, anchored_distances, simulated_reads, shallow_sample, splice_chains, spliced_exons, overlapping_intervals, event_runs, shared_kmers, distinct_pairs,
         match_triage, reachable_unitigs, novel_bubbles, bubble_records, transcript_paths, link_counters, surviving_edges,
     )
 }

@@ -80,3 +80,24 @@ def test_alignment_columns_and_nulls(spark):
     df = spark.createDataFrame([("ACGT", "TTACGTTT"), (None, "A")], "a string, b string")
     assert [r.x for r in df.select(alignment.semi_global_distance("a", "b").alias("x")).collect()] == [0, None]
     assert spark.sql("SELECT ungapped_local_score('ACG', 'ACG') AS x").first().x == 6
+
+
+def plain_anchored(long, short, k):
+    n, found = k - 1, []
+    for s in (long, long[::-1].translate(str.maketrans("ACGT", "TGCA"))):
+        if len(s) <= n or len(short) < n:
+            continue
+        tried = range(len(s) - n)
+        fit = lambda anchor: [alignment.edit_distance(s[i : i + n], anchor) for i in tried]
+        first, last = fit(short[:n]), fit(short[len(short) - n :])
+        found += [alignment.edit_distance(s[i : j + n], short) for i in tried for j in tried if first[i] == min(first) and last[j] == min(last) and j + n > i]
+    return min(found, default=None)
+
+
+def test_anchored_distance(spark):
+    rng = random.Random(5)
+    pairs = [("".join(rng.choice("ACGT") for _ in range(rng.randint(0, 30))), "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 14)))) for _ in range(120)]
+    pairs += [("ACGTACGTTTGCA", "ACGTTGCA"), ("TTTT", None), (None, "ACGTA")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id long, a string, b string")
+    got = {r.id: r.d for r in df.select("id", S.anchored_distance(F.col("a"), F.col("b"), 5).alias("d")).collect()}
+    assert got == {i: plain_anchored(a, b, 5) if a is not None and b is not None else None for i, (a, b) in enumerate(pairs)}

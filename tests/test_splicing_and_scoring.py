@@ -110,3 +110,22 @@ def test_saved_step_is_reused(spark, tmp_path):
     assert checkpoints.saved(spark.range(3), path).count() == 3
     assert checkpoints.saved(spark.range(9), path, resume=True).count() == 3
     assert checkpoints.saved(spark.range(9), path).count() == 9
+
+
+def test_holders_by_length_class(spark):
+    """Needles of every length, one base to longer than k, with odd letters; a short one leaves the candidates of others alone."""
+    import random
+
+    rng = random.Random(11)
+    hay = [(i, "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 5, 60, 200])))) for i in range(40)]
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    needles = []
+    for i in range(150):
+        _, s = hay[rng.randrange(40)]
+        at, n = rng.randrange(len(s) + 1), rng.choice([0, 1, 3, 7, 8, 12, 16, 25, 31, 80])
+        needles.append((i, rng.choice([s[at : at + n], rc(s[at : at + n]), s[at : at + n] + "A"])))
+    needles += [(900, "NNN"), (901, "ANA"), (902, None)]
+    hay.append((50, "GGANAGG"))
+    frame = lambda rows: spark.createDataFrame(rows, "id long, seq string")
+    got = {tuple(r) for r in evaluate.holders(frame(needles), frame(hay)).collect()}
+    assert got == {(i, j) for i, s in needles if s and s != "NNN" for j, h in hay if s in h or rc(s) in h}
