@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.plans.checkpoints import written
 
 # The marks of the annotation format, and the form of a splice site.
 STARTS = ("-", "(", "[")
@@ -123,13 +124,34 @@ def event_bubbles(events: DataFrame, exons: DataFrame, genome: DataFrame, k: int
     trim = lambda v: (trimmed_flanks(F.col(f"{v}.left.start"), F.col(f"{v}.left.end"), k, True), trimmed_flanks(F.col(f"{v}.right.start"), F.col(f"{v}.right.end"), k, False))
     (l1, r1), (l2, r2) = trim("v1"), trim("v2")
     reason = F.coalesce(F.col("v1.reason"), F.col("v2.reason"), F.when(short, "short_flank"), F.when((l1 != l2) | (r1 != r2), "flank_mismatch"))
-    judged = pairs.withColumn("reason", reason).join(genome.select("chr", F.col("seq").alias("x_genome")), "chr", "left")
+    whole = lambda v, left, right: F.when(F.col("reason").isNull(), F.concat(F.array(left), F.col(f"{v}.inner"), F.array(right)))
+    judged = pairs.withColumn("reason", reason).withColumns({"x_row": F.monotonically_increasing_id(), "x_1": whole("v1", l1, r1), "x_2": whole("v2", l2, r2)})
+    judged = written(judged.select("event_id", "transcript_1", "transcript_2", "gene_1", "gene_2", "reason", "chr", "x_row", "x_1", "x_2"), "events")
+    sides = F.explode(F.array(*(F.struct(F.lit(n).alias("side"), F.col(f"x_{n}").alias("exons")) for n in (1, 2)))).alias("x")
+    seqs = spliced_from(judged.where("reason IS NULL").select(F.col("x_row").alias("row"), "chr", sides).select("row", "x.side", "chr", "x.exons"), genome)
+    pick = lambda n: F.max(F.when(F.col("side") == n, F.col("seq"))).alias(f"seq_{n}")
+    out = judged.join(seqs.groupBy("row").agg(pick(1), pick(2)), judged.x_row == F.col("row"), "left")
+    return out.select("event_id", "transcript_1", "transcript_2", "gene_1", "gene_2", "seq_1", "seq_2", "reason")
 
-    def sequence(v: str, left: Column, right: Column) -> Column:
-        whole = F.concat(F.array(left), F.col(f"{v}.inner"), F.array(right))
-        return F.when(F.col("reason").isNull(), spliced(whole, F.col("x_genome")))
 
-    return judged.select("event_id", "transcript_1", "transcript_2", "gene_1", "gene_2", sequence("v1", l1, r1).alias("seq_1"), sequence("v2", l2, r2).alias("seq_2"), "reason")
+#: Bases of a window of a chromosome.
+WINDOW = 10_000
+
+
+def windows_of(genome: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(chr, window, piece): chromosomes (chr, seq) in pieces, which a join moves in place of whole ones."""
+    return genome.select("chr", F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("window", "piece"))
+
+
+def spliced_from(rows: DataFrame, genome: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(row, side, seq): as :func:`spliced` for (row, side, chr, exons), from the windows that the exons touch."""
+    exons = rows.select("row", "side", "chr", F.posexplode(F.array_sort("exons")).alias("i", "e")).select("row", "side", "chr", "i", "e.start", "e.end").where("end >= start")
+    dealt = exons.withColumn("window", F.explode(F.sequence(F.floor((F.col("start") - 1) / width).cast("int"), F.floor((F.col("end") - 1) / width).cast("int"))))
+    begin = F.col("window") * width  # bases before the window
+    first = F.greatest(F.col("start") - begin, F.lit(1)).cast("int")
+    cut = F.substring("piece", first, (F.least(F.col("end") - begin, F.lit(width)) - first + 1).cast("int"))
+    parts = dealt.join(windows_of(genome, width), ["chr", "window"]).select("row", "side", F.struct("i", "window", cut.alias("s")).alias("p"))
+    return parts.groupBy("row", "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "").alias("seq"))
 
 
 def rejection_counts(bubbles: DataFrame) -> DataFrame:
@@ -137,12 +159,23 @@ def rejection_counts(bubbles: DataFrame) -> DataFrame:
     return bubbles.groupBy(F.coalesce("reason", F.lit("successful")).alias("reason")).agg(F.count("*").alias("events"))
 
 
+def placed(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with ``i``, their number from 0 in the given order.
+
+    Ranges are numbered by themselves and shifted by the sizes of those before them.
+    """
+    ranged = written(rows.repartitionByRange(*order).withColumn("x_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("x_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("x_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    within = F.row_number().over(Window.partitionBy("x_part").orderBy(*order)) - 1
+    return ranged.withColumn("x_within", within).join(sizes.select("x_part", before.alias("x_before")), "x_part").withColumn("i", F.col("x_before") + F.col("x_within")).drop("x_part", "x_within", "x_before")
+
+
 def write_events(bubbles: DataFrame, path: str) -> None:
-    """Events that gave sequences, as two FASTA records each, in the order of the events."""
-    order = ["event_id", "transcript_1", "transcript_2"]
-    kept = bubbles.where("reason IS NULL").withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1)  # one row an event
+    """Events that gave sequences, as two FASTA records each, in the order of the events; part after part."""
+    kept = placed(bubbles.where("reason IS NULL"), "event_id", "transcript_1", "transcript_2")
     record = lambda n: F.concat(F.format_string(f">Bubble_%d_Gene_%s_TranscriptId_%s_Splicing_{n}\n", "i", f"gene_{n}", f"transcript_{n}"), f"seq_{n}")
-    kept.orderBy("i").select(F.concat_ws("\n", record(1), record(2))).coalesce(1).write.mode("overwrite").text(path)
+    kept.orderBy("i").select(F.concat_ws("\n", record(1), record(2))).write.mode("overwrite").text(path)
 
 
 def rejection(flank_match: Column, left_length: Column, right_length: Column, exon_length: Column, k: int) -> Column:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, or below the context's checkpoint folder.
+def base_folder(spark: SparkSession) -> str:
+    """The folder below which all tables are written: ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
     A local session without either gets a temporary folder; on a cluster one of
     them is required.
@@ -22,7 +23,25 @@ def folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is unset on a cluster")
         base = "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/strandloom-tables/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/strandloom-tables"
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below :func:`base_folder`."""
+    return f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def folder_of(spark: SparkSession, name: str, *inputs: DataFrame) -> str:
+    """A path that stands for these input files as they are now, in this application.
+
+    Another size or time of a file gives another path.
+    """
+    conf, seen = spark._jsc.hadoopConfiguration(), [spark.sparkContext.applicationId]
+    for file in sorted(f for df in inputs for f in df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        seen += [file, str(status.getLen()), str(status.getModificationTime())]
+    return f"{base_folder(spark)}/{name}-{hashlib.md5(chr(10).join(seen).encode()).hexdigest()}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,10 +64,15 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to the end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def saved(df: DataFrame, path: str, resume: bool = False) -> DataFrame:
     """Save a step's table, or with ``resume`` reuse the one a finished run left."""
     spark = df.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not (resume and jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)):
+    if not (resume and finished(spark, path)):
         df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -8,16 +8,14 @@ for the benchmark items go through the whole chain with the graph's own unitigs.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
 from strandloom.functions.alignment import semi_global_distance, ungapped_local_score
 from strandloom.operators import bubbles, evaluate, kmers, mapping, simulate, splicing, traversal, unitigs
-from strandloom.plans.checkpoints import written
 from strandloom.plans import tables
+from strandloom.plans.checkpoints import finished, folder_of, saved, written
 from strandloom.plans.tables import contigs, items, sequences, table
 from strandloom.sources import annotation
 
@@ -309,15 +307,19 @@ def search_events(transcripts: DataFrame, reads: DataFrame, k: int, limits: bubb
     return {"graph": graph, "nodes": nodes, "index": index, "blue": blue, "red": red, "colours": colours, "links": links, "vertex": vertex, "bubbles": written(found, "bubbles")}
 
 
-@functools.cache
-def _events_of(spark, application: str, sf_dir: str) -> dict[str, DataFrame]:
-    """The written tables of the chain, which several queries of one application look at."""
-    transcripts, reads = tables.planted(spark, sf_dir)
-    return search_events(transcripts, reads, EVENT_K, bubbles.Limits(k=EVENT_K, min_edit_distance=EVENT_SHARE))
-
-
 def _events(spark, sf_dir) -> dict[str, DataFrame]:
-    return _events_of(spark, spark.sparkContext.applicationId, sf_dir)
+    """The tables of the chain, which several queries of one application look at.
+
+    They are saved once under a path that stands for the input as it is; its last table marks the end.
+    """
+    base = folder_of(spark, "events", table(spark, sf_dir, "benchmark"))
+    names = ("graph", "nodes", "blue", "vertex", "bubbles")
+    if not finished(spark, f"{base}/{names[-1]}"):
+        transcripts, reads = tables.planted(spark, sf_dir)
+        got = search_events(transcripts, reads, EVENT_K, bubbles.Limits(k=EVENT_K, min_edit_distance=EVENT_SHARE))
+        for name in names:
+            saved(got[name], f"{base}/{name}", resume=True)
+    return {name: spark.read.parquet(f"{base}/{name}") for name in names}
 
 
 def novel_bubbles(spark, sf_dir):

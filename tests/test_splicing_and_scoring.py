@@ -129,3 +129,24 @@ def test_holders_by_length_class(spark):
     frame = lambda rows: spark.createDataFrame(rows, "id long, seq string")
     got = {tuple(r) for r in evaluate.holders(frame(needles), frame(hay)).collect()}
     assert got == {(i, j) for i, s in needles if s and s != "NNN" for j, h in hay if s in h or rc(s) in h}
+
+
+def test_exons_over_windows_of_a_chromosome(spark):
+    import random
+
+    rng = random.Random(4)
+    genome = {"c1": "".join(rng.choice("ACGT") for _ in range(95)), "c2": "".join(rng.choice("ACGT") for _ in range(30))}
+    rows = []
+    for i in range(60):
+        c = rng.choice(["c1", "c2", "none"])
+        exons = [(a, a + rng.randrange(0, 40)) for a in (rng.randrange(1, 90) for _ in range(rng.randrange(1, 4)))]
+        rows.append((i, 1, c, exons))
+    df = spark.createDataFrame(rows, "row long, side int, chr string, exons array<struct<start:int,end:int>>")
+    got = {r["row"]: r["seq"] for r in splicing.spliced_from(df, spark.createDataFrame(list(genome.items()), "chr string, seq string"), 10).collect()}
+    expected = {i: "".join(genome[c][a - 1 : b] for a, b in sorted(exons)) for i, _, c, exons in rows if c in genome}
+    assert {i: got.get(i, "") for i in expected} == expected and not set(got) - set(expected)
+
+
+def test_rows_are_numbered_through_all_ranges(spark):
+    df = spark.range(1000).select(F.pmod(F.col("id") * 7919, F.lit(1000)).alias("v")).repartition(7)
+    assert all(r["v"] == r["i"] for r in splicing.placed(df, "v").collect())
