@@ -22,11 +22,22 @@ def simulate_reads(transcripts: DataFrame, length: int = 101, step: int = 30) ->
 
 
 def sample_per_group(rows: DataFrame, group: str, key: str, share: float = 0.1) -> DataFrame:
-    """The rows of each group with the smallest digests: a share, one at least."""
-    order = Window.partitionBy(group).orderBy(F.md5(F.col(key).cast("string")), key)
-    size = F.count("*").over(Window.partitionBy(group))
-    ranked = rows.withColumns({"x_place": F.row_number().over(order), "x_size": size})
-    return ranked.where(F.col("x_place") <= F.greatest(F.lit(1), F.floor(F.col("x_size") * share))).drop("x_place", "x_size")
+    """The rows of each group with the smallest digests: a share, one at least.
+
+    A group is counted by the first three digits of the digests, which tells in which
+    of them the share ends; rows are ranked within such a part only, so
+    no task sorts a whole group.
+    """
+    digest = F.md5(F.col(key).cast("string"))
+    keyed = rows.withColumns({"x_digest": digest, "x_part": F.left(digest, F.lit(3))})
+    parts = keyed.groupBy(F.col(group).alias("x_group"), F.coalesce("x_part", F.lit("")).alias("x_of")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("x_group")
+    before = F.coalesce(F.sum("n").over(own.orderBy("x_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    take = F.greatest(F.lit(1), F.floor(F.sum("n").over(own) * share))
+    needed = parts.select("x_group", "x_of", (take - before).alias("x_need")).where("x_need > 0")
+    met = keyed.join(needed, F.col(group).eqNullSafe(F.col("x_group")) & (F.coalesce("x_part", F.lit("")) == F.col("x_of")))
+    place = F.row_number().over(Window.partitionBy("x_group", "x_of").orderBy("x_digest", key))
+    return met.withColumn("x_place", place).where("x_place <= x_need").select(*rows.columns)
 
 
 def shallow_and_rest(transcripts: DataFrame, group: str, key: str, share: float = 0.1, least: int = 0) -> tuple[DataFrame, DataFrame]:

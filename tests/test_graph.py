@@ -213,3 +213,29 @@ def test_empty_inputs(spark):
     none = frame(spark, []).where(F.lit(True))
     solid = kmers.count_kmers(none, K)
     assert solid.count() == 0 and unitigs.compact(solid, kmers.edges(solid), K).count() == 0
+
+
+def test_a_search_stops_at_its_first_target(spark):
+    from strandloom.operators import traversal
+
+    line = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1) for i in range(30)] + [("n0", "n20", 9)], "src string, dst string, w long")
+    starts = spark.createDataFrame([("a", "n0"), ("b", "n28"), ("c", "n0")], "group string, node string")
+    targets = spark.createDataFrame([("a", "n3"), ("a", "n25"), ("b", "n0"), ("c", "n0")], "group string, node string")
+    assert {tuple(r) for r in traversal.nearest(starts, targets, line, 40).collect()} == {("a", 3), ("c", 0)}
+    seen = traversal.reachable(starts, line, 40, targets).where("group = 'a'").select("node").collect()
+    assert {r["node"] for r in seen} <= {f"n{i}" for i in [*range(5), *range(20, 24)]}  # what lies behind is never reached
+    assert {tuple(r) for r in traversal.nearest(starts.where("group = 'b'"), targets, line, 40).collect()} == set()
+
+
+def test_sample_of_hot_small_and_null_groups(spark):
+    import hashlib
+
+    from strandloom.operators import simulate
+
+    rows = [(i, "hot" if i % 3 else None if i % 9 == 0 else f"g{i % 60}") for i in range(3000)] + [(None, "alone")]
+    got = {tuple(r) for r in simulate.sample_per_group(spark.createDataFrame(rows, "id long, g string"), "g", "id", 0.1).collect()}
+    expected = set()
+    for g in {g for _, g in rows}:
+        own = sorted((i for i, x in rows if x == g), key=lambda i: ("", 0) if i is None else (hashlib.md5(str(i).encode()).hexdigest(), i))
+        expected |= {(i, g) for i in own[: max(1, int(len(own) * 0.1))]}
+    assert got == expected
