@@ -19,7 +19,7 @@ from strandloom.sources import sequences as Q
 from strandloom.streaming import lookup
 
 #: Letters on each line of a wrapped sequence, and bytes of a range of a FASTQ file.
-LINE, RANGE = 60, 40_000
+LINE, RANGE = 60, 256_000
 
 
 def fasta_records(spark, sf_dir):
@@ -35,7 +35,7 @@ def fasta_records(spark, sf_dir):
 def fastq_pairs(spark, sf_dir):
     """Mates by their places: rows of even ids from gzip files, of odd ids from plain ones, many parts each.
 
-    Plain parts are read in ranges of some 40 kB, so records lie across their borders.
+    Plain parts are read in small ranges, so records lie across their borders.
     """
     rows = sequences(spark, sf_dir).where("seq <> ''")
     paths, parts = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
