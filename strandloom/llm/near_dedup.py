@@ -416,3 +416,24 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document."""
     return groups(table(spark, sf_dir, "documents"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Every pair of texts with a common shingle is compared: for small tables only.
+ORACLE_SQL = f"""
+WITH RECURSIVE n AS MATERIALIZED (
+  SELECT row_number() OVER () AS v, doc_id, text, regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+sh AS MATERIALIZED (
+  SELECT v, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - {SHINGLE} + 2), lambda i: array_to_string(ws[i:i + {SHINGLE} - 1], ' '))) END) AS s FROM n),
+m AS MATERIALIZED (SELECT v, count(*) AS m FROM sh GROUP BY v),
+ids AS (SELECT sh.v, s, m FROM sh JOIN m USING (v) JOIN n USING (v) WHERE doc_id IS NOT NULL),
+link AS MATERIALIZED (
+  SELECT a.v AS x, b.v AS y FROM ids a JOIN ids b ON a.s = b.s AND a.v <> b.v
+  GROUP BY a.v, b.v HAVING 100 * count(*) >= {PERCENT} * (any_value(a.m) + any_value(b.m) - count(*))),
+reach AS (SELECT DISTINCT x AS v, x AS r FROM link UNION SELECT v, y FROM reach JOIN link ON r = x),
+comp AS (SELECT reach.v, min(doc_id) AS component_id FROM reach JOIN n ON r = n.v GROUP BY reach.v)
+SELECT d.doc_id, CAST(coalesce(m, 0) AS BIGINT) AS n_shingles, coalesce(component_id, n.doc_id) AS component_id, coalesce(d.doc_id = coalesce(component_id, n.doc_id), true) AS kept
+FROM (SELECT doc_id, text FROM documents) d JOIN n ON d.doc_id IS NOT DISTINCT FROM n.doc_id AND coalesce(d.text, '') = n.text LEFT JOIN m ON m.v = n.v LEFT JOIN comp ON comp.v = n.v
+"""

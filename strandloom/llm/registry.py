@@ -27,6 +27,7 @@ def queries():
 def oracle_sql():
     """Name to DuckDB SQL, where SQL can express the result."""
     return {
+        "op1_near_dedup": near_dedup.ORACLE_SQL,
         "op2_mixing": mixing.ORACLE_SQL,
         "op3_decontamination": decontamination.ORACLE_SQL,
         "op4_secret_scan": secret_scan.ORACLE_SQL,
