@@ -290,9 +290,9 @@ def not_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: floa
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [score_block(model, data, offsets) < threshold for _, _, data, offsets in blocks(batch.column(at))]
-            if parts:
-                yield batch.filter(pa.array(np.concatenate(parts)))
+            # Block by block, so that never a second copy of a whole batch is held.
+            for lo, hi, data, offsets in blocks(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(score_block(model, data, offsets) < threshold))
 
     return docs.mapInArrow(kept, schema)
 
