@@ -30,10 +30,15 @@ def canonical(c: Column) -> Column:
     return F.least(c, F.reverse(F.translate(c, "ACGT", "TGCA")))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Common characters that aren't letters a-z; a translation drops them faster than a pattern does.
+_OTHERS = "".join(c for c in map(chr, (*range(1, 0x250), *range(0x2010, 0x2040))) if c not in _LETTERS)
+
+
 def encode_text(text: Column) -> Column:
     """Letters a-z of a text, lower-cased, dealt to the four bases in turn."""
-    letters = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]", "")
-    return F.translate(letters, "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26])
+    bases = F.translate(F.lower(F.coalesce(text, F.lit(""))), _LETTERS + _OTHERS, ("ACGT" * 7)[:26])
+    return F.regexp_replace(bases, "[^ACGT]+", "")
 
 
 def explode_kmers(df: DataFrame, k: int, *keep: str, seq: str = "seq") -> DataFrame:

@@ -14,8 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from strandloom.functions.packed import _CODE, blocks
+from strandloom.functions.packed import _CODE, blocks, codes
 
 #: Bases of a minimizer, unless k is short, and most bases of a run.
 M, MOST = 11, 64
@@ -128,6 +129,43 @@ def spread(hi: np.ndarray, lo: np.ndarray, size: np.ndarray, k: int) -> tuple[np
     return (np.concatenate(codes), np.concatenate(runs)) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+#: Sums of codes travel as two longs, so only their last step can overflow, and Spark tells.
+_LOW = 21
+
+
+def code_sums(df: DataFrame, k: int, m: int, *keep: str) -> DataFrame:
+    """(keep..., canonical, packed, minimizer): over all k-mers of plain bases of ``seq``, sums of the
+    canonical codes, of the codes and of the codes of their smallest m-mers; null without any.
+
+    These codes run A, C, T, G = 0..3; least is meant in the order of the letters.
+    """
+    names = [f"{c}_{part}" for c in ("canonical", "packed", "minimizer") for part in ("high", "low")]
+
+    def parts(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        code, turn, row, at = codes(data, offsets, k)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        short = windows(np.minimum(_CODE[data], 3).astype(np.uint64), m, _joined)
+        least = windows(short, k - m + 1, lambda a, b, width: np.minimum(a, b))[at + offsets[row]] if len(row) else code
+        out = []
+        for value in (np.minimum(code, turn), code, least.astype(np.int64)):
+            value = value ^ (value >> 1 & 0x5555555555555555)
+            for part in (value >> _LOW, value & (1 << _LOW) - 1):
+                sums, found = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1, bool)
+                if len(first):
+                    sums[row[first]], found[row[first]] = np.add.reduceat(part, first), True
+                out.append(pa.array(sums, mask=~found))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in blocks(batch.column(len(keep))):
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]), *parts(data, offsets)], [*keep, *names])
+
+    kinds = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in names)])
+    got = df.select(*keep, "seq").mapInArrow(run, kinds)
+    return got.select(*keep, *((F.col(f"{c}_high") * (1 << _LOW) + F.col(f"{c}_low")).alias(c) for c in ("canonical", "packed", "minimizer")))
+
+
 RUNS = "minimizer long, hi long, lo long, size int, n long"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
+from strandloom.functions import superkmers as M
 from strandloom.functions.alignment import semi_global_distance, ungapped_local_score
 from strandloom.operators import bubbles, evaluate, kmers, mapping, simulate, splicing, traversal, unitigs
 from strandloom.plans import tables
@@ -46,13 +47,9 @@ def _packed(spark, sf_dir, transcript: bool) -> DataFrame:
 def sequence_scalars(spark, sf_dir):
     """Digests of complement and reverse complement, base check, and over all k-mers of a
     text the sums of canonical codes, packed codes and packed minimizers (null without any)."""
-    rows = sequences(spark, sf_dir)
-    alone = rows.select("read_index", F.md5(S.complement(F.col("seq"))).alias("complement"), F.md5(S.reverse_complement(F.col("seq"))).alias("rc"), S.is_acgt(F.col("seq")).alias("acgt"))
-    every = S.explode_kmers(rows, K, "read_index")
-    sums = every.groupBy("read_index").agg(
-        F.sum(S.pack(S.canonical(F.col("kmer")))).alias("canonical"), F.sum(S.pack(F.col("kmer"))).alias("packed"), F.sum(S.pack(S.minimizer(F.col("kmer"), 7))).alias("minimizer")
-    )
-    return alone.join(sums, "read_index", "left")
+    seq = F.col("seq")
+    rows = sequences(spark, sf_dir).select("read_index", F.md5(S.complement(seq)).alias("complement"), F.md5(S.reverse_complement(seq)).alias("rc"), S.is_acgt(seq).alias("acgt"), "seq")
+    return M.code_sums(rows, K, 7, "read_index", "complement", "rc", "acgt")
 
 
 def _solid(spark, sf_dir) -> DataFrame:
