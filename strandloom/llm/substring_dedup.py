@@ -24,7 +24,8 @@ starts in a document with a smaller id.
 
 Inside a batch, equal paths that occur often are packed into one row before the
 shuffle, so a passage that a third of all documents share costs a row for each
-batch. Texts are shuffled once: all uses read the same exchange.
+batch. Each step that needs texts shuffles them; a step's shuffle files go when
+its table is written, so the disk never holds those of two steps.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import materialise, no_null, small, table
+from strandloom.llm.common import materialise, no_null, release, small, table
 from strandloom.llm.textbytes import blocks, mix64, run_hashes, space_words, word_hashes
 
 WINDOW = 13
@@ -274,7 +275,7 @@ def _with_spans(docs: DataFrame, text: str) -> DataFrame:
         .select("straight", "source.doc", "source.place", F.col("doc").alias("own"), F.col("place").alias("own_place"), "more")
         .mapInArrow(_unpacked, "kind int, doc long, place long, s_doc long, s_place long")
     )
-    repeated = materialise(repeated, "repeated")
+    repeated = materialise(repeated, "repeated", tidy=True)
     low_of = lambda c: F.shiftright(c, _START_BITS + 4)
 
     parts = max(1, -(-docs.count() // PARTITION_ROWS))
@@ -285,12 +286,13 @@ def _with_spans(docs: DataFrame, text: str) -> DataFrame:
     edges = dealt.join(first_kind, same).select("doc", "low", "text", "spans").mapInArrow(_edges, "edge long, best long, doc long, place long")
     first = edges.groupBy("edge", "best").agg(F.min(F.struct("doc", "place")).alias("source"), F.max("doc").alias("last")).where("source.doc < last")
     later = edges.join(first, ["edge", "best"]).where("doc > source.doc").select("doc", "place", F.col("source.doc").alias("s_doc"), F.col("source.place").alias("s_place"))
-    long_spans = materialise(_compacted(repeated.where("kind = 0").drop("kind").unionByName(later)), "spans")
+    long_spans = materialise(_compacted(repeated.where("kind = 0").drop("kind").unionByName(later)), "spans", tidy=True)
+    release(repeated)
 
     span = lambda start: (F.shiftleft(start, _START_BITS) + F.col("n")).alias("span")
     wanted = long_spans.select("s_doc", "s_low", span(F.col("s_start"))).distinct().groupBy("s_doc", "s_low").agg(F.collect_list("span").alias("spans"))
     digests = dealt.join(wanted, same).select("doc", "low", "text", "spans").mapInArrow(_source_digests, "s_doc long, s_low long, span long, digest binary")
-    digests = small(materialise(digests.dropDuplicates(["s_doc", "s_low", "span"]), "digests"), BROADCAST_SPANS)
+    digests = small(materialise(digests.dropDuplicates(["s_doc", "s_low", "span"]), "digests", tidy=True), BROADCAST_SPANS)
     told = long_spans.select("doc", "low", F.struct(span(F.col("start"))).alias("own"), "s_doc", "s_low", span(F.col("s_start"))).join(digests, ["s_doc", "s_low", "span"])
     found = told.groupBy(F.col("doc").alias("s_doc"), F.col("low").alias("s_low")).agg(F.collect_list(F.struct("own.span", "digest")).alias("spans"))
     return dealt.join(found, same, "left").select("doc_id", "text", "spans")
