@@ -4,6 +4,7 @@ import collections
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import bubbles, kmers, mapping, traversal, unitigs
@@ -239,3 +240,19 @@ def test_sample_of_hot_small_and_null_groups(spark):
         own = sorted((i for i, x in rows if x == g), key=lambda i: ("", 0) if i is None else (hashlib.md5(str(i).encode()).hexdigest(), i))
         expected |= {(i, g) for i in own[: max(1, int(len(own) * 0.1))]}
     assert got == expected
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_reachable_of_sets(spark, seed, monkeypatch):
+    """As the search from every group; groups with the same sources are searched once."""
+    rng = random.Random(seed)
+    arcs = {(str(a), str(b)): rng.choice([1, 2, 7]) for a, b in (rng.sample(range(12), 2) for _ in range(30))}
+    graph = spark.createDataFrame([(a, b, w) for (a, b), w in arcs.items()], "src string, dst string, w long")
+    rows = [(g, str(rng.randrange(13))) for g in range(6) for _ in range(3)] + [(g, n) for g in range(100, 160) for n in ("1", "5", "1")]
+    sources = spark.createDataFrame(rows, "group int, node string")
+    expected = sorted(map(tuple, traversal.reachable(sources, graph, 9).collect()))
+    searched = []
+    plain = traversal.reachable
+    monkeypatch.setattr(traversal, "reachable", lambda s, *rest: (searched.append(s.distinct().count()), plain(s, *rest))[1])
+    assert sorted(map(tuple, traversal.reachable_of_sets(sources, graph, 9).collect())) == expected
+    assert searched[0] <= 13
