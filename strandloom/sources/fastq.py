@@ -28,6 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a range, of a read, and most bytes that one step of inflating makes.
 SPLIT, CHUNK, INFLATED = 64 << 20, 1 << 20, 4 << 20
+#: Bytes of the first read beyond a range's end, for its last record; each further one is twice as long.
+BEYOND = 1 << 14
 
 SCHEMA = "file string, start long, place long, header string, seq string, qual string"
 
@@ -95,9 +97,10 @@ def ranges(path: str, size: int, split: int) -> Iterator[Range]:
 
 def _plain(f: pa.NativeFile, part: Range) -> Iterator[tuple[bytes, bool]]:
     f.seek(part.start)
-    at = part.start
-    while data := f.read(min(CHUNK, part.end - at) if at < part.end else CHUNK):
+    at, more = part.start, min(CHUNK, BEYOND)
+    while data := f.read(min(CHUNK, part.end - at) if at < part.end else more):
         yield data, at < part.end
+        more = min(CHUNK, 2 * more) if at >= part.end else more
         at += len(data)
 
 

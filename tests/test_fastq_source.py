@@ -118,3 +118,16 @@ def test_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [(r.header, r.seq, r.qual) for r in got] == rows * 2
+
+
+def test_little_is_read_beyond_a_range(tmp_path):
+    data = b"".join(b"@r%d\n%s\n+\n%s\n" % (i, b"ACGT" * 50, b"IIII" * 50) for i in range(6000))
+    (tmp_path / "a.fq").write_bytes(data)
+    sizes = []
+    for part in fastq.ranges(str(tmp_path / "a.fq"), len(data), 256_000):
+        with fastq.opened(part.path) as f:
+            stream = fastq._plain(f, part)
+            own = next(stream)
+            sizes.append(len(own[0]) + len(next(stream, (b"", False))[0]))
+    assert len(sizes) > 5 and max(sizes) <= 256_000 + (1 << 14)
+    assert len(read(str(tmp_path / "a.fq"), len(data), 256_000)) == 6000
