@@ -1,11 +1,12 @@
 """The graph by junctions, against the tables of edges."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import junctions, kmers, unitigs
+from strandloom.operators import glue, junctions, kmers, unitigs
 from strandloom.plans import checkpoints
 
 K = 7
@@ -87,3 +88,57 @@ def test_settled_leaves_only_its_own_table(spark):
     assert kept.count() == 3
     path = spark._jvm.org.apache.hadoop.fs.Path(inside[0]._strandloom_path)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def placed(spark, seqs):
+    return spark.createDataFrame([(i // 3, i % 4 == 0, s) for i, s in enumerate(seqs)], "place long, transcript boolean, seq string")
+
+
+def awkward(k):
+    """Repeats, rings, hairpins, one-letter runs and short sequences."""
+    rng, turn = random.Random(8), str.maketrans("ACGT", "TGCA")
+    words = ["".join(rng.choices("ACGT", k=n)) for n in (30, 45, 60, 80, 120, 300)]
+    texts = ["".join(rng.choices(words, k=6)) for _ in range(40)]
+    rings = ["".join(rng.choices("ACGT", k=n)) for n in (5, 40, 900)]
+    return [*texts, *(x[::-1].translate(turn) for x in texts[:7]), *(r * (2 + 2 * k // len(r)) for r in rings), words[4] + words[4][::-1].translate(turn), "A" * 90, "AC" * 80, "", "ACGT", texts[0] + "N" + texts[1], words[5] * 3]
+
+
+@pytest.mark.parametrize("hot, rows", [(junctions.HOT_RUNS, glue.ROWS), (300, 8)])
+@pytest.mark.parametrize("least", [1, 2])
+def test_texts_have_the_unitigs_of_their_kmers(spark, monkeypatch, hot, rows, least):
+    monkeypatch.setattr(junctions, "HOT_RUNS", hot)
+    monkeypatch.setattr(glue, "ROWS", rows)
+    seqs = awkward(21)
+    solid = graph_of(spark, seqs, 21, least)
+    expected = sorted(unitigs.compact(solid, kmers.edges(solid, 21), 21).collect())
+    assert sorted(unitigs.unitigs_of_texts(placed(spark, seqs), 21, least).collect()) == expected
+    assert sorted(unitigs.unitigs_of(solid, 21).collect()) == expected
+
+
+def test_a_long_stretch_is_written_a_few_times_only(spark, monkeypatch):
+    """Stretches of one text meet in one round, which took a round for each doubling of their number before."""
+    tables = []
+    for module in (glue, unitigs):
+        monkeypatch.setattr(module, "written", lambda df, name: tables.append(checkpoints.written(df, name)) or tables[-1])
+    long = "".join(random.Random(9).choices("ACGT", k=60_000))
+    solid = graph_of(spark, [long], 21).withColumn("place", F.lit(1))
+    assert unitigs.unitigs_of(solid, 21).count() == 1
+    assert len(tables) <= 3
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Files of all rounds stayed on disk until the driver collected its garbage."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def left():
+        files = folders.getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before = left()
+    rows = checkpoints.written(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 50).alias("g")).agg(F.count("*").alias("n")), "rows")
+    for _ in range(50):
+        if not left() - before:
+            break
+        time.sleep(0.1)
+    assert not left() - before
+    assert rows.count() == 50
