@@ -115,6 +115,30 @@ def test_texts_have_the_unitigs_of_their_kmers(spark, monkeypatch, hot, rows, le
     assert sorted(unitigs.unitigs_of(solid, 21).collect()) == expected
 
 
+@pytest.mark.parametrize("hot", [junctions.HOT_RUNS, 300])
+def test_weak_edges_and_forks_of_texts_need_no_table_of_kmers(spark, monkeypatch, hot):
+    """Every side was counted twice, and the k-mers of both were dealt three times more."""
+    monkeypatch.setattr(junctions, "HOT_RUNS", hot)
+    for module in (kmers, junctions):
+        monkeypatch.setattr(module, "count_kmers" if module is kmers else "dealt", lambda *a, f=getattr(module, "count_kmers" if module is kmers else "dealt"), **b: calls.append(1) or f(*a, **b))
+    calls, rng = [], random.Random(11)
+    # Words cut anywhere, so that reads branch where transcripts do and elsewhere.
+    words = ["".join(rng.choices("ACGT", k=n)) for n in (30, 45, 60, 80)]
+    seqs = [*awkward(21), *("".join(w[rng.choice([0, 0, 7]) :] for w in rng.choices(words, k=9)) for _ in range(80))]
+    rows = placed(spark, seqs)
+    removed = kmers.rescue_marked(junctions.weak_and_forks(rows, 21, 2, 0.34), 21).localCheckpoint()
+    got = sorted(unitigs.unitigs_of_fragments(lambda: junctions.merged_fragments(rows, 21, 2, removed), 21).collect())
+    assert not calls
+
+    reads, known = (kmers.count_kmers(rows.where(c), 21, n, pack=True).localCheckpoint() for c, n in (("NOT transcript", 2), ("transcript", 1)))
+    weak = kmers.weak_edges(kmers.edges(reads, 21), 0.34, 21).localCheckpoint()
+    gone = kmers.rescue(weak, kmers.edges(known, 21)).localCheckpoint()
+    assert 0 < gone.count() < weak.count()
+    assert sorted(removed.collect()) == sorted(gone.collect())
+    solid = reads.unionByName(known).groupBy("kmer").agg(F.max("n").alias("n")).localCheckpoint()
+    assert got == sorted(unitigs.compact(solid, kmers.without_edges(kmers.edges(solid, 21), gone), 21).collect())
+
+
 def test_a_long_stretch_is_written_a_few_times_only(spark, monkeypatch):
     """Stretches of one text meet in one round, which took a round for each doubling of their number before."""
     tables = []
